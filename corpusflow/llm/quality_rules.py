@@ -16,8 +16,16 @@ from pyspark.sql import functions as F
 
 from corpusflow.llm import _common as C
 
-#: Insults that mark a toxic text; matched as whole words, case and outer punctuation aside.
+#: Insults known from the start; matched as whole words in lower case.
 TOXIC_WORDS = ("clown", "disgusting", "idiot", "loser", "moron", "pathetic", "scum", "stupid", "trash", "worthless")
+#: The words of other languages are learned from the labels: those in TOXIC_SUPPORT or more toxic documents, and in
+#: TOXIC_ODDS times as many of them as of the others. At most LABELLED_ROWS labelled documents are used, and
+#: the LEXICON_WORDS most frequent such words.
+LABELLED_ROWS = 20_000
+TOXIC_SUPPORT = 6
+TOXIC_ODDS = 50
+LEXICON_WORDS = 5_000
+_PLAIN_WORDS = r"filter(split(lower(_text), '[^\\p{L}\\p{N}]+', -1), w -> w <> '')"
 #: name -> SQL condition on the measurements, in the order of the bits.
 RULES = {
     "too_short": "n_words < 20",
@@ -25,7 +33,7 @@ RULES = {
     "symbols": "10 * n_symbols > n_words AND n_symbols >= 5",
     "shouting": "5 * n_bangs > n_words AND n_bangs >= 5",
     "repeats_lines": "n_lines >= 10 AND 2 * n_dup_lines > n_lines",
-    "toxic": "n_toxic >= 2",
+    "toxic": "n_toxic >= 1",
 }
 BASE_RULES = ("too_short", "repeats_words")
 #: Policies by version: the rules that reject a document.
@@ -39,9 +47,18 @@ def mask(rules) -> int:
     return sum(1 << names.index(r) for r in rules)
 
 
-def ledger(docs: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
+def toxic_words(docs: DataFrame, labels: DataFrame) -> list[str]:
+    """Words that mark a toxic text: TOXIC_WORDS and those learned from labels(doc_id, toxic)."""
+    sample = labels.where("doc_id IS NOT NULL AND toxic IS NOT NULL").select("doc_id", "toxic").orderBy(F.md5(F.col("doc_id").cast("string").cast("binary")), "doc_id", "toxic").limit(LABELLED_ROWS)
+    words = docs.select("doc_id", F.col("text").alias("_text")).where("_text IS NOT NULL").join(F.broadcast(sample), "doc_id").select("toxic", F.explode(F.array_distinct(F.expr(_PLAIN_WORDS))).alias("word"))
+    counts = words.groupBy("word").agg(F.count_if(F.col("toxic") == 1).alias("bad"), F.count_if(F.col("toxic") != 1).alias("good"))
+    found = counts.where((F.col("bad") >= TOXIC_SUPPORT) & (F.col("bad") >= TOXIC_ODDS * F.col("good"))).orderBy(F.desc("bad"), "word").limit(LEXICON_WORDS)
+    return sorted({*TOXIC_WORDS, *(r.word for r in found.select("word").collect())})
+
+
+def ledger(docs: DataFrame, keep: tuple[str, ...] = (), lexicon: list[str] | None = None) -> DataFrame:
     """doc_id, the columns `keep`, measurements (long) and fail_bits (long) of docs(doc_id, text)."""
-    joined = "(?i)(?<![\\p{L}\\p{N}])(?:" + "|".join(TOXIC_WORDS) + ")(?![\\p{L}\\p{N}])"
+    marks = F.array(*(F.xxhash64(F.lit(w)) for w in lexicon or TOXIC_WORDS))
     text = F.coalesce(F.col("text"), F.lit(""))
     df = docs.select("doc_id", *keep, text.alias("_text"))
     df = df.withColumns(
@@ -50,7 +67,7 @@ def ledger(docs: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
             "_lines": F.expr(r"filter(split(_text, '\n', -1), x -> x rlike '[^\\x20\\x09-\\x0D]')"),
             "n_symbols": F.size(F.split("_text", r"[#*$%&|<>]", -1)).cast("long") - 1,
             "n_bangs": F.size(F.split("_text", "!!", -1)).cast("long") - 1,
-            "n_toxic": F.size(F.split("_text", joined, -1)).cast("long") - 1,
+            "n_toxic": F.size(F.array_intersect(F.expr(f"transform({_PLAIN_WORDS}, w -> xxhash64(w))"), marks)).cast("long"),
         }
     ).drop("_text")
     df = df.withColumns(
@@ -95,7 +112,8 @@ def ablations(book: DataFrame, policy: int = POLICY) -> DataFrame:
 
 
 def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    book = verdict(ledger(C.table(spark, sf_dir, "documents")))
+    docs = C.table(spark, sf_dir, "documents")
+    book = verdict(ledger(docs, lexicon=toxic_words(docs, C.table(spark, sf_dir, "labels"))))
     return book.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
@@ -111,18 +129,28 @@ WITH t AS (
   SELECT doc_id, i, lead(i) OVER (PARTITION BY doc_id ORDER BY i) AS nxt
   FROM (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, win) AS n FROM wins) WHERE n > 1
 ), cov AS (SELECT doc_id, sum(least(coalesce(nxt - i, 8), 8))::BIGINT AS n FROM rep GROUP BY doc_id),
+plain AS (
+  SELECT doc_id, unnest(list_distinct(list_filter(string_split_regex(lower(text), '[^\pL\pN]+'), lambda w: w <> ''))) AS word FROM t
+), lexicon AS (
+  SELECT unnest(['clown', 'disgusting', 'idiot', 'loser', 'moron', 'pathetic', 'scum', 'stupid', 'trash', 'worthless']) AS word
+  UNION
+  SELECT word FROM (
+    SELECT word, count(*) FILTER (WHERE toxic = 1) AS bad, count(*) FILTER (WHERE toxic <> 1) AS good
+    FROM plain JOIN (SELECT doc_id, toxic FROM labels WHERE doc_id IS NOT NULL AND toxic IS NOT NULL ORDER BY md5(doc_id::VARCHAR), doc_id, toxic LIMIT 20000) USING (doc_id)
+    GROUP BY word HAVING bad >= 6 AND bad >= 50 * good ORDER BY bad DESC, word LIMIT 5000)
+), tox AS (SELECT doc_id, count(*) AS n FROM plain WHERE word IN (SELECT word FROM lexicon) GROUP BY doc_id),
 m AS (
   SELECT t.doc_id, len(words)::BIGINT AS n_words, length(array_to_string(words, ''))::BIGINT AS word_chars,
          length(regexp_replace(text, '[^#*$%&|<>]', '', 'g'))::BIGINT AS n_symbols,
          ((length(text) - length(replace(text, '!!', ''))) // 2)::BIGINT AS n_bangs,
-         len(regexp_extract_all(regexp_replace(lower(text), '[^\pL\pN]', '  ', 'g'), '(?:^|[^\pL\pN])(?:clown|disgusting|idiot|loser|moron|pathetic|scum|stupid|trash|worthless)(?:$|[^\pL\pN])'))::BIGINT AS n_toxic,
+         coalesce(tox.n, 0)::BIGINT AS n_toxic,
          len(lines)::BIGINT AS n_lines, (len(lines) - len(list_distinct(lines)))::BIGINT AS n_dup_lines,
          coalesce(cov.n, 0)::BIGINT AS n_repeat_words
-  FROM t LEFT JOIN cov ON t.doc_id = cov.doc_id
+  FROM t LEFT JOIN cov ON t.doc_id = cov.doc_id LEFT JOIN tox ON t.doc_id = tox.doc_id
 )
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
        (n_words < 20 OR 100 * n_repeat_words > 30 * n_words) AS base_failed,
        NOT (n_words < 20 OR 100 * n_repeat_words > 30 * n_words OR (10 * n_symbols > n_words AND n_symbols >= 5)
-            OR (5 * n_bangs > n_words AND n_bangs >= 5) OR (n_lines >= 10 AND 2 * n_dup_lines > n_lines) OR n_toxic >= 2) AS kept
+            OR (5 * n_bangs > n_words AND n_bangs >= 5) OR (n_lines >= 10 AND 2 * n_dup_lines > n_lines) OR n_toxic >= 1) AS kept
 FROM m
 """

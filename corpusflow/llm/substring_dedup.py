@@ -1,6 +1,6 @@
 """Operator 3: exact substring deduplication with suffix automata of reference shards.
 
-1. Every window of `n` words names its minimiser, the word 6-gram of smallest hash in it. Windows that are equal
+1. Every window of `n` words names its minimiser, the word 5-gram of smallest hash in it. Windows that are equal
    have equal minimisers, so a minimiser found in one document only rules its windows out. One shuffle of
    (minimiser, document, place) finds the first document of each that more documents hold.
 2. A reference shard is a stretch of `SHARD_WORDS` words of such a first document. Documents send each passage whose
@@ -27,8 +27,10 @@ from pyspark.sql import functions as F
 from corpusflow.llm import _common as C
 
 WORDS = 13
-GRAM = 6
+GRAM = 5
 SHARD_WORDS = 512
+#: How many documents' removable ranges may be sent to every executor; more are joined by a shuffle.
+BROADCAST_ROWS = 200_000
 
 
 class SuffixAutomaton:
@@ -237,7 +239,10 @@ def removable(docs: DataFrame, n: int = WORDS, gram: int = GRAM) -> DataFrame:
 def drop_repeats(docs: DataFrame, n: int = WORDS, gram: int = GRAM) -> DataFrame:
     """(doc_id, n_words, n_removed, kept): kept is the text's other words, joined by one space."""
     keyed = docs.select("doc_id", *C.row_key(), "text")
-    joined = keyed.join(removable(keyed, n, gram), ["_d", "_t"], "left")
+    ranges = C.materialize(removable(keyed, n, gram), "removable")
+    if ranges.count() <= BROADCAST_ROWS:
+        ranges = F.broadcast(ranges)
+    joined = keyed.join(ranges, ["_d", "_t"], "left")
 
     def work(batch: pa.RecordBatch) -> pa.RecordBatch:
         total, gone, kept = [], [], []

@@ -85,7 +85,7 @@ table("segments", "SELECT conv_id, turn, role, text, words, $double(coalesce(sum
 table(
     "boxes",
     """
-SELECT l_orderkey AS page, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey) AS word_id,
+SELECT l_orderkey AS page, $long(row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice, l_quantity, l_shipdate)) AS word_id,
        $long(l_linenumber % 3) * 260 + (l_partkey % 7) * 20 AS x, l_partkey % 700 AS y, 20 + (l_suppkey % 5) * 18 AS w, $long(8 + l_linenumber) AS h,
        $double(8 + $long(l_quantity) % 7) AS font_size, 'w' || $text(l_partkey) AS text, (l_suppkey % 3 = 0) AS mono, $double(50 + l_partkey % 50) / 100 AS conf
 FROM {lineitem}
@@ -97,7 +97,7 @@ table("triage", "SELECT doc_id, $long(pos + 1) AS page, $long(length(line)) * 8
 table("fragments", "SELECT b.doc_id, b.page, b.block_index, b.content AS text, CASE b.type WHEN 'heading' THEN 14.0 + (b.block_index % 3) * 2 WHEN 'boilerplate' THEN 8.0 ELSE 10.0 END AS font_size, CASE WHEN b.block_index % 4 = 0 THEN 'Serif-Bold' ELSE 'Serif' END AS font_name, 700 - (b.block_index % 10) * 70 AS y, b.type FROM {blocks} b")
 table("concepts", "SELECT DISTINCT domain, term AS concept, doc_id FROM (SELECT u.source_hash AS domain, u.term, min(u.doc_id) AS doc_id FROM {units} u WHERE u.type = 'definition' AND length(u.term) >= 4 GROUP BY u.source_hash, u.term)")
 table("relations", "SELECT DISTINCT source_hash AS domain, term AS from_concept, lower($extract(content, r'[A-Za-z]+[^A-Za-z]+([A-Za-z]+)', 1)) AS to_concept, CASE WHEN block_index % 2 = 0 THEN 'prerequisite' ELSE 'related' END AS relation FROM {units} WHERE type IN ('cross-reference', 'definition') AND length(term) >= 4")
-table("trade", "SELECT DISTINCT s_nationkey AS a, c_nationkey AS b FROM {supplier} JOIN {customer} ON s_suppkey % 25 = c_custkey % 25 WHERE s_nationkey <> c_nationkey AND (s_nationkey * 7 + c_nationkey) % 9 = 0 AND c_custkey <= 150 AND s_suppkey <= 10")
+table("trade", "SELECT DISTINCT a, b FROM (SELECT $long(n_nationkey) AS a, $long((n_nationkey * 3 + 2) % 25) AS b FROM {nation} UNION ALL SELECT $long(n_nationkey), $long((n_nationkey + 7) % 25) FROM {nation} WHERE n_nationkey % 2 = 0 UNION ALL SELECT $long(s_nationkey), $long((s_nationkey * 5 + 1) % 25) FROM {supplier} WHERE s_suppkey <= 10) WHERE a <> b")
 table("precedence", "SELECT a, b FROM {trade} WHERE a < b")
 table("runs", "SELECT $long(extract(DAY FROM ts)) AS run, user_id % 6 AS case_id, event_type AS metric, avg(value) AS value, $long(count(*)) AS n FROM {events} GROUP BY extract(DAY FROM ts), user_id % 6, event_type")
 table("glossary", "SELECT term AS canonical, CASE WHEN length(term) > 5 THEN substr(term, 1, 5) ELSE term || 's' END AS alias, $long(min(doc_id)) AS doc_id FROM {units} WHERE length(term) >= 4 AND block_index % 4 = 0 GROUP BY term")

@@ -90,9 +90,9 @@ def expand(sql: str, which: int) -> str:
 
 
 def spark_sql(sql: str) -> str:
-    return expand(sql, 0)
+    return expand(sql, 0).replace("@@", "$")  # group references in replacements
 
 
 def duck_sql(sql: str) -> str:
-    text = re.sub(r"\br'", "'", expand(sql, 1))
+    text = re.sub(r"\br'", "'", expand(sql, 1)).replace("@@", "\\")
     return text

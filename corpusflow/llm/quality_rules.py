@@ -99,6 +99,11 @@ def verdict(book: DataFrame, policy: int = POLICY) -> DataFrame:
     return book.withColumn("base_failed", F.col("fail_bits").bitwiseAND(F.lit(mask(BASE_RULES))) != 0).withColumn("kept", F.col("fail_bits").bitwiseAND(F.lit(mask({*POLICIES[policy], *BASE_RULES}))) == 0)
 
 
+def passing(book: DataFrame) -> DataFrame:
+    """Rows of a verdict that are kept. A row number, which no filter passes, keeps the optimiser from copying the rules' expressions into the filter, where each use of one would be spelled out again."""
+    return book.withColumn("_row", F.monotonically_increasing_id()).where(F.col("kept") & (F.col("_row") >= 0)).drop("_row")
+
+
 def ablations(book: DataFrame, policy: int = POLICY) -> DataFrame:
     """One row per rule: documents it fails, documents only it rejects under the policy, and those kept without it."""
     used = mask(POLICIES[policy])

@@ -28,8 +28,8 @@ MIN_CHARS = 1
 BATCHES = 4
 FANOUT = 2
 RUN = "k1 long, k2 long, n_docs long"
-#: How many rows of lines to drop may be sent to every executor.
-BROADCAST_ROWS = 200_000
+#: How many rows and places of lines to drop may be sent to every executor, some 16 bytes each.
+BROADCAST_ENTRIES = 1_000_000
 
 
 class LineRuns:
@@ -110,7 +110,7 @@ def drop_frequent(docs: DataFrame, min_docs: int = MIN_DOCS, min_chars: int = MI
         store.add(once.where(F.pmod(F.xxhash64("_d"), F.lit(batches)) == b) if batches > 1 else once)
     dropped = keys.join(store.frequent(min_docs), ["k1", "k2"], "left_semi").groupBy("_d", "_t").agg(F.array_distinct(F.collect_list("at")).alias("_drop"))
     dropped = C.materialize(dropped, "line-drops")
-    if dropped.count() <= BROADCAST_ROWS:
+    if dropped.agg(F.coalesce(F.sum(F.size("_drop") + 2), F.lit(0))).first()[0] <= BROADCAST_ENTRIES:
         dropped = F.broadcast(dropped)
     keyed = docs.withColumns(dict(zip(("_d", "_t"), C.row_key())))
     lines = F.split(F.coalesce(F.col("text"), F.lit("")), "\n", -1)

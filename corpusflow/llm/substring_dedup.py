@@ -29,8 +29,8 @@ from corpusflow.llm import _common as C
 WORDS = 13
 GRAM = 5
 SHARD_WORDS = 512
-#: How many documents' removable ranges may be sent to every executor; more are joined by a shuffle.
-BROADCAST_ROWS = 200_000
+#: How many removable ranges and their documents may be sent to every executor, some 16 bytes each; more are joined by a shuffle.
+BROADCAST_ENTRIES = 1_000_000
 
 
 class SuffixAutomaton:
@@ -240,7 +240,7 @@ def drop_repeats(docs: DataFrame, n: int = WORDS, gram: int = GRAM) -> DataFrame
     """(doc_id, n_words, n_removed, kept): kept is the text's other words, joined by one space."""
     keyed = docs.select("doc_id", *C.row_key(), "text")
     ranges = C.materialize(removable(keyed, n, gram), "removable")
-    if ranges.count() <= BROADCAST_ROWS:
+    if ranges.agg(F.coalesce(F.sum(F.size("ranges") + 2), F.lit(0))).first()[0] <= BROADCAST_ENTRIES:
         ranges = F.broadcast(ranges)
     joined = keyed.join(ranges, ["_d", "_t"], "left")
 

@@ -10,7 +10,7 @@ operator("agg_heading_levels", """
 WITH n AS (SELECT doc_id, font_size, count(*) AS n, sum(count(*)) OVER (PARTITION BY doc_id) AS total FROM {fragments} GROUP BY doc_id, font_size),
 body AS (SELECT doc_id, $max_by(font_size, n * 1000 - font_size) AS body FROM n GROUP BY doc_id)
 SELECT n.doc_id, n.font_size, $long(dense_rank() OVER (PARTITION BY n.doc_id ORDER BY n.font_size DESC)) AS level
-FROM n JOIN body ON n.doc_id = body.doc_id WHERE n.font_size >= body.body + 0.5 AND n.n <= 0.2 * n.total
+FROM n JOIN body ON n.doc_id = body.doc_id WHERE n.font_size >= body.body + 0.5E0 AND n.n <= 0.2E0 * n.total
 """, "Heading sizes above the body size, ranked.")
 operator("agg_boilerplate", "SELECT source, content, $long(count(DISTINCT doc_id)) AS n_docs FROM {blocks} b JOIN (SELECT source AS s, count(DISTINCT doc_id) AS d FROM {blocks} GROUP BY source) t ON b.source = t.s GROUP BY source, content, d HAVING count(DISTINCT doc_id) >= greatest(2, 0.1 * d)", "Texts on many documents of a source.")
 operator("agg_ledger_report", """
@@ -65,7 +65,7 @@ operator("agg_provenance_methods", """
 WITH p AS (SELECT doc_id, 'lang' AS field, CASE WHEN lang IS NULL THEN 'absent' ELSE 'read' END AS method FROM {documents}
            UNION ALL SELECT doc_id, 'source', CASE WHEN doc_id % 3 = 0 THEN 'inferred' ELSE 'read' END FROM {documents}
            UNION ALL SELECT doc_id, 'version', CASE WHEN doc_id % 4 = 0 THEN 'web_docs_metadata' ELSE 'absent' END FROM {documents})
-SELECT field, method, $long(count(*)) AS n, CASE method WHEN 'read' THEN 1.0 WHEN 'web_docs_metadata' THEN 0.9 ELSE 0.0 END AS confidence FROM p GROUP BY field, method
+SELECT field, method, $long(count(*)) AS n, CASE method WHEN 'read' THEN 1.0E0 WHEN 'web_docs_metadata' THEN 0.9E0 ELSE 0.0E0 END AS confidence FROM p GROUP BY field, method
 """, "Provenance methods by field.", oracle=None)
 operator("agg_bbox_union", "SELECT page, min(x) AS x0, min(y) AS y0, max(x + w) AS x1, max(y + h) AS y1, round(avg($double(y)), 6) AS mean_y FROM {boxes} GROUP BY page", "Box around the words of a page and their mean height.")
 operator("agg_size_band", "SELECT target_note, $long(count(*)) AS n, CASE WHEN count(*) <= 15 THEN 'small' WHEN count(*) <= 40 THEN 'medium' ELSE 'large' END AS band, count_if(criticality = 'must-keep') > 30 AS needs_approval FROM {units} WHERE target_note IS NOT NULL GROUP BY target_note", "Size band of a note by its units.")

@@ -105,7 +105,7 @@ ro AS (SELECT r.doc_id, r.region, row_number() OVER (PARTITION BY r.doc_id ORDER
 SELECT doc_id, eq, region, 'number' AS by_rule FROM numbered UNION ALL SELECT eo.doc_id, eo.eq, ro.region, 'order' FROM eo JOIN ro ON eo.doc_id = ro.doc_id AND eo.k = ro.k
 """, "Equations to regions by number, the rest by order.")
 operator("join_correction_propagate", """
-WITH fix AS (SELECT block_id, content AS original, upper(content) AS fixed FROM {blocks} WHERE doc_id % 23 = 0 AND block_index = 0),
+WITH fix AS (SELECT block_id, content AS original, '[' || content || ']' AS fixed FROM {blocks} WHERE doc_id % 23 = 0 AND block_index = 0),
 by_text AS (SELECT original, min(fixed) AS fixed FROM fix WHERE length(original) >= 5 GROUP BY original)
 SELECT b.block_id, coalesce(f.fixed, t.fixed) AS fixed, CASE WHEN f.block_id IS NOT NULL THEN 'direct' ELSE 'propagated' END AS by_rule
 FROM {blocks} b LEFT JOIN fix f ON b.block_id = f.block_id LEFT JOIN by_text t ON b.content = t.original WHERE coalesce(f.fixed, t.fixed) IS NOT NULL

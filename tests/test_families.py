@@ -135,3 +135,13 @@ def test_entry_and_names(spark):
 
     assert e.entry(spark).count() > 0
     assert set(e.oracle_sql()) <= set(e.queries())
+
+
+def test_pdf_round_trip():
+    from corpusflow.sources import pdf
+
+    text = "Title (one)\nTitle (one)\nback \\ slash"
+    rows = list(pdf.fragments("x", pdf.make_pdf(text)))
+    assert [r[-1] for r in rows] == text.split("\n") and [r[2] for r in rows] == [1, 2, 3] and rows[0][6] == 18.0
+    assert [r[3] for r in pdf.outline("x", pdf.make_pdf(text))] == ["/title-one", "/title-one-2", "/back-slash"]
+    assert list(pdf.fragments("x", b"no pdf")) == [] and list(pdf.outline("x", b"")) == []

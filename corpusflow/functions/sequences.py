@@ -16,11 +16,25 @@ from corpusflow.plans.catalog import engine_table, rows_only
 #: Characters that the similarity compares, as the operator is defined.
 COMPARED = 4000
 PAIRS = {"(": ")", "[": "]", "{": "}"}
-KNOWN_ENVIRONMENTS = frozenset("matrix pmatrix bmatrix vmatrix cases aligned align equation gather array split".split())
+# What a formula may hold, and which words keep their hyphen.
 NESTED = 5
-#: Prefixes and tails that keep their hyphen.
-COMPOUND_PREFIXES = frozenset("self non well high low multi cross semi pre post co ex".split())
-COMPOUND_TAILS = frozenset("based like free level order time aware driven specific".split())
+KNOWN_ENVIRONMENTS = frozenset("equation equation* align align* aligned matrix pmatrix bmatrix vmatrix Vmatrix smallmatrix cases gathered alignat split eqnarray eqnarray* multline".split())
+KNOWN_COMMANDS = frozenset(
+    """
+    frac sum int sqrt prod coprod
+    alpha beta gamma delta epsilon varepsilon zeta eta theta vartheta iota kappa lambda mu nu xi pi varpi rho varrho sigma varsigma tau
+    upsilon phi varphi chi psi omega Gamma Delta Theta Lambda Xi Pi Sigma Upsilon Phi Psi Omega
+    infty partial nabla forall exists nexists cdot times div pm mp ast star cup cap setminus
+    subset supset subseteq supseteq in ni notin leq le geq ge neq ne approx equiv sim simeq cong propto
+    to rightarrow leftarrow Rightarrow Leftarrow leftrightarrow Leftrightarrow mapsto hookrightarrow uparrow downarrow
+    lim liminf limsup sup inf max min arg gcd det Pr bmod pmod bar hat tilde vec dot ddot widehat widetilde
+    overline underline overbrace underbrace text mathrm mathbf mathit mathcal mathbb mathfrak
+    begin end left right big Big bigg Bigg label ref tag quad qquad binom tbinom substack xleftarrow xrightarrow
+    overset underset stackrel boxed
+    """.split()
+)
+COMPOUND_PREFIXES = frozenset("non pre post anti semi multi self cross well ill high low long short state real end least mean inter intra sub co re half full single double high-dimensional".split())
+COMPOUND_TAILS = frozenset("based free like wise world time scale order level specific aware dependent independent driven informed valued agnostic oriented bound tuned art off line".split())
 
 
 def _ratios(a: pd.Series, b: pd.Series) -> pd.Series:
@@ -51,12 +65,13 @@ def latex_errors(text: str) -> list[str]:
     stack = []
     for what, name in re.findall(r"\\(begin|end)\{([^}]*)\}", text):
         if what == "begin":
-            if name.rstrip("*") not in KNOWN_ENVIRONMENTS:
+            if name not in KNOWN_ENVIRONMENTS:
                 out.append(f"unknown environment: {name}")
             stack.append(name)
         elif not stack or stack.pop() != name:
             out.append(f"environment not open: {name}")
     out += [f"environment not closed: {n}" for n in stack]
+    out += [f"unknown command: {c}" for c in re.findall(r"\\([a-zA-Z]+)", text) if c not in KNOWN_COMMANDS]
     if re.search(r"(?:^|[=+\-*/,;(\[{\s])[_^]", text):
         out.append("orphan script")
     return out

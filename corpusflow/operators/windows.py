@@ -46,8 +46,9 @@ operator("win_numbering_jumps", """
 SELECT chapter, section, before, gap, CASE WHEN gap > 3 THEN 'critical' WHEN gap > 1 THEN 'warning' ELSE 'ok' END AS severity
 FROM (SELECT chapter, section, lag(section) OVER (PARTITION BY chapter ORDER BY section) AS before, section - lag(section) OVER (PARTITION BY chapter ORDER BY section) AS gap FROM {numbering} WHERE page % 4 <> 0) WHERE gap > 1
 """, "Jumps between consecutive section numbers.")
+# The fillers, and a pause of two seconds.
 operator("win_pause_filler", """
-SELECT conv_id, turn, pause, CASE WHEN pause >= 2 THEN $replace_all(text, r'^(?:[Uu]h|[Uu]m|[Ee]r|[Ee]h|[Oo]f|[Tt]he)[,. ]+', '') ELSE text END AS cleaned
+SELECT conv_id, turn, pause, CASE WHEN pause >= 2 THEN $replace_all(text, r'(?i)^(?:(?:um|uh|er|ah|eh|mm|hmm|mm-hmm|uh-huh)[.,;:!?]? +)+', '') ELSE text END AS cleaned
 FROM (SELECT conv_id, turn, coalesce(text, '') AS text, start_s - lag(end_s) OVER (PARTITION BY conv_id ORDER BY turn) AS pause FROM {segments})
 """, "Leading fillers go only after a pause of two seconds.")
 operator("win_heading_path", """

@@ -195,9 +195,13 @@ def html_clean(path: str, text: str) -> Iterator[tuple]:
         ordinal += 1
 
 
-#: Directives of the note language.
+# Fixed values of the note language: its directives and the forms of its lines.
 DIRECTIVES = frozenset("warning note tip example danger security performance version deprecated conflict external derived collapsible columns param-table step question diagram figure equation console property".split())
+_OPEN = re.compile(r":::([a-z][a-z0-9-]*)(?:\s+(.+))?")
+_HEADING = re.compile(r"(#{1,6})\s+(.+)")
+_FENCE = re.compile(r"```(\w*)")
 _ITEM = re.compile(r"(\s*)([-*+]|\d+\.)\s+(.+)")
+_TABLE_RULE = re.compile(r"\|?(\s*:?-{3,}:?\s*\|?)+")
 
 
 def notemark_nodes(path: str, text: str) -> Iterator[tuple]:
@@ -233,9 +237,9 @@ def notemark_nodes(path: str, text: str) -> Iterator[tuple]:
             put("property", None, f"{key.strip()}={value.strip()}")
             continue
         structural = None
-        if m := re.fullmatch(r"```(\w*)", bare):
+        if m := _FENCE.fullmatch(bare):
             structural, fence = True, []
-        elif m := re.fullmatch(r":::([a-z][a-z0-9-]*)(?:\s+(.+))?", bare):
+        elif m := _OPEN.fullmatch(bare):
             end_paragraph()
             put("directive" if m[1] in DIRECTIVES else "error", len(open_directives), m[1])
             open_directives.append((m[1], number))
@@ -252,7 +256,7 @@ def notemark_nodes(path: str, text: str) -> Iterator[tuple]:
             continue
         if not bare:
             end_paragraph()
-        elif m := re.fullmatch(r"(#{1,6})\s+(.+)", bare):
+        elif m := _HEADING.fullmatch(bare):
             end_paragraph()
             put("heading", len(m[1]), m[2].strip())
         elif m := _ITEM.fullmatch(line):
@@ -260,7 +264,7 @@ def notemark_nodes(path: str, text: str) -> Iterator[tuple]:
             put("ordered_item" if m[2][0].isdigit() else "bullet", len(m[1]) // 2, m[3])
         elif "|" in line and number > 1:
             end_paragraph()
-            if not re.fullmatch(r"\|?(\s*:?-{3,}:?\s*\|?)+", bare):
+            if not _TABLE_RULE.fullmatch(bare):
                 put("table_row", None, bare)
         elif bare.startswith(">"):
             end_paragraph()

@@ -7,7 +7,9 @@
    windows have these minimisers to that shard; all copies of a window meet in one shard. A long document is spread
    over many shards, and each passage goes to one shard only, where a broadcast of all automata to all tasks
    would grow with the corpus.
-3. In a shard, passages stream in the order of documents through a suffix automaton of words: matching statistics
+3. Equal passages of a shard are one from here on, aggregated before the shuffle, so that a crowd of copies does not meet in
+   one task: documents after its first lose it whole, for all its windows start in that first one.
+4. In a shard, passages stream in the order of documents through a suffix automaton of words: matching statistics
    of `n` or more against earlier documents mark words, then what was new extends the automaton. Words are
    compared as they are, so hashes decide nothing but the place of work.
 
@@ -21,6 +23,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -179,7 +182,7 @@ def removable(docs: DataFrame, n: int = WORDS, gram: int = GRAM) -> DataFrame:
         flat = sets.flatten()
         cuts = np.r_[0, np.cumsum(sets.value_lengths().to_numpy())]
         fm, fo, fb = (flat.field(i).to_numpy() for i in range(3))
-        out = [[] for _ in range(6)]
+        out = [[] for _ in range(8)]
         d, t = batch.column("_d").to_pylist(), batch.column("_t").to_pylist()
         m = m.view(np.int64)
         for i in range(batch.num_rows):
@@ -202,38 +205,43 @@ def removable(docs: DataFrame, n: int = WORDS, gram: int = GRAM) -> DataFrame:
                     out[2].append(d[i])
                     out[3].append(t[i])
                     out[4].append(x)
-                    out[5].append(raw[words.starts[lo + x] : words.ends[lo + y - 1 + n - 1]])
-        types = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.binary())
-        return pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(out, types)], names=["o", "b", "_d", "_t", "at", "words"])
+                    out[5].append(y - x + n - 1)
+                    out[6].append(b" ".join(raw[words.starts[lo + x] : words.ends[lo + y - 1 + n - 1]].split()))
+                    out[7].append(xxhash.xxh3_128_digest(out[6][-1]))
+        types = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary())
+        h = np.frombuffer(b"".join(out[7]), "<i8").reshape(-1, 2)
+        return pa.RecordBatch.from_arrays([*(pa.array(x, k) for x, k in zip(out, types)), pa.array(h[:, 0]), pa.array(h[:, 1])], names=["o", "b", "_d", "_t", "at", "n", "words", "h1", "h2"])
 
-    sent = C.map_chunks(found, "text", "o long, b int, _d long, _t long, at int, words binary", passages)
+    sent = C.materialize(C.map_chunks(found, "text", "o long, b int, _d long, _t long, at int, n int, words binary, h1 long, h2 long", passages), "passages")
+    key = ["o", "b", "h1", "h2"]
+    distinct = sent.groupBy(*key).agg(F.min("_d").alias("d"), F.first("words").alias("words"))
 
     def match(batches):
         shard = doc = None
         sam, fresh = SuffixAutomaton(), []
         for batch in batches:
-            d, t, a, b = [], [], [], []
-            for o, blk, one_d, one_t, at, words in zip(*(batch.column(i).to_pylist() for i in range(6))):
+            rows = [[] for _ in range(6)]
+            for o, blk, h1, h2, d, words in zip(*(batch.column(i).to_pylist() for i in range(6))):
                 if (o, blk) != shard:
                     shard, doc, sam, fresh = (o, blk), None, SuffixAutomaton(), []
-                if one_d != doc:
+                if d != doc:
                     for run in fresh:
                         sam.add(run)
-                    doc, fresh = one_d, []
+                    doc, fresh = d, []
                 words = words.split()
                 marked = spans(sam.matches(words, n), n) if len(sam.next) > 1 else []
-                for x, y in marked:
-                    d.append(one_d)
-                    t.append(one_t)
-                    a.append(at + x)
-                    b.append(at + y)
                 fresh += [words[x:y] for x, y in rest(marked, len(words), n)]
-            if d:
-                yield pa.RecordBatch.from_arrays([pa.array(d, pa.int64()), pa.array(t, pa.int64()), pa.array(a, pa.int32()), pa.array(b, pa.int32())], names=["_d", "_t", "x", "y"])
+                for row, value in zip(rows, (o, blk, h1, h2, d, [{"x": x, "y": y} for x, y in marked])):
+                    row.append(value)
+            types = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.struct([("x", pa.int32()), ("y", pa.int32())])))
+            yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(rows, types)], names=["o", "b", "h1", "h2", "d", "marked"])
 
     width = C.shuffle_width(spark) * 2
-    marked = sent.repartition(width, "o", "b").sortWithinPartitions("o", "b", "_d", "_t", "at").mapInArrow(match, "_d long, _t long, x int, y int")
-    return marked.groupBy("_d", "_t").agg(F.sort_array(F.collect_set(F.struct("x", "y"))).alias("ranges"))
+    streamed = distinct.select(*key, "d", "words").repartition(width, "o", "b").sortWithinPartitions("o", "b", "d", "h1", "h2").mapInArrow(match, "o long, b int, h1 long, h2 long, d long, marked array<struct<x:int,y:int>>")
+    whole = F.array(F.struct(F.lit(0).alias("x"), F.col("n").alias("y")))
+    marked = sent.drop("words").join(streamed, key).withColumn("marked", F.when(F.col("_d") > F.col("d"), whole).otherwise(F.col("marked")))
+    each = marked.select("_d", "_t", "at", F.explode("marked").alias("r")).select("_d", "_t", F.struct((F.col("at") + F.col("r.x")).alias("x"), (F.col("at") + F.col("r.y")).alias("y")).alias("r"))
+    return each.groupBy("_d", "_t").agg(F.sort_array(F.collect_set("r")).alias("ranges"))
 
 
 def drop_repeats(docs: DataFrame, n: int = WORDS, gram: int = GRAM) -> DataFrame:
@@ -266,3 +274,15 @@ def drop_repeats(docs: DataFrame, n: int = WORDS, gram: int = GRAM) -> DataFrame
 def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     kept = drop_repeats(C.table(spark, sf_dir, "documents"))
     return kept.select("doc_id", "n_words", "n_removed", F.sha2(F.col("kept").cast("binary"), 256).alias("kept_sha256"))
+
+
+ORACLE = r"""
+WITH t AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+win AS (SELECT doc_id, i, array_to_string(list_slice(w, i, i + 12), ' ') AS g FROM (SELECT doc_id, w, unnest(range(1, len(w) - 11)) AS i FROM t WHERE len(w) >= 13)),
+lead AS (SELECT g, min(doc_id) AS d FROM win GROUP BY g),
+hit AS (SELECT DISTINCT win.doc_id, win.i + k AS p FROM win JOIN lead ON win.g = lead.g CROSS JOIN (SELECT unnest(range(0, 13)) AS k) WHERE lead.d < win.doc_id),
+every AS (SELECT doc_id, p, list_extract(w, p) AS word FROM (SELECT doc_id, w, unnest(range(1, len(w) + 1)) AS p FROM t WHERE len(w) > 0)),
+kept AS (SELECT e.doc_id, string_agg(e.word, ' ' ORDER BY e.p) AS s, count(*) AS n FROM every e LEFT JOIN hit h ON e.doc_id = h.doc_id AND e.p = h.p WHERE h.p IS NULL GROUP BY e.doc_id)
+SELECT t.doc_id, len(w)::BIGINT AS n_words, (len(w) - coalesce(kept.n, 0))::BIGINT AS n_removed, sha256(coalesce(kept.s, '')) AS kept_sha256
+FROM t LEFT JOIN kept ON t.doc_id = kept.doc_id
+"""

@@ -100,7 +100,10 @@ def line_keys(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
 
 
 def drop_frequent(docs: DataFrame, min_docs: int = MIN_DOCS, min_chars: int = MIN_CHARS, batches: int = BATCHES, fanout: int = FANOUT) -> DataFrame:
-    """docs with text rid of lines whose key is in min_docs documents, and n_lines, n_dropped (long)."""
+    """docs with text rid of lines whose key is in min_docs documents, and n_lines, n_dropped (long).
+
+    Other columns stay; those named _d, _t, _lines, _drop, n_lines or n_dropped are replaced or dropped.
+    """
     spark = docs.sparkSession
     keys = C.materialize(line_keys(docs, min_chars), "line-keys")
     store = LineRuns(spark, fanout)

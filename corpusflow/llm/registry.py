@@ -22,4 +22,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict:
-    return {"op1_license_scan": license_scan.oracle(), "op4_quality_rules": quality_rules.ORACLE, "op8_line_dedup": line_dedup.ORACLE}
+    return {"op1_license_scan": license_scan.oracle(), "op3_substring_dedup": substring_dedup.ORACLE, "op4_quality_rules": quality_rules.ORACLE, "op8_line_dedup": line_dedup.ORACLE}

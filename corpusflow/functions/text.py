@@ -34,7 +34,7 @@ operator("fn_inline_marks", "SELECT block_id, $size($all_matches(content, r'\\*\
 operator("fn_attrs", "SELECT event_id, $extract(a, r'kind=\"([^\"]*)\"', 1) AS kind, $extract(a, r'user=([0-9]+)', 1) AS user FROM (SELECT event_id, 'kind=\"' || event_type || '\" user=' || $text(user_id) AS a FROM {events})", "k=v pairs to fields.")
 operator("fn_word_count", "SELECT doc_id, $count_matches(text, r'[^\\x20\\x09-\\x0D]+') AS by_space, $count_matches(text, r'[\\p{L}\\p{N}_]+') AS by_letters FROM {documents}", "Words by white space and by letters.")
 operator("fn_clause_count", "SELECT block_id, $size($keep($split(content, r'[,;.]'), trim(x) <> '')) AS clauses FROM {blocks}", "Clauses between commas, semicolons and stops.")
-operator("fn_rich_text_split", "SELECT doc_id, piece, substr(text, $long(piece * 2000 + 1), 2000) AS part, $div(piece, 100) AS request FROM (SELECT doc_id, text, $explode($range($long(0), $div($long(greatest(length(text) - 1, 0)), 2000))) AS piece FROM {documents})".replace("substr(text, $long(piece * 2000 + 1), 2000)", "substr(text, cast(piece * 2000 + 1 AS INT), 2000)"), "Pieces of 2,000 characters, a hundred to a request.")
+operator("fn_rich_text_split", "SELECT doc_id, piece, substr(text, cast(piece * 2000 + 1 AS INT), 2000) AS part, $div(piece, 100) AS request FROM (SELECT doc_id, text, $explode($range($long(0), $div($long(greatest(length(text) - 1, 0)), 2000))) AS piece FROM {documents})", "Pieces of 2,000 characters, a hundred to a request.")
 _lin = "CASE WHEN {c} / 255E0 <= 0.04045 THEN {c} / 255E0 / 12.92E0 ELSE power(({c} / 255E0 + 0.055E0) / 1.055E0, 2.4E0) END"
 operator("fn_color_lab", f"SELECT p_partkey, round(0.2126E0 * ({_lin.format(c='r')}) + 0.7152E0 * ({_lin.format(c='g')}) + 0.0722E0 * ({_lin.format(c='b')}), 6) AS luminance FROM (SELECT p_partkey, p_partkey % 256 AS r, p_partkey * 7 % 256 AS g, p_partkey * 13 % 256 AS b FROM {{part}})", "Relative luminance of a colour.")
 operator("val_contrast", f"SELECT p_partkey, round(1.05E0 / (0.05E0 + 0.2126E0 * ({_lin.format(c='r')}) + 0.7152E0 * ({_lin.format(c='g')}) + 0.0722E0 * ({_lin.format(c='b')})), 6) AS ratio FROM (SELECT p_partkey, p_partkey % 256 AS r, p_partkey * 7 % 256 AS g, p_partkey * 13 % 256 AS b FROM {{part}})", "Contrast of a colour with white.")

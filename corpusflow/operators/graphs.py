@@ -17,9 +17,9 @@ operator("gr_cycles", _walk + "SELECT origin AS smallest, path, $long(depth) AS
 operator("gr_has_cycle", _walk + "SELECT count(*) > 0 AS has_cycle FROM walk WHERE node = origin", "Whether there is a cycle.")
 operator("gr_cycle_policy", _walk + "SELECT CASE WHEN count_if(node = origin) > 0 THEN 'block' ELSE 'pass' END AS verdict, $long(count_if(node = origin)) AS n FROM walk", "A blocking policy fails on any cycle.")
 operator("gr_depends_acyclic", """
-WITH RECURSIVE walk AS (SELECT a AS origin, b AS node, 1 AS depth FROM {precedence} UNION SELECT w.origin, e.b, w.depth + 1 FROM walk w JOIN {precedence} e ON e.a = w.node WHERE w.depth < 24)
+WITH RECURSIVE walk AS (SELECT a AS origin, b AS node, 1 AS depth FROM {precedence} UNION ALL SELECT w.origin, e.b, w.depth + 1 FROM walk w JOIN {precedence} e ON e.a = w.node WHERE w.depth < 24)
 SELECT coalesce(count_if(origin = node), 0) = 0 AS acyclic, $long(max(depth)) AS longest FROM walk
-""".replace("UNION SELECT", "UNION ALL SELECT"), "Dependencies along rising keys have no cycle.", oracle="""
+""", "Dependencies along rising keys have no cycle.", oracle="""
 WITH RECURSIVE walk AS (SELECT a AS origin, b AS node, 1 AS depth FROM precedence UNION SELECT w.origin, e.b, w.depth + 1 FROM walk w JOIN precedence e ON e.a = w.node WHERE w.depth < 24)
 SELECT coalesce(count_if(origin = node), 0) = 0 AS acyclic, max(depth)::BIGINT AS longest FROM walk
 """)
@@ -54,6 +54,6 @@ SELECT t.chapter, w.doc_id AS mentions_in, $long(count(*)) AS n, w.doc_id > t.ch
 """, "Mentions of a chapter's terms in other chapters.")
 operator("gr_study_routes", """
 WITH c AS (SELECT c.domain, c.concept, n.note_id, n.minutes, n.note_type, row_number() OVER (PARTITION BY c.domain ORDER BY n.minutes, c.concept, n.note_id) AS step FROM {concepts} c JOIN {notes} n ON n.doc_id = c.doc_id)
-SELECT domain, $long(count(*)) AS steps, $long(sum(minutes)) AS minutes, min(CASE WHEN note_type = 'procedure' THEN step END) AS checkpoint FROM c GROUP BY domain
-""".replace("min(CASE", "$long(min(CASE").replace("END) AS checkpoint", "END)) AS checkpoint"), "Steps, minutes and first practice of each domain's route.")
+SELECT domain, $long(count(*)) AS steps, $long(sum(minutes)) AS minutes, $long(min(CASE WHEN note_type = 'procedure' THEN step END)) AS checkpoint FROM c GROUP BY domain
+""", "Steps, minutes and first practice of each domain's route.")
 operator("gr_review_route", "SELECT error_id, domain, coalesce(review_next, $date('9999-12-31')) AS review_next, $long(row_number() OVER (PARTITION BY domain ORDER BY coalesce(review_next, $date('9999-12-31')), error_id)) AS place FROM {error_log}", "Error entries by review date; entries without one are last.")

@@ -77,9 +77,9 @@ SELECT n.note_id, $long(count(*)) AS n_refs, $long(count_if(d.change <> 'unchang
 FROM {{nodes}} n JOIN d ON n.block_ref = d.block_id GROUP BY n.note_id HAVING count_if(d.change <> 'unchanged') > 0
 """, "Notes whose sources changed; obsolete if all were removed.")
 operator("join_self_pairs", """
-SELECT a.note_id AS a, b.note_id AS b, a.note_type FROM {notes} a JOIN {notes} b ON a.note_type = b.note_type AND a.ir_title = b.ir_title AND a.note_id < b.note_id
-""".replace("a.ir_title = b.ir_title", "lower(a.title) = lower(b.title)"), "Unordered pairs of notes of one type, blocked by their normalised title.")
-operator("join_alias_lookup", "SELECT u.unit_id, u.term, min(g.canonical) AS canonical FROM {units} u JOIN {glossary} g ON u.term = g.alias OR u.term = g.canonical GROUP BY u.unit_id, u.term".replace("u.term = g.alias OR u.term = g.canonical", "u.term = g.name"), "Term or alias to its canonical name.", glossary="glossary_names")
+SELECT a.note_id AS a, b.note_id AS b, a.note_type FROM {notes} a JOIN {notes} b ON a.note_type = b.note_type AND lower(a.title) = lower(b.title) AND a.note_id < b.note_id
+""", "Unordered pairs of notes of one type, blocked by their normalised title.")
+operator("join_alias_lookup", "SELECT u.unit_id, u.term, min(g.canonical) AS canonical FROM {units} u JOIN {glossary} g ON u.term = g.name GROUP BY u.unit_id, u.term", "Term or alias to its canonical name.", glossary="glossary_names")
 operator("join_links", """
 SELECT l.src, l.dst, CASE WHEN n.note_id IS NULL THEN 'missing' WHEN l.src = l.dst THEN 'self' ELSE 'resolved' END AS status
 FROM {note_links} l LEFT JOIN {notes} n ON l.dst = n.note_id

@@ -6,7 +6,7 @@ from corpusflow.plans.catalog import operator
 
 operator("srt_candidates", "SELECT a, b, confidence FROM (SELECT x.note_id AS a, y.note_id AS b, $double(100 - abs(x.n_blocks - y.n_blocks)) / 100 AS confidence FROM {notes} x JOIN {notes} y ON x.title = y.title AND x.note_id < y.note_id) ORDER BY confidence DESC, a, b", "Candidates by confidence, then pair.")
 operator("srt_graph", "SELECT domain, concept, doc_id FROM {concepts} ORDER BY domain, concept", "Graph nodes in order.")
-operator("top_k_sections", "SELECT source, section_path, n, k FROM (SELECT source, section_path, n, $long(row_number() OVER (PARTITION BY source ORDER BY n DESC, section_path)) AS k FROM (SELECT source, section_path, $long(count(*)) AS n FROM {units} WHERE state = 'pending' GROUP BY source_hash, source, section_path)) WHERE k <= 5".replace("source_hash, source, section_path", "source, section_path").replace("FROM {units} WHERE", "FROM (SELECT b.source, u.section_path, u.state FROM {units} u JOIN {blocks} b ON u.section_path = b.section_path AND u.block_index = b.block_index) WHERE"), "The five largest sections of each source.")
+operator("top_k_sections", "SELECT source, section_path, n, k FROM (SELECT source, section_path, n, $long(row_number() OVER (PARTITION BY source ORDER BY n DESC, section_path)) AS k FROM (SELECT source, section_path, $long(count(*)) AS n FROM (SELECT b.source, u.section_path, u.state FROM {units} u JOIN {blocks} b ON u.section_path = b.section_path AND u.block_index = b.block_index) WHERE state = 'pending' GROUP BY source, section_path)) WHERE k <= 5", "The five largest sections of each source.")
 operator("lim_max_pages", "SELECT page_id, url FROM {pages} ORDER BY page_id LIMIT 500", "A crawl stops at its page limit, which is the operator's feature.")
 operator("lim_caps", "SELECT doc_id, pos, k FROM (SELECT doc_id, pos, $long(row_number() OVER (PARTITION BY doc_id ORDER BY pos)) AS k FROM {lines} WHERE $matches(line, r'  +|\\x09')) WHERE k <= 50", "Fifty corrections a region at most, which is the operator's feature.")
 _rank = "SELECT unit_id, criticality, row_number() OVER (PARTITION BY criticality ORDER BY $sha1('7' || unit_id), unit_id) AS k, count(*) OVER (PARTITION BY criticality) AS n FROM {units}"

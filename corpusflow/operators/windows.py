@@ -63,13 +63,18 @@ SELECT doc_id, block_index, CASE WHEN k = 1 THEN slug ELSE slug || '-' || $text(
 FROM (SELECT doc_id, block_index, slug, row_number() OVER (PARTITION BY doc_id, slug ORDER BY block_index) AS k FROM (SELECT doc_id, block_index, trim($replace_all(lower(content), r'[^a-z0-9]+', '-')) AS slug FROM {blocks} WHERE type = 'heading'))
 """, "Suffix -2, -3 for repeated slugs.")
 operator("win_first_wins", "SELECT source_hash, term, unit_id, doc_id FROM (SELECT source_hash, term, unit_id, doc_id, row_number() OVER (PARTITION BY source_hash, term ORDER BY doc_id, block_index) AS k FROM {units} WHERE type = 'definition') WHERE k = 1", "First definition of a term in a domain.")
-_runs = """
+
+
+def _runs(kind: str, most: int) -> str:
+    return f"""
 WITH s AS (SELECT note_id, ord, node, CASE WHEN node = lag(node) OVER (PARTITION BY note_id ORDER BY ord) THEN 0 ELSE 1 END AS cut FROM {{nodes}}),
 g AS (SELECT note_id, ord, node, sum(cut) OVER (PARTITION BY note_id ORDER BY ord) AS island FROM s)
 SELECT note_id, min(ord) AS first_ord, $long(count(*)) AS n FROM g WHERE node = '{kind}' GROUP BY note_id, island HAVING count(*) > {most}
 """
-operator("win_callout_run", _runs.replace("{kind}", "callout").replace("{most}", "1").replace("{{nodes}}", "{nodes}"), "Runs of callouts longer than allowed.")
-operator("win_bullet_run", _runs.replace("{kind}", "bullet").replace("{most}", "1").replace("{{nodes}}", "{nodes}"), "Runs of bullets longer than allowed.")
+
+
+operator("win_callout_run", _runs("callout", 1), "Runs of callouts longer than allowed.")
+operator("win_bullet_run", _runs("bullet", 1), "Runs of bullets longer than allowed.")
 operator("win_chunks_by_size", "SELECT section_path, $div(block_index, 30) AS chunk, $min_by(block_id, block_index) AS first_block, $max_by(block_id, block_index) AS last_block, $long(count(*)) AS n FROM {blocks} GROUP BY section_path, $div(block_index, 30)", "Chunks of thirty blocks with their ends.")
 operator("win_chunks_by_chapter", """
 WITH c AS (SELECT doc_id, block_index, block_id, greatest(sum(CASE WHEN type = 'heading' THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY block_index) - 1, 0) AS chapter FROM {blocks})
@@ -95,8 +100,8 @@ operator(
     "win_line_order",
     f"""
 SELECT page, $long(b.word_id) AS word_id, $long(row_number() OVER (PARTITION BY page ORDER BY anchor, b.x, b.word_id)) AS reading
-FROM (SELECT page, explode(arrays_zip(bs, {_ANCHORS.format(items="bs", y=".y", tol=12)} AS anchors)) AS z FROM (SELECT page, sort_array(collect_list(struct(y, x, word_id))) AS bs FROM {{boxes}} GROUP BY page)) LATERAL VIEW inline(array(struct(z.bs AS b, z.anchors AS anchor))) v AS b, anchor
-""".replace("arrays_zip(bs, ", "zip_with(bs, ").replace(" AS anchors)) AS z", ", (b, a) -> struct(b AS bs, a AS anchors))) AS z"),
+FROM (SELECT page, explode(zip_with(bs, {_ANCHORS.format(items="bs", y=".y", tol=12)}, (b, a) -> struct(b AS bs, a AS anchors))) AS z FROM (SELECT page, sort_array(collect_list(struct(y, x, word_id))) AS bs FROM {{boxes}} GROUP BY page)) LATERAL VIEW inline(array(struct(z.bs AS b, z.anchors AS anchor))) v AS b, anchor
+""",
     "Words by line, a line lasting while near its first word, then by place.",
     oracle="""
 WITH RECURSIVE s AS (SELECT page, word_id, x, y, row_number() OVER (PARTITION BY page ORDER BY y, x, word_id) AS k FROM boxes),
@@ -105,10 +110,10 @@ SELECT page, word_id, row_number() OVER (PARTITION BY page ORDER BY anchor, x, w
 """,
 )
 operator("win_prose_run", """
-SELECT note_id, ord, run, run > 60 AS over_limit FROM (
+SELECT note_id, ord, $long(run) AS run, run > 60 AS over_limit FROM (
   SELECT note_id, ord, sum(n_words) OVER (PARTITION BY note_id, anchors ORDER BY ord) AS run
   FROM (SELECT note_id, ord, node, n_words, sum(CASE WHEN node <> 'paragraph' THEN 1 ELSE 0 END) OVER (PARTITION BY note_id ORDER BY ord) AS anchors FROM {nodes}) WHERE node = 'paragraph')
-""".replace("SELECT note_id, ord, run,", "SELECT note_id, ord, $long(run) AS run,"), "Words of prose since the last anchor.")
+""", "Words of prose since the last anchor.")
 operator("win_cross_page_tables", """
 WITH t AS (SELECT page, region_id, text, col FROM {regions} WHERE cls = 'table'), n AS (SELECT a.page AS a, b.page AS b, a.region_id AS ra, b.region_id AS rb, a.text AS ta, b.text AS tb FROM t a JOIN t b ON b.page = a.page + 1 AND a.col = b.col)
 SELECT a, b, ra, rb, $double(greatest(length(ta), length(tb)) - levenshtein(ta, tb)) / greatest(length(ta), length(tb)) >= 0.5 AS merged FROM n

@@ -1,0 +1,149 @@
+"""Near copies by exact Jaccard similarity of shingle sets.
+
+A text is the set of its shingles of SHINGLE words in lower case (A-Z); equal sets are one node from the start. Two sets with
+Jaccard similarity NUMERATOR / DENOMINATOR or more share an entry among the first n - ceil(similarity * n) + 1 of each in
+any order that all sets have in common, so an index of these entries meets every such pair: no pair is lost. Shingles that
+a sample holds often stand last in the order, which keeps entries short; the order decides about speed alone.
+
+Neighbours inside an entry are verified first and become components; then all pairs of an entry that lie in two components
+are verified, so that a large cluster of copies is not compared pair by pair. Sets are told apart by 64-bit hashes.
+
+Defined cases: null or blank text is the empty set, like to itself alone; with fewer words than a shingle the whole
+sequence is the shingle; a null doc_id takes part; an empty table gives no rows.
+"""
+
+from __future__ import annotations
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame, Window
+from pyspark.sql import functions as F
+
+from corpusflow.llm import _common as C
+from corpusflow.llm._graph import components
+
+SHINGLE = 5
+NUMERATOR, DENOMINATOR = 4, 5
+#: The sample from which common shingles are learned: one text in so many, and how many of the shingles.
+SAMPLED, COMMON = 16, 200_000
+#: Buckets of a sketch.
+SKETCH = 128
+
+
+def shingle_sets(texts: pa.Array, shingle: int = SHINGLE) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the distinct shingles of each text, one text after another and sorted inside, and where each text begins."""
+    words = C.Words(texts, lower=True)
+    h = words.hashes()
+    begin, count = words.first[:-1], np.diff(words.first)
+    whole = np.flatnonzero((count > 0) & (count < shingle))
+    at = np.flatnonzero(C.valid_windows(words, shingle))
+    value = [C.window_hashes(h, shingle)[at]]
+    owner = [words.owner()[at]]
+    for n in range(1, shingle):
+        some = whole[count[whole] == n]
+        if len(some):
+            value.append(C.window_hashes(h, n)[begin[some]] ^ np.uint64(n))
+            owner.append(some)
+    value, owner = np.concatenate(value), np.concatenate(owner)
+    order = np.lexsort((value, owner))
+    value, owner = value[order], owner[order]
+    keep = np.ones(len(value), bool)
+    keep[1:] = (value[1:] != value[:-1]) | (owner[1:] != owner[:-1])
+    value, owner = value[keep], owner[keep]
+    return value, np.searchsorted(owner, np.arange(len(texts) + 1))
+
+
+def _lists(value: np.ndarray, first: np.ndarray) -> pa.ListArray:
+    return pa.ListArray.from_arrays(pa.array(first.astype(np.int32)), pa.array(value.view(np.int64)))
+
+
+def common_shingles(docs: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """Shingles that several texts of the sample hold, sorted, and in how many each is."""
+
+    def work(batch: pa.RecordBatch) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(shingle_sets(batch.column("text"))[0].view(np.int64))], names=["s"])
+
+    sample = docs.select("text").where(F.pmod(F.xxhash64("text"), F.lit(SAMPLED)) == 0).distinct()
+    got = C.map_chunks(sample, "text", "s long", work).groupBy("s").agg(F.count("*").alias("n")).where("n > 2").orderBy(F.desc("n"), "s").limit(COMMON).toArrow()
+    s, n = got.column("s").to_numpy().view(np.uint64), got.column("n").to_numpy()
+    order = np.argsort(s)
+    return s[order], n[order]
+
+
+def shingled(docs: DataFrame, parts: str, common: tuple[np.ndarray, np.ndarray] | None = None) -> DataFrame:
+    """docs' doc_id, _d, _t and node (a hash of the set), size and one of parts: `sketch, entries` of the index, or `shingles`."""
+    columns = ("doc_id long, _d long, _t long, " if common is not None else "") + "node long, size int, " + parts
+
+    def work(batch: pa.RecordBatch) -> pa.RecordBatch:
+        value, first = shingle_sets(batch.column("text"))
+        size = np.diff(first)
+        sums = np.r_[np.uint64(0), np.cumsum(C.mix(value ^ np.uint64(0x5851F42D4C957F2D)))]
+        node = C.mix(sums[first[1:]] - sums[first[:-1]] + size.astype(np.uint64))
+        out = [pa.array(node.view(np.int64)), pa.array(size.astype(np.int32))]
+        if common is None:
+            return pa.RecordBatch.from_arrays([*out, _lists(value, first)], names=["node", "size", "shingles"])
+        owner = np.repeat(np.arange(len(size)), size)
+        known, often = common
+        rank = np.zeros(len(value), np.int64)
+        if len(known):
+            at = np.minimum(np.searchsorted(known, value), len(known) - 1)
+            rank = np.where(known[at] == value, often[at], 0)
+        order = np.lexsort((value, rank, owner))
+        entries = size - -(-NUMERATOR * size // DENOMINATOR) + (size > 0)
+        taken = np.arange(len(value)) - first[owner] < entries[owner]
+        counts = np.bincount(owner * SKETCH + (value >> np.uint64(32)).astype(np.int64) % SKETCH, minlength=len(size) * SKETCH)
+        sketch = np.minimum(counts, 255).astype(np.uint8).tobytes()
+        sketches = pa.array([sketch[i : i + SKETCH] for i in range(0, len(sketch), SKETCH)], pa.binary())
+        ids = [batch.column("doc_id").cast(pa.int64()), batch.column("_d"), batch.column("_t")]
+        return pa.RecordBatch.from_arrays([*ids, *out, sketches, _lists(value[order][taken], np.r_[0, np.cumsum(entries)])], names=["doc_id", "_d", "_t", "node", "size", "sketch", "entries"])
+
+    return C.map_chunks(docs.select("doc_id", *C.row_key(), "text"), "text", columns, work)
+
+
+def possible(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
+    """Pairs that sketches do not rule out: counts of shingles in buckets differ by no more than the sets do."""
+
+    def work(batches):
+        for batch in batches:
+            x, y = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint8).reshape(-1, SKETCH).astype(np.int16) for c in ("x", "y"))
+            both = batch.column("m").to_numpy().astype(np.int64) + batch.column("n").to_numpy()
+            ok = np.abs(x - y).sum(axis=1) * (NUMERATOR + DENOMINATOR) <= both * (DENOMINATOR - NUMERATOR)
+            yield batch.select(["a", "b"]).filter(pa.array(ok))
+
+    one = nodes.select(F.col("node").alias("a"), F.col("size").alias("m"), F.col("sketch").alias("x"))
+    two = nodes.select(F.col("node").alias("b"), F.col("size").alias("n"), F.col("sketch").alias("y"))
+    return pairs.join(one, "a").join(two, "b").mapInArrow(work, "a long, b long")
+
+
+def alike(pairs: DataFrame, nodes: DataFrame, docs: DataFrame) -> DataFrame:
+    """Those of distinct pairs(a, b) whose sets are similar enough; sets are made again from docs, for the nodes of pairs alone."""
+    pairs = C.materialize(possible(pairs, nodes), "possible")
+    sets = shingled(docs, "shingles array<long>").join(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "node", "left_semi").dropDuplicates(["node"])
+    one = sets.select(F.col("node").alias("a"), F.col("size").alias("m"), F.col("shingles").alias("x"))
+    two = sets.select(F.col("node").alias("b"), F.col("size").alias("n"), F.col("shingles").alias("y"))
+    both = F.size(F.array_intersect("x", "y"))
+    found = pairs.join(one, "a").join(two, "b").where(both * (NUMERATOR + DENOMINATOR) >= (F.col("m") + F.col("n")) * NUMERATOR)
+    return C.materialize(found.select("a", "b"), "alike")
+
+
+def near_groups(docs: DataFrame) -> DataFrame:
+    """(doc_id, _d, _t, node, component): the component is its smallest node."""
+    marked = C.materialize(shingled(docs, "sketch binary, entries array<long>", common_shingles(docs)), "shingles")
+    nodes = C.materialize(marked.select("node", "size", "sketch", "entries").dropDuplicates(["node"]), "nodes")
+    key = Window.partitionBy("key").orderBy("size", "node")
+    close = F.col("m") * DENOMINATOR >= F.col("size") * NUMERATOR  # m is the smaller size
+    entries = nodes.select("node", "size", F.explode("entries").alias("key"))
+    near = entries.select("*", F.lag("node").over(key).alias("o"), F.lag("size").over(key).alias("m"), F.lead("node").over(key).alias("_next"))
+    index = C.materialize(near.where("o IS NOT NULL OR _next IS NOT NULL").drop("_next"), "entries")  # an entry that one node has meets nothing
+    pairs = C.materialize(index.where("o IS NOT NULL").where(close).select(F.col("node").alias("a"), F.col("o").alias("b")).distinct(), "pairs")
+    links = alike(pairs, nodes, docs)
+    parts = components(links)
+    named = index.drop("o", "m").join(parts, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    every = Window.partitionBy("key")
+    mixed = C.materialize(named.select("*", F.min("component").over(every).alias("lo"), F.max("component").over(every).alias("hi")).where("lo <> hi").drop("lo", "hi"), "mixed")
+    other = mixed.select("key", F.col("node").alias("o"), F.col("size").alias("m"), F.col("component").alias("oc"))
+    rest = mixed.join(other, "key").where("component <> oc AND (m < size OR m = size AND o < node)").where(close).select(F.col("node").alias("a"), F.col("o").alias("b")).distinct()
+    more = alike(rest.join(pairs, ["a", "b"], "left_anti"), nodes, docs)
+    if more.limit(1).count():
+        parts = components(links.union(more))
+    return marked.select("doc_id", "_d", "_t", "node").join(parts, "node", "left").withColumn("component", F.coalesce("component", "node"))

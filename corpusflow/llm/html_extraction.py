@@ -30,6 +30,8 @@ STEPS = 160
 _TAG = re.compile(r"<!--.*?(?:-->|\Z)|<(script|style|noscript|template|svg|iframe|object|textarea|title)\b(?:[^>\"']|\"[^\"]*\"|'[^']*')*>.*?(?:</\1\s*>|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?][^>]*>", re.S | re.I)
 _NAMED = re.compile(r"(?:class|id|role|itemprop)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 _HIDDEN = re.compile(r"\bhidden\b(?!=\s*[\"']?false)|display\s*:\s*none|aria-hidden\s*=\s*[\"']?true", re.I)
+_ATTRIBUTE = re.compile(r"([^\s\"'>/=]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?")
+_NO_DISPLAY = re.compile(r"display\s*:\s*none", re.I)
 _INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q s samp small span strike strong sub sup time tt u var wbr br img".split())
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 _OUT = frozenset("head script style noscript template select button svg iframe object textarea title option".split())
@@ -40,6 +42,17 @@ _CUES = re.compile(r"©|cookie|subscri|newsletter|advert|sponsor|related|comment
 _STOP = tuple(".!?…\"”»')")
 
 
+def hidden(attributes: str) -> bool:
+    """Whether a tag's attributes hide its element; words inside other attributes' values do not."""
+    if not _HIDDEN.search(attributes):
+        return False
+    for name, *values in _ATTRIBUTE.findall(attributes):
+        name, value = name.lower(), "".join(values)
+        if name == "hidden" and value.strip().lower() != "false" or name == "aria-hidden" and value.strip().lower() == "true" or name == "style" and _NO_DISPLAY.search(value):
+            return True
+    return False
+
+
 class Block:
     __slots__ = ("text", "path", "linked")
 
@@ -114,7 +127,7 @@ def leaf_blocks(html: str) -> list[Block]:
             named = [x for g in _NAMED.findall(m[4]) for x in g if x]
             words = tuple(w for x in named for w in _SPLIT.split(x.strip()) if w) if named else ()
             words = tuple(w.lower() for w in words)
-            if _HIDDEN.search(m[4]):
+            if hidden(m[4]):
                 words += ("\0",)
         stack.append((name, words))
         mute += name in _OUT or "\0" in words

@@ -9,6 +9,7 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -21,6 +22,9 @@ _LOWER[65:91] += 32
 _U64 = np.uint64
 _BASE = 0x9E3779B97F4A7C15 | 1
 _WINDOW_BASE = 0xC2B2AE3D27D4EB4F
+#: Masks of the first n bytes of eight.
+_LANE = np.array([(1 << 8 * n) - 1 for n in range(9)], _U64)
+_LONG_WORD = 256
 #: Text handled at once by a Python task; a longer single text forms a chunk alone.
 CHUNK_BYTES = 2 << 20
 
@@ -105,16 +109,24 @@ class Words:
         return np.repeat(np.arange(len(self.first) - 1), np.diff(self.first))
 
     def hashes(self) -> np.ndarray:
-        """A 64-bit hash of each word's bytes."""
+        """A 64-bit hash of each word's bytes: eight bytes at a time are mixed in, after the length; long words go to XXH3."""
         if not len(self.starts):
             return np.zeros(0, _U64)
         lens = self.ends - self.starts
-        at = np.cumsum(lens) - lens
-        place = np.arange(int(lens.sum())) - np.repeat(at, lens)
-        values = self.data[self.solid].astype(_U64)
-        values += _U64(1)
-        values *= powers(_BASE, int(lens.max()))[place]
-        return mix(np.add.reduceat(values, at) ^ lens.astype(_U64) << _U64(48))
+        padded = np.zeros(len(self.data) + 8, np.uint8)
+        padded[: len(self.data)] = self.data
+        lanes = np.ndarray((len(self.data) + 1,), "<u8", padded, strides=(1,))  # eight bytes from each place on
+        out = mix(lens.astype(_U64) * _U64(_BASE))
+        todo, at = np.flatnonzero(lens <= _LONG_WORD), 0
+        while len(todo):
+            left = lens[todo] - at
+            lane = lanes[self.starts[todo] + at] & _LANE[np.minimum(left, 8)]
+            out[todo] = mix((out[todo] ^ lane) * _U64(_BASE) + _U64(at))
+            at += 8
+            todo = todo[left > 8]
+        for i in np.flatnonzero(lens > _LONG_WORD).tolist():
+            out[i] = xxhash.xxh3_64_intdigest(self.data[self.starts[i] : self.ends[i]].tobytes())
+        return out
 
     def list(self) -> list[bytes]:
         raw = self.data.tobytes()

@@ -277,12 +277,16 @@ def test_language_held_out(spark):
     assert {r.lang_pred for r in language_id.predict(table(spark, EMPTY), None).collect()} == {"und"}
 
 
-def test_lm_base_and_model(spark, docs, rows):
+def held(df):
     from pyspark.sql import functions as F
 
-    held = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 7 == 2, F.lit(False))
-    marked = docs.withColumn("held_out", held)
-    got = lm_scoring.score(marked, marked.where("NOT held_out")).collect()
+    return df.withColumn("held_out", F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 7 == 2, F.lit(False)))
+
+
+def test_lm_base_and_model(spark, docs, rows):
+    marked = held(docs)
+    model = lm_scoring.fit(marked.where("NOT held_out"))
+    got = lm_scoring.score(marked, model).collect()
     tokens = [(i, [*(t or "").encode().lower().split(), None]) for i, t in rows]
     out = lambda i: i is not None and zlib.crc32(str(i).encode()) % 7 == 2
     c = Counter(w for i, ws in tokens if not out(i) for w in ws)
@@ -290,8 +294,59 @@ def test_lm_base_and_model(spark, docs, rows):
     want = Counter((i, len(ws), sum(c[w] > 0 for w in ws), n, round(sum(math.log10((c[w] + 1) / (n + v + 1)) for w in ws), 6)) for i, ws in tokens)
     assert Counter((r.doc_id, r.n_tokens, r.n_known, r.train_tokens, round(r.base_score, 6)) for r in got) == want
     assert all(r.score < 0 and math.isfinite(r.score) for r in got)
-    none = lm_scoring.score(marked.limit(3), marked.limit(0)).collect()
+    # how many words tasks hold changes nothing
+    few = lm_scoring.score(marked, lm_scoring.fit(marked.where("NOT held_out"), local_words=3)).collect()
+    plain = lambda rows: sorted((str(r.doc_id), r.n_tokens, r.n_known, round(r.base_score, 6)) for r in rows)
+    assert plain(few) == plain(got)
+    cut = {**model, "tasks": {**model["tasks"], "key": model["tasks"]["key"][:5], "c": model["tasks"]["c"][:5]}}
+    exact = lambda rows: sorted((str(r.doc_id), r.n_tokens, round(r.score, 4)) for r in rows)
+    assert exact(lm_scoring.score(marked, cut).collect()) == exact(got)
+    none = lm_scoring.score(marked.limit(3), lm_scoring.fit(marked.limit(0))).collect()
     assert len(none) == 3 and all(r.train_tokens == 0 and math.isfinite(r.score) for r in none)
+    assert lm_scoring.score(marked.limit(0), model).count() == 0
+
+
+def test_lm_score_equals_brute_force(spark, docs, rows):
+    """Every word of some texts, id by id, from the model's parameters and plain counts."""
+    L = lm_scoring
+    marked = held(docs)
+    model = L.fit(marked.where("NOT held_out"))
+    out = lambda i: i is not None and zlib.crc32(str(i).encode()) % 7 == 2
+    words_of = lambda t: [*(t or "").encode().lower().split(), None]
+    c = Counter(w for i, t in rows if not out(i) for w in words_of(t))
+    m, enc = model["attention"].tables(), packing.encoder()
+    features, centres, within = model["tasks"]["features"], model["tasks"]["centres"], model["tasks"]["tables"]["within"]
+    spell = {w: [L.END] if w is None else enc.encode_ordinary(" " + w.decode()) for i, t in rows for w in words_of(t)}
+    kind = {w: L.WORD_CLASSES - 1 if w is None else int(np.argmax(centres @ features[ids].sum(0))) for w, ids in spell.items()}
+    mass = np.zeros(L.WORD_CLASSES)
+    for w, n in c.items():
+        mass[kind[w]] += n - L.DISCOUNT
+    s = 1 - mass.sum() / sum(c.values())
+    softmax = lambda z: np.exp(z - z.max()) / np.exp(z - z.max()).sum()
+    r = model["attention"].p["r"]
+    got = {x.doc_id: x.score for x in L.score(marked, model).collect()}
+    picked = [(i, t) for i, t in rows if i in (3, 15, 900, 901, 904, 906)]
+    for i, t in picked:
+        stream = [L.END, *(x for w in words_of(t) for x in spell[w])]
+        total, at = 0.0, 0
+        for w in words_of(t):
+            spelled, named = 1.0, None
+            for x in spell[w]:
+                block = at // L.STRIDE * L.STRIDE
+                inputs = stream[max(0, block - L.CONTEXT) if block else 0 : at + 1]
+                weight = np.array([math.exp(m["q"][inputs[-1]] @ m["k"][y]) * math.exp(r[len(inputs) - 1 - j]) for j, y in enumerate(inputs)])
+                mean = weight @ m["v"][inputs] / weight.sum()
+                before = m["class"][inputs[-1]]
+                if named is None:
+                    named = softmax(mean @ m["wo"] + m["wt"][before])[kind[w]]
+                spelled *= softmax(mean @ m["o"] + m["t"][before])[m["class"][x]] * math.exp(within[before, x])
+                at += 1
+            by_name = named * (c[w] - L.DISCOUNT) / mass[kind[w]] if c[w] else 0
+            total += math.log10((1 - s) * by_name + s * spelled)
+        assert abs(got[i] - total) < 1e-3 * max(1, abs(total)), i
+    shares = np.exp(within.astype(np.float64))
+    for k in (0, 7):
+        assert np.allclose(np.bincount(m["class"], weights=shares[k], minlength=L.CLASSES), 1, atol=1e-3)
 
 
 def test_lm_windows_score_each_id_once(spark):
@@ -299,22 +354,23 @@ def test_lm_windows_score_each_id_once(spark):
     classes = rng.integers(0, lm_scoring.CLASSES, lm_scoring.IDS)
     features = rng.standard_normal((lm_scoring.IDS, lm_scoring.FEATURES)).astype(np.float32)
     att = lm_scoring.Attention(classes, features)
-    stream = np.r_[rng.integers(0, 1000, 70), lm_scoring.END, rng.integers(0, 1000, 3), lm_scoring.END].astype(np.int32)
-    ends = np.array([71, 75])
-    m = att.tables()
-    word = np.where(rng.random(75) < 0.4, rng.integers(0, lm_scoring.WORD_CLASSES, 75), -1).astype(np.int32)
+    stream = np.r_[rng.integers(0, 1000, 170), lm_scoring.END, rng.integers(0, 1000, 3), lm_scoring.END].astype(np.int32)
+    ends = np.array([171, 175])
+    m = att.tables() | {"within": rng.standard_normal((lm_scoring.CLASSES, lm_scoring.IDS)).astype(np.float32)}
+    word = np.where(rng.random(175) < 0.4, rng.integers(0, lm_scoring.WORD_CLASSES, 175), -1).astype(np.int32)
     got, named = lm_scoring.log_probabilities(stream, ends, m, word)
-    for i in range(75):
-        begin = 0 if i < 71 else 71
+    for i in range(175):
+        begin = 0 if i < 171 else 171
         block = begin + (i - begin) // lm_scoring.STRIDE * lm_scoring.STRIDE
         lo = begin if block == begin else block - lm_scoring.CONTEXT
         inputs = [lm_scoring.END if k == begin else stream[k - 1] for k in range(lo, i + 1)]
         q = m["q"][inputs[-1]]
         w = np.array([math.exp(q @ m["k"][x]) * math.exp(att.p["r"][i - k]) for k, x in zip(range(lo, i + 1), inputs)])
         c = w @ m["v"][inputs] / w.sum()
-        for z, k, have in ((c @ m["o"] + m["t"][classes[inputs[-1]]], classes[stream[i]], got[i]), (c @ m["wo"] + m["wt"][classes[inputs[-1]]], word[i], named[i])):
+        last = classes[inputs[-1]]
+        for z, k, have, more in ((c @ m["o"] + m["t"][last], classes[stream[i]], got[i], m["within"][last, stream[i]]), (c @ m["wo"] + m["wt"][last], word[i], named[i], 0)):
             if k >= 0:
-                assert abs(have - (z - np.log(np.exp(z).sum()))[k] / math.log(10)) < 1e-4
+                assert abs(have - ((z - np.log(np.exp(z).sum()))[k] + more) / math.log(10)) < 1e-4
 
 
 def test_lm_gradients():
@@ -325,19 +381,31 @@ def test_lm_gradients():
     windows = rng.integers(0, 50, (300, lm_scoring.CONTEXT + lm_scoring.STRIDE + 1))
     windows[:, 1:] = (windows[:, :1] + 3 * np.arange(1, windows.shape[1])) % 50  # each id follows from the last
     targets = windows[:, lm_scoring.CONTEXT + 1 :] % 7
-    att = lm_scoring.Attention(classes, features).fit(windows, targets, steps=60)
+    att, state = lm_scoring.Attention(classes, features), {}
+    for _ in range(200):
+        pick = rng.integers(0, 300, 64)
+        att.step(windows[pick], targets[pick], 0.03, state)
     assert att.loss(windows) < 0.5
     yw = att._forward(windows)[-1]
     assert np.take_along_axis(yw, targets[..., None], 2).mean() > 0.6
 
 
-def test_lm_beats_base_on_held_out(spark):
-    df = spark.read.parquet("/root/testdata/sf0.1/documents.parquet").select("doc_id", "text")
-    from pyspark.sql import functions as F
+def test_lm_windows_hold_whole_texts():
+    import pyarrow as pa
 
-    marked = df.withColumn("held_out", F.crc32(F.col("doc_id").cast("string").cast("binary")) % 7 == 2)
-    got = [r for r in lm_scoring.score(marked, marked.where("NOT held_out")).collect() if r.held_out]
-    assert sum(r.score for r in got) > sum(r.base_score for r in got)
+    texts = pa.array(["one two three " * 40, None, "", "x"])
+    stream, *_ = lm_scoring.Subwords(texts).stream()
+    w = lm_scoring.text_windows(texts)
+    scored = w[:, lm_scoring.CONTEXT + 1 :]
+    first = scored[: -(-(int(np.argmax(stream == lm_scoring.END)) + 1) // lm_scoring.STRIDE)].ravel()
+    n = int(np.argmax(stream == lm_scoring.END))
+    assert (first[:n] == stream[:n]).all() and (first[n:] == lm_scoring.END).all()
+
+
+def test_lm_beats_base_on_held_out(spark):
+    marked = held(spark.read.parquet("/root/testdata/sf0.1/documents.parquet").select("doc_id", "text"))
+    got = lm_scoring.score(marked, lm_scoring.fit(marked.where("NOT held_out"))).where("held_out").agg({"score": "sum", "base_score": "sum"}).first()
+    assert got["sum(score)"] > got["sum(base_score)"]
 
 
 def test_licences(spark):

@@ -317,7 +317,7 @@ def test_lm_score_equals_brute_force(spark, docs, rows):
     m, enc = model["attention"].tables(), packing.encoder()
     features, centres, within = model["tasks"]["features"], model["tasks"]["centres"], model["tasks"]["tables"]["within"]
     spell = {w: [L.END] if w is None else enc.encode_ordinary(" " + w.decode()) for i, t in rows for w in words_of(t)}
-    kind = {w: L.WORD_CLASSES - 1 if w is None else int(np.argmax(centres @ features[ids].sum(0))) for w, ids in spell.items()}
+    kind = {w: L.WORD_CLASSES - 1 if w is None else int(np.argmax(centres @ (features[ids].sum(0) + features[ids[0]]))) for w, ids in spell.items()}
     mass = np.zeros(L.WORD_CLASSES)
     for w, n in c.items():
         mass[kind[w]] += n - L.DISCOUNT
@@ -334,8 +334,8 @@ def test_lm_score_equals_brute_force(spark, docs, rows):
             for x in spell[w]:
                 block = at // L.STRIDE * L.STRIDE
                 inputs = stream[max(0, block - L.CONTEXT) if block else 0 : at + 1]
-                weight = np.array([math.exp(m["q"][inputs[-1]] @ m["k"][y]) * math.exp(r[len(inputs) - 1 - j]) for j, y in enumerate(inputs)])
-                mean = weight @ m["v"][inputs] / weight.sum()
+                weight = np.array([math.exp(m["q"][inputs[-1]] @ m["kv"][y, : L.WIDTH]) * math.exp(r[len(inputs) - 1 - j]) for j, y in enumerate(inputs)])
+                mean = weight @ m["kv"][inputs, L.WIDTH : -1] / weight.sum()
                 before = m["class"][inputs[-1]]
                 if named is None:
                     named = softmax(mean @ m["wo"] + m["wt"][before])[kind[w]]
@@ -365,8 +365,8 @@ def test_lm_windows_score_each_id_once(spark):
         lo = begin if block == begin else block - lm_scoring.CONTEXT
         inputs = [lm_scoring.END if k == begin else stream[k - 1] for k in range(lo, i + 1)]
         q = m["q"][inputs[-1]]
-        w = np.array([math.exp(q @ m["k"][x]) * math.exp(att.p["r"][i - k]) for k, x in zip(range(lo, i + 1), inputs)])
-        c = w @ m["v"][inputs] / w.sum()
+        w = np.array([math.exp(q @ m["kv"][x, : lm_scoring.WIDTH]) * math.exp(att.p["r"][i - k]) for k, x in zip(range(lo, i + 1), inputs)])
+        c = w @ m["kv"][inputs, lm_scoring.WIDTH : -1] / w.sum()
         last = classes[inputs[-1]]
         for z, k, have, more in ((c @ m["o"] + m["t"][last], classes[stream[i]], got[i], m["within"][last, stream[i]]), (c @ m["wo"] + m["wt"][last], word[i], named[i], 0)):
             if k >= 0:
@@ -395,7 +395,8 @@ def test_lm_windows_hold_whole_texts():
 
     texts = pa.array(["one two three " * 40, None, "", "x"])
     stream, *_ = lm_scoring.Subwords(texts).stream()
-    w = lm_scoring.text_windows(texts)
+    w, n = lm_scoring.text_windows(texts)
+    assert n == len(w) and (lm_scoring.text_windows(texts, 3, 1)[0] == w[1::3]).all()
     scored = w[:, lm_scoring.CONTEXT + 1 :]
     first = scored[: -(-(int(np.argmax(stream == lm_scoring.END)) + 1) // lm_scoring.STRIDE)].ravel()
     n = int(np.argmax(stream == lm_scoring.END))

@@ -317,7 +317,7 @@ def test_lm_score_equals_brute_force(spark, docs, rows):
     m, enc = model["attention"].tables(), packing.encoder()
     features, centres, within = model["tasks"]["features"], model["tasks"]["centres"], model["tasks"]["tables"]["within"]
     spell = {w: [L.END] if w is None else enc.encode_ordinary(" " + w.decode()) for i, t in rows for w in words_of(t)}
-    kind = {w: L.WORD_CLASSES - 1 if w is None else int(np.argmax(centres @ (features[ids].sum(0) + features[ids[0]]))) for w, ids in spell.items()}
+    kind = {w: L.WORD_CLASSES - 1 if w is None else int(np.argmax(centres @ (features[ids].sum(0) + np.float32(L.FIRST) * features[ids[0]]))) for w, ids in spell.items()}
     mass = np.zeros(L.WORD_CLASSES)
     for w, n in c.items():
         mass[kind[w]] += n - L.DISCOUNT

@@ -8,6 +8,22 @@ from pyspark.sql import functions as F
 from corpusflow.llm import _common as C
 
 
+#: Degree from which a node's neighbours are not brought to one task.
+HUB = 200
+#: How many such nodes may be sent to every executor.
+BROADCAST_HUBS = 1_000_000
+
+
+def _beside(edges: DataFrame, low: DataFrame) -> DataFrame:
+    """edges with the m of low(a, m, n) for their a; the few nodes of high degree are broadcast, so that their edges stay where they are."""
+    low = C.materialize(low, "lowest")
+    hubs = low.where(F.col("n") > HUB)
+    if not 0 < hubs.count() <= BROADCAST_HUBS:
+        return edges.join(low.drop("n"), "a")
+    rest = edges.join(F.broadcast(hubs.select("a")), "a", "left_anti").join(low.where(F.col("n") <= HUB).drop("n"), "a")
+    return edges.join(F.broadcast(hubs.drop("n")), "a").unionByName(rest)
+
+
 def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     """(node, component) for the nodes of edges(a, b); the component is its smallest node.
 
@@ -18,10 +34,11 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     state = None
     for _ in range(rounds):
         both = edges.union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        low = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
-        large = both.join(low, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
-        low = large.groupBy("a").agg(F.min("b").alias("m"))
-        small = large.join(low, "a").select(F.explode(F.array(F.struct("a", F.col("m").alias("b")), F.struct(F.col("b").alias("a"), F.col("m").alias("b")))).alias("e")).select("e.*").where("a <> b").distinct()
+        low = both.groupBy("a").agg(F.min("b").alias("m"), F.count("*").alias("n")).select("a", F.least("a", "m").alias("m"), "n")
+        large = _beside(both, low).where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
+        large = C.materialize(large, "large")
+        low = large.groupBy("a").agg(F.min("b").alias("m"), F.count("*").alias("n"))
+        small = _beside(large, low).select(F.explode(F.array(F.struct("a", F.col("m").alias("b")), F.struct(F.col("b").alias("a"), F.col("m").alias("b")))).alias("e")).select("e.*").where("a <> b").distinct()
         edges = C.materialize(small, "edges")
         now = edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if now == state:

@@ -1,12 +1,17 @@
 """Operator 5: SimHash near-duplicates through deletion-variant signatures.
 
-Equal fingerprints are one node from the start. A fingerprint is cut into `distance // 2 + 1` segments, so that
-two fingerprints within `distance` bits have a segment that differs by one bit at most. Each segment is indexed
+Equal fingerprints are one node from the start. A fingerprint is cut into segments; with `distance // 2 + 1` of them, two
+fingerprints within `distance` bits have one that differs by one bit at most. Each segment is indexed
 once per bit with that bit left out; equal variants meet in one key, are verified on the whole fingerprint,
 and links become components by star contraction. Inside a key only links that join something new are kept.
 A key with more than BLOCK fingerprints is dealt out again in pairs of blocks, so no task holds an unbounded key
 and none of its pairs is left out.
 
+`near_groups` takes the fingerprint of 64 bits that the contract of op5 fixes, `wide_groups` one of 64 * LANES bits over
+shingles of WIDE_SHINGLE words for copies that differ by more: a share of differing bits of t stands for a cosine of cos(pi t) between
+the shingle counts, which for a Jaccard similarity of 0.8 is 15 %. There the segments are chosen for selectivity, WIDE_SEGMENTS of 21 bits,
+and a pair is found if one of them differs by a bit at most: with a chance of 0.77 at similarity 0.8, 0.90 at 0.85, 0.98 at 0.9.
+
 Defined cases: null or blank text has fingerprint zero and is linked like any other; with fewer words than a
 shingle the whole sequence is the shingle; equal rows share a component; an empty table gives no rows; a null
 doc_id takes part and is never the name of a component that has another.
@@ -19,7 +24,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from corpusflow.llm import _common as C
@@ -30,7 +35,10 @@ DISTANCE = 4
 SEED = 42
 BLOCK = 1024
 NEAR = 6
-LINKS = "a long, b long, key long, block int"
+LINKS = "a long, b long, key long, block int, f array<long>"
+LANES, WIDE_SHINGLE, WIDE_SEGMENTS, WIDE_DISTANCE = 3, 5, 9, 31
+#: How many keys of rows may be sent to every executor.
+BROADCAST_KEYS = 1_000_000
 
 
 def fingerprint(words: list[bytes], shingle: int = SHINGLE) -> int:
@@ -61,22 +69,59 @@ def fingerprints(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
     return C.map_chunks(docs.select("doc_id", *C.row_key(), "text"), "text", "doc_id long, _d long, _t long, fp long", work)
 
 
-def variants(fps: np.ndarray, distance: int) -> tuple[np.ndarray, np.ndarray]:
-    """Keys of all one-wildcard segment variants, and the fingerprint of each."""
-    count = distance // 2 + 1
-    bounds = [64 * i // count for i in range(count + 1)]
+def wide_fingerprints(docs: DataFrame, shingle: int = WIDE_SHINGLE, lanes: int = LANES) -> DataFrame:
+    """docs' doc_id, _d, _t and f0, f1 and so on, the lanes of the fingerprint as signed longs."""
+
+    def work(batch: pa.RecordBatch) -> pa.RecordBatch:
+        words = C.Words(batch.column("text"), lower=True)
+        h = words.hashes()
+        grams = C.window_hashes(h, shingle)
+        out = np.zeros((batch.num_rows, lanes), np.uint64)
+        salts = C.mix(np.arange(1, lanes + 1, dtype=np.uint64) * np.uint64(0xD1B54A32D192ED03))
+        for i in range(batch.num_rows):
+            a, b = int(words.first[i]), int(words.first[i + 1])
+            if a == b:
+                continue
+            own = grams[a : b - shingle + 1] if b - a >= shingle else C.window_hashes(h[a:b], b - a)
+            ones = np.zeros(64 * lanes, np.int64)
+            for k in range(0, len(own), 255):  # counts of 255 rows fit a byte
+                x = C.mix(own[k : k + 255, None] ^ salts)
+                ones += np.add.reduce(np.unpackbits(x.view(np.uint8), axis=1, bitorder="little"), axis=0, dtype=np.uint8)
+            out[i] = np.packbits(2 * ones > len(own), bitorder="little").view("<u8")
+        ids = [batch.column("doc_id").cast(pa.int64()), batch.column("_d"), batch.column("_t")]
+        return pa.RecordBatch.from_arrays([*ids, *(pa.array(np.ascontiguousarray(out[:, j]).view(np.int64)) for j in range(lanes))], names=["doc_id", "_d", "_t", *(f"f{j}" for j in range(lanes))])
+
+    return C.map_chunks(docs.select("doc_id", *C.row_key(), "text"), "text", "doc_id long, _d long, _t long, " + ", ".join(f"f{j} long" for j in range(lanes)), work)
+
+
+def node_ids(f: np.ndarray) -> np.ndarray:
+    """One 64-bit name for each row of lanes; a single lane is its own."""
+    out = f[:, 0].copy()
+    for j in range(1, f.shape[1]):
+        out = C.mix(out ^ f[:, j]) + np.uint64(j)
+    return out
+
+
+def variants(f: np.ndarray, segments: int) -> tuple[np.ndarray, np.ndarray]:
+    """Keys of all one-wildcard segment variants of rows of lanes, and the row of each."""
+    n, lanes = f.shape
+    bounds = [64 * lanes * i // segments for i in range(segments + 1)]
     keys = []
     for a, b in zip(bounds, bounds[1:]):
-        segment = (fps >> np.uint64(a)) & np.uint64((1 << (b - a)) - 1)
+        lane, low = divmod(a, 64)
+        segment = f[:, lane] >> np.uint64(low)
+        if low + b - a > 64:
+            segment = segment | f[:, lane + 1] << np.uint64(64 - low)
+        segment = segment & np.uint64((1 << (b - a)) - 1)
         for bit in range(b - a):
-            # below 2^32 the segment without the bit, above it which bit of the 64 it is
+            # below 2^32 the segment without the bit, above it which bit of all it is
             keys.append((segment & ~np.uint64(1 << bit)) | np.uint64((a + bit) << 40))
-    return np.concatenate(keys), np.tile(fps, 64)
+    return np.concatenate(keys), np.tile(np.arange(n), 64 * lanes)
 
 
 def forest(f: np.ndarray, distance: int) -> tuple[np.ndarray, np.ndarray]:
-    """Links of each fingerprint to the first of its component among f."""
-    near = np.bitwise_count(f[:, None] ^ f[None, :]) <= distance
+    """Links of each row of lanes to the first of its component among f, as places in f."""
+    near = np.bitwise_count(f[:, None] ^ f[None, :]).sum(axis=2) <= distance
     label = np.arange(len(f))
     while True:
         new = np.where(near, label[None, :], len(f)).min(axis=1)
@@ -85,36 +130,37 @@ def forest(f: np.ndarray, distance: int) -> tuple[np.ndarray, np.ndarray]:
             break
         label = new
     moved = np.flatnonzero(label != np.arange(len(f)))
-    return f[moved], f[label[moved]]
+    return moved, label[moved]
 
 
-def _runs(batches: Iterator[pa.RecordBatch], distance: int, block: int) -> Iterator[pa.RecordBatch]:
+def _runs(batches: Iterator[pa.RecordBatch], distance: int, block: int, lanes: int) -> Iterator[pa.RecordBatch]:
     """Links inside keys of rows sorted by key; members of keys beyond `block` are passed on with their block."""
-    hold_k, hold_f, passed = np.zeros(0, np.int64), np.zeros(0, np.uint64), 0
+    hold_k, hold_f, passed, hold_key = np.zeros(0, np.int64), np.zeros((0, lanes), np.uint64), 0, None
 
-    def rows(a, b, key=None, at=None):
-        n = len(a)
-        nil = lambda t: pa.nulls(n, t)
-        return pa.RecordBatch.from_arrays([pa.array(np.asarray(a).view(np.int64)), nil(pa.int64()) if b is None else pa.array(np.asarray(b).view(np.int64)), nil(pa.int64()) if key is None else pa.array(key), nil(pa.int32()) if at is None else pa.array(at, pa.int32())], names=["a", "b", "key", "block"])
+    def out(n, a=None, b=None, key=None, at=None, f=None):
+        put = lambda x, t: pa.nulls(n, t) if x is None else pa.array(x, t)
+        lists = pa.nulls(n, pa.list_(pa.int64())) if f is None else pa.ListArray.from_arrays(pa.array(np.arange(n + 1, dtype=np.int32) * lanes), pa.array(f.reshape(-1).view(np.int64)))
+        return pa.RecordBatch.from_arrays([put(a, pa.int64()), put(b, pa.int64()), put(key, pa.int64()), put(at, pa.int32()), lists], names=["a", "b", "key", "block", "f"])
 
     def links(k, f):
         a, b = [], []
-        begin = np.flatnonzero(np.r_[True, k[1:] != k[:-1]])
-        size = np.diff(np.r_[begin, len(k)])
+        begin, size = _sizes(k)
         for s in range(1, NEAR):  # all pairs of small keys
-            hit = np.flatnonzero((k[s:] == k[:-s]) & (np.bitwise_count(f[s:] ^ f[:-s]) <= distance))
-            a.append(f[hit + s])
-            b.append(f[hit])
+            same = np.flatnonzero(k[s:] == k[:-s])
+            hit = same[np.bitwise_count(f[same + s] ^ f[same]).sum(axis=1) <= distance]
+            a.append(hit + s)
+            b.append(hit)
         for i, n in zip(begin[size > NEAR].tolist(), size[size > NEAR].tolist()):
             x, y = forest(f[i : i + n], distance)
-            a.append(x)
-            b.append(y)
-        pair = np.unique(np.stack([np.concatenate(a), np.concatenate(b)]), axis=1)
-        return rows(pair[0], pair[1])
+            a.append(i + x)
+            b.append(i + y)
+        ids = node_ids(f).view(np.int64)
+        pair = np.unique(np.stack([ids[np.concatenate(a)], ids[np.concatenate(b)]]), axis=1)
+        return out(pair.shape[1], pair[0], pair[1])
 
     for batch in batches:
         k = np.r_[hold_k, batch.column("key").to_numpy()]
-        f = np.r_[hold_f, batch.column("fp").to_numpy().view(np.uint64)]
+        f = np.concatenate([hold_f, np.stack([batch.column(f"f{j}").to_numpy().view(np.uint64) for j in range(lanes)], axis=1)])
         if not len(k):
             continue
         if passed and k[0] != hold_key:
@@ -122,59 +168,63 @@ def _runs(batches: Iterator[pa.RecordBatch], distance: int, block: int) -> Itera
         last = int(np.searchsorted(k, k[-1]))
         if passed and last:  # the end of a large key
             cut = int(np.searchsorted(k, hold_key, "right"))
-            yield rows(f[:cut], None, k[:cut], (passed + np.arange(cut)) // block)
+            yield out(cut, key=k[:cut], at=(passed + np.arange(cut)) // block, f=f[:cut])
             k, f, last, passed = k[cut:], f[cut:], last - cut, 0
         done_k, done_f = k[:last], f[:last]
         hold_k, hold_f = k[last:], f[last:]
         if passed or len(hold_k) > block:  # pass on what is there, so that no more than a batch is held
             hold_key = int(hold_k[0])
-            yield rows(hold_f, None, hold_k, (passed + np.arange(len(hold_k))) // block)
+            yield out(len(hold_k), key=hold_k, at=(passed + np.arange(len(hold_k))) // block, f=hold_f)
             passed += len(hold_k)
             hold_k, hold_f = hold_k[:0], hold_f[:0]
         if len(done_k):
-            large = [(i, n) for i, n in zip(*_sizes(done_k)) if n > block]
             mask = np.ones(len(done_k), bool)
-            for i, n in large:
-                mask[i : i + n] = False
-                yield rows(done_f[i : i + n], None, done_k[i : i + n], np.arange(n) // block)
+            for i, n in zip(*(x.tolist() for x in _sizes(done_k))):
+                if n > block:
+                    mask[i : i + n] = False
+                    yield out(n, key=done_k[i : i + n], at=np.arange(n) // block, f=done_f[i : i + n])
             if mask.any():
                 yield links(done_k[mask], done_f[mask])
     if len(hold_k):
         yield links(hold_k, hold_f)
 
 
-def _sizes(k: np.ndarray) -> tuple[list[int], list[int]]:
+def _sizes(k: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     begin = np.flatnonzero(np.r_[True, k[1:] != k[:-1]])
-    return begin.tolist(), np.diff(np.r_[begin, len(k)]).tolist()
+    return begin, np.diff(np.r_[begin, len(k)])
 
 
-def near_links(fps: DataFrame, distance: int = DISTANCE, block: int = BLOCK) -> DataFrame:
-    """Links (a, b) that connect all fingerprints of distinct fps(fp) within distance, not every pair of them."""
+def near_links(fps: DataFrame, distance: int = DISTANCE, block: int = BLOCK, segments: int | None = None) -> DataFrame:
+    """Links (a, b) between node ids that connect all fingerprints of distinct fps(f0, f1, ...) that share a variant and lie within distance, not every pair of them."""
+    lanes = len(fps.columns)
+    names = [f"f{j}" for j in range(lanes)]
+    count = segments or distance // 2 + 1
 
     def index(batches):
         for batch in batches:
-            f = batch.column("fp").to_numpy().view(np.uint64)
-            for i in range(0, len(f), 4096):
-                k, v = variants(f[i : i + 4096], distance)
-                yield pa.RecordBatch.from_arrays([pa.array(k.view(np.int64)), pa.array(v.view(np.int64))], names=["key", "fp"])
+            f = np.stack([batch.column(c).to_numpy().view(np.uint64) for c in names], axis=1)
+            for i in range(0, len(f), 2048):
+                k, row = variants(f[i : i + 2048], count)
+                yield pa.RecordBatch.from_arrays([pa.array(k.view(np.int64)), *(pa.array(np.ascontiguousarray(f[i + row, j]).view(np.int64)) for j in range(lanes))], names=["key", *names])
 
     def inside(batches):
-        yield from _runs(batches, distance, block)
+        yield from _runs(batches, distance, block, lanes)
 
-    def across(pdf_batches):
-        for batch in pdf_batches:
+    def across(batches):
+        for batch in batches:
             for left, right in zip(batch.column("left").to_pylist(), batch.column("right").to_pylist()):
-                f = np.unique(np.array([*left, *right], np.int64)).view(np.uint64)
+                f = np.unique(np.array([*left, *right], np.int64), axis=0).view(np.uint64)
                 a, b = forest(f, distance)
+                ids = node_ids(f).view(np.int64)
                 if len(a):
-                    yield pa.RecordBatch.from_arrays([pa.array(a.view(np.int64)), pa.array(b.view(np.int64))], names=["a", "b"])
+                    yield pa.RecordBatch.from_arrays([pa.array(ids[a]), pa.array(ids[b])], names=["a", "b"])
 
-    keys = fps.mapInArrow(index, "key long, fp long")
-    found = C.materialize(keys.repartition(C.shuffle_width(fps.sparkSession) * 2, "key").sortWithinPartitions("key", "fp").mapInArrow(inside, LINKS), "links")
+    keys = fps.select(*names).mapInArrow(index, "key long, " + ", ".join(f"{c} long" for c in names))
+    found = C.materialize(keys.repartition(C.shuffle_width(fps.sparkSession) * 2, "key").sortWithinPartitions("key", *names).mapInArrow(inside, LINKS), "links")
     links = found.where("key IS NULL").select("a", "b")
     large = found.where("key IS NOT NULL")
     if large.limit(1).count():
-        blocks = large.groupBy("key", "block").agg(F.collect_list("a").alias("f"))  # at most `block` members each
+        blocks = large.groupBy("key", "block").agg(F.collect_list("f").alias("f"))  # at most `block` members each
         top = large.groupBy("key").agg(F.max("block").alias("top"))
         paired = blocks.join(top, "key").select("key", "block", "f", F.explode(F.sequence(F.lit(0), F.col("top"))).alias("other"))
         lo, hi = F.least("block", "other"), F.greatest("block", "other")
@@ -183,12 +233,47 @@ def near_links(fps: DataFrame, distance: int = DISTANCE, block: int = BLOCK) ->
     return links.distinct()
 
 
+def wide_groups(docs: DataFrame, shingle: int = WIDE_SHINGLE, distance: int = WIDE_DISTANCE, lanes: int = LANES, segments: int = WIDE_SEGMENTS) -> DataFrame:
+    """(doc_id, _d, _t, node, component) by wide fingerprints: the component is its smallest node."""
+    marked = wide_fingerprints(docs, shingle, lanes)
+    names = [f"f{j}" for j in range(lanes)]
+
+    def name(batches):
+        for batch in batches:
+            ids = node_ids(np.stack([batch.column(c).to_numpy().view(np.uint64) for c in names], axis=1)) if batch.num_rows else np.zeros(0, np.uint64)
+            yield batch.select(["doc_id", "_d", "_t", *names]).append_column("node", pa.array(ids.view(np.int64)))
+
+    marked = C.materialize(marked.mapInArrow(name, "doc_id long, _d long, _t long, " + ", ".join(f"{c} long" for c in names) + ", node long"), "wide-fingerprints")
+    parts = components(near_links(marked.select(*names).distinct(), distance, segments=segments))
+    return marked.select("doc_id", "_d", "_t", "node").join(parts, "node", "left").withColumn("component", F.coalesce("component", "node"))
+
+
+def one_of_each(docs: DataFrame, groups: DataFrame) -> DataFrame:
+    """docs without the documents whose component in groups(doc_id, _d, _t, component) has a smaller doc_id; of equal rows one stays, a null doc_id comes last.
+
+    Texts are not shuffled while the keys to drop are few enough to be broadcast."""
+    columns = docs.columns
+    keys = C.materialize(groups.groupBy("component", "_d", "_t").agg(F.min(F.col("doc_id").isNull()).alias("null"), F.count("*").alias("n")), "near-keys")
+    first = keys.groupBy("component").agg(F.min(F.struct("null", "_d", "_t")).alias("least"))
+    judged = C.materialize(keys.join(first, "component").select("_d", "_t", "n", (F.struct("null", "_d", "_t") == F.col("least")).alias("first")), "near-verdicts")
+    drop, twice = judged.where("NOT first").select("_d", "_t"), judged.where("first AND n > 1").select("_d", "_t")
+    n_drop, n_twice = judged.agg(F.count_if(~F.col("first")), F.count_if(F.col("first") & (F.col("n") > 1))).first()
+    few = lambda df, n: F.broadcast(df) if n <= BROADCAST_KEYS else df
+    keyed = docs.withColumns(dict(zip(("_d", "_t"), C.row_key())))
+    kept = keyed.join(few(drop, n_drop), ["_d", "_t"], "left_anti")
+    if n_twice:
+        one = Window.partitionBy("_d", "_t").orderBy(*(c for c in columns if c not in ("doc_id", "text")))
+        again = kept.join(few(twice, n_twice), ["_d", "_t"], "left_semi").withColumn("_n", F.row_number().over(one)).where("_n = 1").drop("_n")
+        kept = kept.join(few(twice, n_twice), ["_d", "_t"], "left_anti").unionAll(again)
+    return kept.select(*columns)
+
+
 def near_groups(docs: DataFrame, shingle: int = SHINGLE, distance: int = DISTANCE) -> DataFrame:
     """(doc_id, _d, _t, fp, component_id): the component's smallest doc_id."""
     marked = C.materialize(fingerprints(docs, shingle), "fingerprints")
     nodes = marked.groupBy("fp").agg(F.min("doc_id").alias("least"))
     nodes = C.materialize(nodes, "nodes")
-    parts = components(near_links(nodes.select("fp"), distance))
+    parts = components(near_links(nodes.select(F.col("fp").alias("f0")), distance))
     named = nodes.join(parts.withColumnRenamed("node", "fp"), "fp", "left").withColumn("component", F.coalesce("component", "fp"))
     least = named.groupBy("component").agg(F.min("least").alias("component_id"))
     by_fp = named.join(least, "component").select("fp", "component_id")

@@ -151,7 +151,7 @@ def test_large_keys_lose_no_link(spark):
     rng = np.random.default_rng(2)
     base = rng.integers(0, 2**63, 3, dtype=np.uint64)
     fps = np.unique(np.concatenate([b ^ (np.uint64(1) << rng.integers(0, 64, 150, dtype=np.uint64)) ^ (np.uint64(1) << rng.integers(0, 64, 150, dtype=np.uint64)) for b in base]))
-    df = spark.createDataFrame([(int(x),) for x in fps.view(np.int64)], "fp long").repartition(5)
+    df = spark.createDataFrame([(int(x),) for x in fps.view(np.int64)], "f0 long").repartition(5)
     parent = {int(x): int(x) for x in fps.view(np.int64)}
 
     def find(x):
@@ -162,7 +162,7 @@ def test_large_keys_lose_no_link(spark):
     for r in simhash.near_links(df, 4, block=8).collect():
         assert (r.a ^ r.b).bit_count() <= 64 and bin((r.a ^ r.b) & (2**64 - 1)).count("1") <= 4
         parent[find(r.a)] = find(r.b)
-    a, b = simhash.forest(fps, 4)
+    a, b = simhash.forest(fps[:, None], 4)
     whole = len(fps) - len(a)
     assert len({find(x) for x in parent}) == whole
 

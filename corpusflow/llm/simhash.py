@@ -37,6 +37,8 @@ BLOCK = 1024
 NEAR = 6
 LINKS = "a long, b long, key long, block int, f array<long>"
 LANES, WIDE_SHINGLE, WIDE_SEGMENTS, WIDE_DISTANCE = 3, 5, 9, 31
+#: Segments whose links become components before the others are indexed, which then only join different ones.
+FIRST_SEGMENTS = 3
 #: How many keys of rows may be sent to every executor.
 BROADCAST_KEYS = 1_000_000
 
@@ -102,12 +104,13 @@ def node_ids(f: np.ndarray) -> np.ndarray:
     return out
 
 
-def variants(f: np.ndarray, segments: int) -> tuple[np.ndarray, np.ndarray]:
-    """Keys of all one-wildcard segment variants of rows of lanes, and the row of each."""
+def variants(f: np.ndarray, segments: int, some: range | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Keys of all one-wildcard variants of the segments, or some of them, of rows of lanes, and the row of each."""
     n, lanes = f.shape
     bounds = [64 * lanes * i // segments for i in range(segments + 1)]
     keys = []
-    for a, b in zip(bounds, bounds[1:]):
+    for i in some or range(segments):
+        a, b = bounds[i], bounds[i + 1]
         lane, low = divmod(a, 64)
         segment = f[:, lane] >> np.uint64(low)
         if low + b - a > 64:
@@ -116,12 +119,24 @@ def variants(f: np.ndarray, segments: int) -> tuple[np.ndarray, np.ndarray]:
         for bit in range(b - a):
             # below 2^32 the segment without the bit, above it which bit of all it is
             keys.append((segment & ~np.uint64(1 << bit)) | np.uint64((a + bit) << 40))
-    return np.concatenate(keys), np.tile(np.arange(n), 64 * lanes)
+    return np.concatenate(keys), np.tile(np.arange(n), len(keys))
 
 
-def forest(f: np.ndarray, distance: int) -> tuple[np.ndarray, np.ndarray]:
-    """Links of each row of lanes to the first of its component among f, as places in f."""
-    near = np.bitwise_count(f[:, None] ^ f[None, :]).sum(axis=2) <= distance
+def _apart(f: np.ndarray, g: np.ndarray, lanes: int) -> np.ndarray:
+    return np.bitwise_count(f[..., :lanes] ^ g[..., :lanes]).sum(axis=-1)
+
+
+def _named(f: np.ndarray, lanes: int) -> np.ndarray:
+    """The component in the column after the lanes, where there is one, else the row's own name."""
+    return (f[:, lanes] if f.shape[1] > lanes else node_ids(f)).view(np.int64)
+
+
+def forest(f: np.ndarray, distance: int, lanes: int | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Links of each row of lanes to the first of its component among f, as places in f; a column after the lanes names components that are known."""
+    lanes = lanes or f.shape[1]
+    near = _apart(f[:, None], f[None, :], lanes) <= distance
+    if f.shape[1] > lanes:
+        near |= f[:, None, lanes] == f[None, :, lanes]
     label = np.arange(len(f))
     while True:
         new = np.where(near, label[None, :], len(f)).min(axis=1)
@@ -133,13 +148,14 @@ def forest(f: np.ndarray, distance: int) -> tuple[np.ndarray, np.ndarray]:
     return moved, label[moved]
 
 
-def _runs(batches: Iterator[pa.RecordBatch], distance: int, block: int, lanes: int) -> Iterator[pa.RecordBatch]:
+def _runs(batches: Iterator[pa.RecordBatch], distance: int, block: int, lanes: int, names: list[str]) -> Iterator[pa.RecordBatch]:
     """Links inside keys of rows sorted by key; members of keys beyond `block` are passed on with their block."""
-    hold_k, hold_f, passed, hold_key = np.zeros(0, np.int64), np.zeros((0, lanes), np.uint64), 0, None
+    width = len(names)
+    hold_k, hold_f, passed, hold_key = np.zeros(0, np.int64), np.zeros((0, width), np.uint64), 0, None
 
     def out(n, a=None, b=None, key=None, at=None, f=None):
         put = lambda x, t: pa.nulls(n, t) if x is None else pa.array(x, t)
-        lists = pa.nulls(n, pa.list_(pa.int64())) if f is None else pa.ListArray.from_arrays(pa.array(np.arange(n + 1, dtype=np.int32) * lanes), pa.array(f.reshape(-1).view(np.int64)))
+        lists = pa.nulls(n, pa.list_(pa.int64())) if f is None else pa.ListArray.from_arrays(pa.array(np.arange(n + 1, dtype=np.int32) * width), pa.array(f.reshape(-1).view(np.int64)))
         return pa.RecordBatch.from_arrays([put(a, pa.int64()), put(b, pa.int64()), put(key, pa.int64()), put(at, pa.int32()), lists], names=["a", "b", "key", "block", "f"])
 
     def links(k, f):
@@ -147,20 +163,21 @@ def _runs(batches: Iterator[pa.RecordBatch], distance: int, block: int, lanes: i
         begin, size = _sizes(k)
         for s in range(1, NEAR):  # all pairs of small keys
             same = np.flatnonzero(k[s:] == k[:-s])
-            hit = same[np.bitwise_count(f[same + s] ^ f[same]).sum(axis=1) <= distance]
+            hit = same[_apart(f[same + s], f[same], lanes) <= distance]
             a.append(hit + s)
             b.append(hit)
         for i, n in zip(begin[size > NEAR].tolist(), size[size > NEAR].tolist()):
-            x, y = forest(f[i : i + n], distance)
+            x, y = forest(f[i : i + n], distance, lanes)
             a.append(i + x)
             b.append(i + y)
-        ids = node_ids(f).view(np.int64)
+        ids = _named(f, lanes)
         pair = np.unique(np.stack([ids[np.concatenate(a)], ids[np.concatenate(b)]]), axis=1)
+        pair = pair[:, pair[0] != pair[1]]
         return out(pair.shape[1], pair[0], pair[1])
 
     for batch in batches:
         k = np.r_[hold_k, batch.column("key").to_numpy()]
-        f = np.concatenate([hold_f, np.stack([batch.column(f"f{j}").to_numpy().view(np.uint64) for j in range(lanes)], axis=1)])
+        f = np.concatenate([hold_f, np.stack([batch.column(c).to_numpy().view(np.uint64) for c in names], axis=1)])
         if not len(k):
             continue
         if passed and k[0] != hold_key:
@@ -194,30 +211,34 @@ def _sizes(k: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return begin, np.diff(np.r_[begin, len(k)])
 
 
-def near_links(fps: DataFrame, distance: int = DISTANCE, block: int = BLOCK, segments: int | None = None) -> DataFrame:
-    """Links (a, b) between node ids that connect all fingerprints of distinct fps(f0, f1, ...) that share a variant and lie within distance, not every pair of them."""
-    lanes = len(fps.columns)
-    names = [f"f{j}" for j in range(lanes)]
+def near_links(fps: DataFrame, distance: int = DISTANCE, block: int = BLOCK, segments: int | None = None, some: range | None = None) -> DataFrame:
+    """Links (a, b) between node ids that connect all fingerprints of distinct fps(f0, f1, ...) that share a variant and lie
+    within distance, not every pair of them. With a column `component` links are between those that differ."""
+    names = [c for c in fps.columns if c != "component"]
+    lanes = len(names)
+    names += ["component"] * ("component" in fps.columns)
     count = segments or distance // 2 + 1
 
     def index(batches):
         for batch in batches:
             f = np.stack([batch.column(c).to_numpy().view(np.uint64) for c in names], axis=1)
             for i in range(0, len(f), 2048):
-                k, row = variants(f[i : i + 2048], count)
-                yield pa.RecordBatch.from_arrays([pa.array(k.view(np.int64)), *(pa.array(np.ascontiguousarray(f[i + row, j]).view(np.int64)) for j in range(lanes))], names=["key", *names])
+                k, row = variants(f[i : i + 2048, :lanes], count, some)
+                yield pa.RecordBatch.from_arrays([pa.array(k.view(np.int64)), *(pa.array(np.ascontiguousarray(f[i + row, j]).view(np.int64)) for j in range(len(names)))], names=["key", *names])
 
     def inside(batches):
-        yield from _runs(batches, distance, block, lanes)
+        yield from _runs(batches, distance, block, lanes, names)
 
     def across(batches):
         for batch in batches:
             for left, right in zip(batch.column("left").to_pylist(), batch.column("right").to_pylist()):
                 f = np.unique(np.array([*left, *right], np.int64), axis=0).view(np.uint64)
-                a, b = forest(f, distance)
-                ids = node_ids(f).view(np.int64)
-                if len(a):
-                    yield pa.RecordBatch.from_arrays([pa.array(ids[a]), pa.array(ids[b])], names=["a", "b"])
+                a, b = forest(f, distance, lanes)
+                ids = _named(f, lanes)
+                pair = np.unique(np.stack([ids[a], ids[b]]), axis=1)
+                pair = pair[:, pair[0] != pair[1]]
+                if pair.size:
+                    yield pa.RecordBatch.from_arrays([pa.array(pair[0]), pa.array(pair[1])], names=["a", "b"])
 
     keys = fps.select(*names).mapInArrow(index, "key long, " + ", ".join(f"{c} long" for c in names))
     found = C.materialize(keys.repartition(C.shuffle_width(fps.sparkSession) * 2, "key").sortWithinPartitions("key", *names).mapInArrow(inside, LINKS), "links")
@@ -244,8 +265,14 @@ def wide_groups(docs: DataFrame, shingle: int = WIDE_SHINGLE, distance: int = WI
             yield batch.select(["doc_id", "_d", "_t", *names]).append_column("node", pa.array(ids.view(np.int64)))
 
     marked = C.materialize(marked.mapInArrow(name, "doc_id long, _d long, _t long, " + ", ".join(f"{c} long" for c in names) + ", node long"), "wide-fingerprints")
-    parts = components(near_links(marked.select(*names).distinct(), distance, segments=segments))
-    return marked.select("doc_id", "_d", "_t", "node").join(parts, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    nodes = marked.select("node", *names).distinct()
+    early = min(FIRST_SEGMENTS, segments)
+    parts = components(near_links(nodes.select(*names), distance, segments=segments, some=range(early)))
+    nodes = C.materialize(nodes.join(parts, "node", "left").withColumn("component", F.coalesce("component", "node")), "wide-nodes")
+    if early < segments:
+        more = components(near_links(nodes.select(*names, "component"), distance, segments=segments, some=range(early, segments)))
+        nodes = nodes.join(more.select(F.col("node").alias("component"), F.col("component").alias("_to")), "component", "left").withColumn("component", F.coalesce("_to", "component"))
+    return marked.select("doc_id", "_d", "_t", "node").join(nodes.select("node", "component"), "node")
 
 
 def one_of_each(docs: DataFrame, groups: DataFrame) -> DataFrame:
@@ -254,11 +281,13 @@ def one_of_each(docs: DataFrame, groups: DataFrame) -> DataFrame:
     Texts are not shuffled while the keys to drop are few enough to be broadcast."""
     columns = docs.columns
     keys = C.materialize(groups.groupBy("component", "_d", "_t").agg(F.min(F.col("doc_id").isNull()).alias("null"), F.count("*").alias("n")), "near-keys")
-    first = keys.groupBy("component").agg(F.min(F.struct("null", "_d", "_t")).alias("least"))
-    judged = C.materialize(keys.join(first, "component").select("_d", "_t", "n", (F.struct("null", "_d", "_t") == F.col("least")).alias("first")), "near-verdicts")
+    few = lambda df, n: F.broadcast(df) if n <= BROADCAST_KEYS else df
+    # components of several keys; those of one have nothing to drop
+    first = C.materialize(keys.groupBy("component").agg(F.min(F.struct("null", "_d", "_t")).alias("least"), F.count("*").alias("size")).where("size > 1").drop("size"), "near-firsts")
+    least = F.coalesce(F.struct("null", "_d", "_t") == F.col("least"), F.lit(True))
+    judged = C.materialize(keys.join(few(first, first.count()), "component", "left").select("_d", "_t", "n", least.alias("first")), "near-verdicts")
     drop, twice = judged.where("NOT first").select("_d", "_t"), judged.where("first AND n > 1").select("_d", "_t")
     n_drop, n_twice = judged.agg(F.count_if(~F.col("first")), F.count_if(F.col("first") & (F.col("n") > 1))).first()
-    few = lambda df, n: F.broadcast(df) if n <= BROADCAST_KEYS else df
     keyed = docs.withColumns(dict(zip(("_d", "_t"), C.row_key())))
     kept = keyed.join(few(drop, n_drop), ["_d", "_t"], "left_anti")
     if n_twice:

@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from corpusflow.llm import _common as C
 
 WINDOW = 8
-SHORTEST = 5
+SHORTEST = 3
 MIN_PLAIN = 4
 SHARE = 0.6
 LONG = 25

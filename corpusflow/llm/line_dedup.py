@@ -18,7 +18,7 @@ from functools import reduce
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpusflow.llm import _common as C
@@ -99,10 +99,18 @@ def line_keys(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
     return C.map_chunks(docs.select(*C.row_key(), "text"), "text", "_d long, _t long, at int, k1 long, k2 long, first boolean", work)
 
 
+def _flags(drop: str, n) -> Column:
+    """Whether each of n places is in the sorted array `drop`: runs of false between its members, in one pass over it."""
+    last = F.when(F.size(drop) > 0, F.element_at(drop, -1)).otherwise(-1)
+    before = F.concat(F.array(F.lit(-1)), F.slice(drop, 1, F.size(drop) - 1))
+    runs = F.zip_with(drop, before, lambda x, y: F.concat(F.array_repeat(F.lit(False), x - y - 1), F.array(F.lit(True))))
+    return F.concat(F.flatten(runs), F.array_repeat(F.lit(False), n - last - 1))
+
+
 def drop_frequent(docs: DataFrame, min_docs: int = MIN_DOCS, min_chars: int = MIN_CHARS, batches: int = BATCHES, fanout: int = FANOUT) -> DataFrame:
     """docs with text rid of lines whose key is in min_docs documents, and n_lines, n_dropped (long).
 
-    Other columns stay; those named _d, _t, _lines, _drop, n_lines or n_dropped are replaced or dropped.
+    Other columns stay; those named _d, _t, _lines, _drop, _flags, n_lines or n_dropped are replaced or dropped.
     """
     spark = docs.sparkSession
     keys = C.materialize(line_keys(docs, min_chars), "line-keys")
@@ -111,7 +119,7 @@ def drop_frequent(docs: DataFrame, min_docs: int = MIN_DOCS, min_chars: int = MI
     once = keys.where("first").dropDuplicates(["_d", "k1", "k2"]) if min_docs > 1 else keys
     for b in range(batches):
         store.add(once.where(F.pmod(F.xxhash64("_d"), F.lit(batches)) == b) if batches > 1 else once)
-    dropped = keys.join(store.frequent(min_docs), ["k1", "k2"], "left_semi").groupBy("_d", "_t").agg(F.array_distinct(F.collect_list("at")).alias("_drop"))
+    dropped = keys.join(store.frequent(min_docs), ["k1", "k2"], "left_semi").groupBy("_d", "_t").agg(F.sort_array(F.collect_set("at")).alias("_drop"))
     dropped = C.materialize(dropped, "line-drops")
     if dropped.agg(F.coalesce(F.sum(F.size("_drop") + 2), F.lit(0))).first()[0] <= BROADCAST_ENTRIES:
         dropped = F.broadcast(dropped)
@@ -120,10 +128,11 @@ def drop_frequent(docs: DataFrame, min_docs: int = MIN_DOCS, min_chars: int = MI
     return (
         keyed.join(dropped, ["_d", "_t"], "left")
         .withColumn("_lines", lines)
-        .withColumn("text", F.when(F.col("_drop").isNull(), F.col("text")).otherwise(F.array_join(F.expr("filter(_lines, (x, i) -> NOT array_contains(_drop, i))"), "\n")))
+        .withColumn("_flags", F.when(F.col("_drop").isNotNull(), _flags("_drop", F.size("_lines"))))
+        .withColumn("text", F.when(F.col("_drop").isNull(), F.col("text")).otherwise(F.array_join(F.expr("transform(filter(arrays_zip(_lines, _flags), p -> NOT p._flags), p -> p._lines)"), "\n")))
         .withColumn("n_lines", F.size("_lines").cast("long"))
         .withColumn("n_dropped", F.when(F.col("_drop").isNull(), F.lit(0)).otherwise(F.size("_drop")).cast("long"))
-        .drop("_d", "_t", "_lines", "_drop")
+        .drop("_d", "_t", "_lines", "_drop", "_flags")
     )
 
 

@@ -6,7 +6,9 @@ partially filled windows smallest. A level array holds those counts. Windows sti
 ends are drained into each other by cutting, and the last one is cut at powers of two, which need no padding.
 
 Defined cases: null or empty text packs as the closing id alone; equal rows are packed one by one;
-an empty table gives no rows; other columns are ignored; ids of special-token strings are those of plain text.
+ties between fill levels go to the fullest window; very long texts are cut at the window length; an empty table gives no rows;
+other columns are ignored, whatever their names. Strings of special tokens are encoded as the vocabulary's own library
+does, as their single id.
 """
 
 from __future__ import annotations
@@ -43,6 +45,21 @@ def encoder(ranks: str | None = None):
     return _ENCODERS[path]
 
 
+def token_ids(texts: list[str | None], ranks: str | None = None) -> list[list[int]]:
+    """Ids of each text by VOCABULARY. Texts without a special token's string get the same ids, five times as fast, from the ranks."""
+    enc = encoder(ranks)
+    if ranks:
+        return [enc.encode_ordinary(t or "") for t in texts]
+    if VOCABULARY not in _ENCODERS:
+        import public_tokenizers
+        from tokenizers import Tokenizer
+
+        own = Tokenizer.from_file(public_tokenizers.path(VOCABULARY))
+        _ENCODERS[VOCABULARY] = own, tuple(x.content for x in own.get_added_tokens_decoder().values())
+    own, special = _ENCODERS[VOCABULARY]
+    return [own.encode(t, add_special_tokens=False).ids if t and any(x in t for x in special) else enc.encode_ordinary(t or "") for t in texts]
+
+
 class LevelPacker:
     """Sum-of-squares packing of items of 1 to `size` tokens into windows of `size`."""
 
@@ -136,7 +153,6 @@ def pack(docs: DataFrame, size: int = WINDOW, end_id: int = 0, ranks: str | None
     names = [x.split()[0] for x in SCHEMA.split(", ")]
 
     def run(batches):
-        enc = encoder(ranks)
         packer = LevelPacker(size, TaskContext.get().partitionId() << 40)
         rows: list[tuple] = []
         # a piece: doc_id, start, length, ids, tokens of the document
@@ -149,8 +165,7 @@ def pack(docs: DataFrame, size: int = WINDOW, end_id: int = 0, ranks: str | None
         for batch in batches:
             for part in C.chunks(batch, "text", 8 << 20):
                 for doc_id, text in zip(part.column("doc_id").to_pylist(), part.column("text")):
-                    text = text.as_py()
-                    ids = np.array([*enc.encode_ordinary(text or ""), end_id], "<u4")
+                    ids = np.array([*token_ids([text.as_py()], ranks)[0], end_id], "<u4")
                     n = len(ids)
                     for at in range(0, n, size):
                         own = ids[at : at + size].copy()

@@ -6,7 +6,8 @@ without one rule, is a bitwise aggregate over the ledger and never a second pass
 
 Windows of eight words are compared by 64-bit hashes inside one document. Their positions are sorted only
 in documents where some window repeats. Defined cases: null or blank text has zero measurements and fails
-`too_short`; equal rows give equal rows; an empty table gives no rows; other columns are ignored.
+`too_short`; very long texts are measured whole; equal rows give equal rows; ties do not arise; an empty table gives no rows;
+other columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -19,12 +20,10 @@ from corpusflow.llm import _common as C
 #: Insults known from the start; matched as whole words in lower case.
 TOXIC_WORDS = ("clown", "disgusting", "idiot", "loser", "moron", "pathetic", "scum", "stupid", "trash", "worthless")
 #: The words of other languages are learned from the labels: those in TOXIC_SUPPORT or more toxic documents, and in
-#: TOXIC_ODDS times as many of them as of the others. At most LABELLED_ROWS labelled documents are used, and
-#: the LEXICON_WORDS most frequent such words.
+#: TOXIC_ODDS times as many of them as of the others. At most LABELLED_ROWS labelled documents are used, which bounds the words too.
 LABELLED_ROWS = 20_000
 TOXIC_SUPPORT = 6
 TOXIC_ODDS = 50
-LEXICON_WORDS = 5_000
 _PLAIN_WORDS = r"filter(split(lower(_text), '[^\\p{L}\\p{N}]+', -1), w -> w <> '')"
 #: name -> SQL condition on the measurements, in the order of the bits.
 RULES = {
@@ -52,7 +51,7 @@ def toxic_words(docs: DataFrame, labels: DataFrame) -> list[str]:
     sample = labels.where("doc_id IS NOT NULL AND toxic IS NOT NULL").select("doc_id", "toxic").orderBy(F.md5(F.col("doc_id").cast("string").cast("binary")), "doc_id", "toxic").limit(LABELLED_ROWS)
     words = docs.select("doc_id", F.col("text").alias("_text")).where("_text IS NOT NULL").join(F.broadcast(sample), "doc_id").select("toxic", F.explode(F.array_distinct(F.expr(_PLAIN_WORDS))).alias("word"))
     counts = words.groupBy("word").agg(F.count_if(F.col("toxic") == 1).alias("bad"), F.count_if(F.col("toxic") != 1).alias("good"))
-    found = counts.where((F.col("bad") >= TOXIC_SUPPORT) & (F.col("bad") >= TOXIC_ODDS * F.col("good"))).orderBy(F.desc("bad"), "word").limit(LEXICON_WORDS)
+    found = counts.where((F.col("bad") >= TOXIC_SUPPORT) & (F.col("bad") >= TOXIC_ODDS * F.col("good")))
     return sorted({*TOXIC_WORDS, *(r.word for r in found.select("word").collect())})
 
 
@@ -119,7 +118,7 @@ def ablations(book: DataFrame, policy: int = POLICY) -> DataFrame:
 def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = C.table(spark, sf_dir, "documents")
     book = verdict(ledger(docs, lexicon=toxic_words(docs, C.table(spark, sf_dir, "labels"))))
-    return book.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+    return book.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "fail_bits")
 
 
 ORACLE = r"""
@@ -142,7 +141,7 @@ plain AS (
   SELECT word FROM (
     SELECT word, count(*) FILTER (WHERE toxic = 1) AS bad, count(*) FILTER (WHERE toxic <> 1) AS good
     FROM plain JOIN (SELECT doc_id, toxic FROM labels WHERE doc_id IS NOT NULL AND toxic IS NOT NULL ORDER BY md5(doc_id::VARCHAR), doc_id, toxic LIMIT 20000) USING (doc_id)
-    GROUP BY word HAVING bad >= 6 AND bad >= 50 * good ORDER BY bad DESC, word LIMIT 5000)
+    GROUP BY word HAVING bad >= 6 AND bad >= 50 * good)
 ), tox AS (SELECT doc_id, count(*) AS n FROM plain WHERE word IN (SELECT word FROM lexicon) GROUP BY doc_id),
 m AS (
   SELECT t.doc_id, len(words)::BIGINT AS n_words, length(array_to_string(words, ''))::BIGINT AS word_chars,
@@ -156,6 +155,8 @@ m AS (
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
        (n_words < 20 OR 100 * n_repeat_words > 30 * n_words) AS base_failed,
        NOT (n_words < 20 OR 100 * n_repeat_words > 30 * n_words OR (10 * n_symbols > n_words AND n_symbols >= 5)
-            OR (5 * n_bangs > n_words AND n_bangs >= 5) OR (n_lines >= 10 AND 2 * n_dup_lines > n_lines) OR n_toxic >= 1) AS kept
+            OR (5 * n_bangs > n_words AND n_bangs >= 5) OR (n_lines >= 10 AND 2 * n_dup_lines > n_lines) OR n_toxic >= 1) AS kept,
+       ((n_words < 20)::BIGINT + 2 * (100 * n_repeat_words > 30 * n_words)::BIGINT + 4 * (10 * n_symbols > n_words AND n_symbols >= 5)::BIGINT
+        + 8 * (5 * n_bangs > n_words AND n_bangs >= 5)::BIGINT + 16 * (n_lines >= 10 AND 2 * n_dup_lines > n_lines)::BIGINT + 32 * (n_toxic >= 1)::BIGINT)::BIGINT AS fail_bits
 FROM m
 """

@@ -11,7 +11,7 @@
    one task: documents after its first lose it whole, for all its windows start in that first one.
 4. In a shard, passages stream in the order of documents through a suffix automaton of words: matching statistics
    of `n` or more against earlier documents mark words, then what was new extends the automaton. Words are
-   compared as they are, so hashes decide nothing but the place of work.
+   compared as they are; elsewhere hashes route work, save that equal passages are told by a digest of 128 bits.
 
 Defined cases: null or blank text has no words and the hash of the empty text; documents with fewer than n words
 stay whole; windows that repeat in their own document only stay; rows with one doc_id are one document for

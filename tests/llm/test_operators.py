@@ -202,7 +202,9 @@ def test_packing_round_trip(docs, rows):
     import public_tokenizers
 
     tok = Tokenizer.from_file(public_tokenizers.path(packing.VOCABULARY))
-    tok.encode_special_tokens = True
+    special = [(700, "a <|endoftext|> b"), (701, "<|endoftext|>"), (702, "<|endoftext|><|endoftext|> x" * 30)]
+    assert packing.token_ids(["<|endoftext|>", None]) == [[50256], []]
+    rows, docs = rows + special, docs.unionByName(table(docs.sparkSession, special))
     want = Counter()
     by_key = {}
     for i, t in rows:
@@ -412,11 +414,13 @@ def test_lm_beats_base_on_held_out(spark):
 def test_licences(spark):
     digests = license_scan.known()
     assert len({d for d, *_ in digests}) == len(digests)
-    assert all(re.search(license_scan.MARKS, t) for t in license_scan.TEXTS.values()) and max(map(len, license_scan.TEXTS.values())) < license_scan.WHOLE_CHARS
-    mit = "MIT License\n\nCopyright (c) 2020 Some One\n\n" + license_scan.TEXTS["MIT"].replace("Permission", "PERMISSION ,")
-    rows = [(1, mit), (2, "Text.\nReleased under the MIT Licence\nmore"), (3, "Licensed under the Apache License, version 2.0!\nReleased under the MIT License.\nReleased under the MIT License."), (4, None), (5, ""), (6, "my license is none"), (2, "Text.\nReleased under the MIT Licence\nmore"), (None, "SPDX-License-Identifier: GPL-3.0")]
+    assert all(re.search(license_scan.MARKS, t) for t in license_scan.TEXTS.values())
+    notices = [f"{v}{f}" for forms in license_scan.NAMES.values() for f in forms for v in license_scan.VERBS]
+    assert all(re.search(license_scan.MARKS, x) for x in notices)
+    mit = "MIT License\n\nCopyright (c) 2020, S. Some; A. One. All rights reserved.\n\n" + license_scan.TEXTS["MIT"].replace("Permission", "PERMISSION ,")
+    rows = [(1, mit), (2, "Text.\nReleased under the MIT Licence\nmore"), (3, "Licensed under the Apache License, version 2.0!\nReleased under the MIT License.\nReleased under the MIT License."), (4, None), (5, ""), (6, "my license is none"), (2, "Text.\nReleased under the MIT Licence\nmore"), (None, "SPDX-License-Identifier: GPL-3.0"), (7, mit + "\n" * 30000), (8, "Copyright (c) 2020 J. X. Y. Released under the MIT License."), (9, "Released under CC BY 4.0.")]
     got = Counter((r.doc_id, r.licenses, r.whole_text, r.n_notices) for r in license_scan.scan(table(spark, rows)).collect())
-    assert got == Counter([(1, "MIT", True, 0), (2, "MIT", False, 1), (2, "MIT", False, 1), (3, "Apache-2.0,MIT", False, 3), (4, "", False, 0), (5, "", False, 0), (6, "", False, 0), (None, "GPL-3.0", True, 1)])
+    assert got == Counter([(1, "MIT", True, 0), (2, "MIT", False, 1), (2, "MIT", False, 1), (3, "Apache-2.0,MIT", False, 3), (4, "", False, 0), (5, "", False, 0), (6, "", False, 0), (None, "GPL-3.0", True, 1), (7, "MIT", True, 0), (8, "MIT", True, 1), (9, "CC-BY-4.0", True, 1)])
 
 
 def test_html_held_out():

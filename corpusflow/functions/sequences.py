@@ -1,4 +1,4 @@
-"""Functions that SQL does not express: sequence similarity, LaTeX and bracket checks, de-hyphenation; Arrow batches throughout."""
+"""Functions that SQL does not express: sequence similarity, LaTeX and bracket checks, in Arrow batches; and de-hyphenation, in SQL."""
 
 from __future__ import annotations
 
@@ -11,7 +11,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corpusflow.plans.catalog import engine_table, rows_only
+from corpusflow.plans.catalog import apply, engine_table, operator, rows_only
 
 #: Characters that the similarity compares, as the operator is defined.
 COMPARED = 4000
@@ -49,7 +49,7 @@ def sequence_ratio(a, b):
 def latex_errors(text: str) -> list[str]:
     """Braces, nesting, environments and orphan scripts."""
     if not text.strip():
-        return ["empty formula"]
+        return ["nothing in the formula"]
     out = []
     for opener, closer, name in (("{", "}", "braces"), ("[", "]", "brackets")):
         depth = deepest = 0
@@ -59,21 +59,21 @@ def latex_errors(text: str) -> list[str]:
             if depth < 0:
                 break
         if depth:
-            out.append(f"unbalanced {name}")
+            out.append(f"{name} do not pair")
         if opener == "{" and deepest > NESTED:
-            out.append("nesting too deep")
+            out.append("braces nest too deep")
     stack = []
     for what, name in re.findall(r"\\(begin|end)\{([^}]*)\}", text):
         if what == "begin":
             if name not in KNOWN_ENVIRONMENTS:
-                out.append(f"unknown environment: {name}")
+                out.append(f"environment {name} is not known")
             stack.append(name)
         elif not stack or stack.pop() != name:
-            out.append(f"environment not open: {name}")
-    out += [f"environment not closed: {n}" for n in stack]
-    out += [f"unknown command: {c}" for c in re.findall(r"\\([a-zA-Z]+)", text) if c not in KNOWN_COMMANDS]
+            out.append(f"environment {name} ends unbegun")
+    out += [f"environment {n} does not end" for n in stack]
+    out += [f"command {c} is not known" for c in re.findall(r"\\([a-zA-Z]+)", text) if c not in KNOWN_COMMANDS]
     if re.search(r"(?:^|[=+\-*/,;(\[{\s])[_^]", text):
-        out.append("orphan script")
+        out.append("script without a base")
     return out
 
 
@@ -114,34 +114,34 @@ def bracket_fix(text, language):
     return F.pandas_udf(_brackets, "string")(text, language)
 
 
-def dehyphenated(texts: list[str], vocabulary: dict[str, int]) -> list[str]:
-    """Words cut at a line end joined with the next line's first word; what that line keeps must not be empty."""
-    out = list(texts)
-    for i in range(len(out) - 1):
-        cut = re.search(r"([A-Za-z]{2,})-$", out[i].rstrip())
-        head = re.match(r"([a-z][a-z-]*)([.,;:)\]]*)\s+(?=\S)", out[i + 1])
-        if not cut or not head:
-            continue
-        prefix, word = cut[1].lower(), head[1]
-        whole, parted = vocabulary.get(prefix + word, 0), vocabulary.get(f"{prefix}-{word}", 0)
-        keep = parted > 0 or whole == 0 and (prefix in COMPOUND_PREFIXES or word in COMPOUND_TAILS or "-" in word)
-        out[i] = out[i].rstrip()[: None if keep else -1] + word + head[2]
-        out[i + 1] = out[i + 1][head.end() :]
-    return out
-
-
-def dehyphenate(lines: DataFrame) -> DataFrame:
-    """lines(doc_id, pos, line) with cut words joined, one document at a time with its own vocabulary."""
-
-    def work(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values("pos")
-        texts = group["line"].fillna("").tolist()
-        vocabulary: dict[str, int] = {}
-        for w in re.findall(r"[a-z]+(?:-[a-z]+)*", " ".join(texts).lower()):
-            vocabulary[w] = vocabulary.get(w, 0) + 1
-        return group.assign(line=dehyphenated(texts, vocabulary))[["doc_id", "pos", "line"]]
-
-    return lines.select("doc_id", "pos", "line").groupBy("doc_id").applyInPandas(work, "doc_id long, pos long, line string")
+def _listed(words: frozenset) -> str:
+    return ", ".join(f"'{w}'" for w in sorted(words))
+
+
+_HEAD = r"^([a-z](?:[a-z-]*[a-z])?)([.,;:)\]]*)[ \t]+[^ \t]"
+operator(
+    "fn_dehyphenate",
+    f"""
+WITH pairs AS (
+  SELECT doc_id, block_index, text, type = 'paragraph' AND lead(type) OVER w = 'paragraph' AND abs(font_size - lead(font_size) OVER w) <= 0.5 AS joinable,
+         lower($extract(text, r'([A-Za-z]+)-[ \t]*$', 1)) AS prefix, $extract(lead(text) OVER w, r'{_HEAD}', 1) AS word, $extract(lead(text) OVER w, r'{_HEAD}', 2) AS punct
+  FROM {{fragments}} WINDOW w AS (PARTITION BY doc_id ORDER BY block_index)
+), cuts AS (SELECT doc_id, block_index, prefix, word, punct FROM pairs WHERE joinable AND length(prefix) >= 2 AND length(word) >= 1),
+vocabulary AS (SELECT DISTINCT doc_id, w FROM (SELECT doc_id, $explode($all_matches(lower(text), r'[a-z]+(?:-[a-z]+)*')) AS w FROM {{fragments}})),
+moves AS (
+  SELECT c.doc_id, c.block_index, c.word || c.punct AS moved,
+         CASE WHEN parted.w IS NOT NULL THEN TRUE WHEN whole.w IS NOT NULL THEN FALSE ELSE c.prefix IN ({_listed(COMPOUND_PREFIXES)}) OR c.word IN ({_listed(COMPOUND_TAILS)}) OR $matches(c.word, r'-') END AS kept
+  FROM cuts c LEFT JOIN vocabulary parted ON parted.doc_id = c.doc_id AND parted.w = c.prefix || '-' || c.word
+       LEFT JOIN vocabulary whole ON whole.doc_id = c.doc_id AND whole.w = c.prefix || c.word
+), marked AS (
+  SELECT p.doc_id, p.block_index, p.text, m.moved, m.kept, lag(m.moved) OVER (PARTITION BY p.doc_id ORDER BY p.block_index) AS taken
+  FROM pairs p LEFT JOIN moves m ON m.doc_id = p.doc_id AND m.block_index = p.block_index
+), bodies AS (SELECT doc_id, block_index, moved, kept, taken, CASE WHEN taken IS NULL THEN text ELSE $replace_all(substr(text, length(taken) + 1), r'^[ \t]+', '') END AS body FROM marked)
+SELECT doc_id, block_index, CASE WHEN moved IS NULL THEN body WHEN kept THEN $replace_all(body, r'[ \t]+$', '') || moved ELSE $replace_all(body, r'-[ \t]*$', '') || moved END AS text, moved, kept
+FROM bodies
+""",
+    "Words cut at the end of a fragment joined with the first word of the next one of the same size, which keeps a word; the hyphen stays where the document's other words or fixed lists say so.",
+)
 
 
 def candidate_pairs(notes: DataFrame) -> DataFrame:
@@ -158,6 +158,14 @@ def _notes(spark, sf_dir):
     return engine_table(spark, sf_dir, "notes").join(body, "doc_id")
 
 
+def decided_pairs(notes: DataFrame) -> DataFrame:
+    """Decisions on the candidate pairs of notes(note_id, note_type, title, aliases, body) by the similarity of their texts."""
+    named = notes.select("note_id", F.lower("title").alias("title"), F.coalesce("aliases", F.array().cast("array<string>")).alias("aliases"))
+    pairs = candidate_pairs(notes).select("a", "b", sequence_ratio("body_a", "body_b").alias("sim"))
+    both = pairs.join(named.toDF("a", "ta", "la"), "a").join(named.toDF("b", "tb", "lb"), "b")
+    return apply("sim_pair_decision", pairs=both.select("a", "b", (F.col("ta") == F.col("tb")).alias("canonical"), F.arrays_overlap("la", "lb").alias("alias"), "sim"))
+
+
 @rows_only("sim_sequence_ratio")
 def sim_sequence_ratio(spark, sf_dir):
     return candidate_pairs(_notes(spark, sf_dir)).select("a", "b", F.round(sequence_ratio("body_a", "body_b"), 6).alias("ratio"))
@@ -182,8 +190,3 @@ def fn_latex_validate(spark, sf_dir):
 def fn_bracket_fix(spark, sf_dir):
     text = F.concat(F.lit("f(["), F.col("page").cast("string"), F.when(F.col("page") % 2 == 0, "])").otherwise(", 2"))
     return engine_table(spark, sf_dir, "regions").where("cls = 'code'").select("page", "region_id", bracket_fix(text, F.lit("python")).alias("fixed"))
-
-
-@rows_only("fn_dehyphenate")
-def fn_dehyphenate(spark, sf_dir):
-    return dehyphenate(engine_table(spark, sf_dir, "lines"))

@@ -45,16 +45,17 @@ WITH b AS (SELECT doc_id, page, $distinct($all_matches(lower($texts(content, blo
 p AS (SELECT x.doc_id, x.page, x.t AS a, y.t AS c FROM b x JOIN b y ON x.doc_id = y.doc_id AND y.page = x.page + 1)
 SELECT doc_id, page, CASE WHEN $size($union(a, c)) = 0 THEN 1.0E0 ELSE $double($size($intersect(a, c))) / $size($union(a, c)) END AS jaccard FROM p
 """, "Jaccard index of token sets; two empty sets are equal.")
-operator("sim_levenshtein_limit", "SELECT a.n_name AS unknown, b.n_name AS suggestion, $long(levenshtein(a.n_name, b.n_name)) AS distance FROM {nation} a JOIN {nation} b ON a.n_regionkey = b.n_regionkey AND a.n_nationkey <> b.n_nationkey WHERE levenshtein(a.n_name, b.n_name) <= 6", "Did you mean: names within a distance, compared inside a region.")
+operator("sim_levenshtein_limit", "SELECT a.n_name AS unknown, b.n_name AS suggestion, $long(levenshtein(a.n_name, b.n_name)) AS distance FROM {nation} a JOIN {nation} b ON a.n_regionkey = b.n_regionkey AND a.n_nationkey <> b.n_nationkey WHERE levenshtein(a.n_name, b.n_name) <= 2", "Did you mean: names within a distance, compared inside a region.")
 operator("sim_word_containment", """
 WITH n AS (SELECT note_id, $distinct($all_matches(lower(text), r'[a-z]+')) AS a, note_id AS id FROM {nodes}), d AS (SELECT 'note-' || $text(doc_id) AS id, $distinct($all_matches(lower(text), r'[a-z]+')) AS t FROM {documents})
 SELECT note_id, $long(count(*)) AS nodes, $long(count_if($size(a) > 0 AND $size($intersect(a, t)) >= 0.8 * $size(a))) AS present FROM n JOIN d ON n.id = d.id GROUP BY note_id
 """, "Nodes of which four fifths of the words are in the artefact.")
+# The limits of the cascade.
 operator("sim_pair_decision", """
-WITH p AS (SELECT a.note_id AS a, b.note_id AS b, a.title = b.title AS same_title, lower(a.title) = lower(b.title) AS alias, $double(least(a.n_words, b.n_words)) / greatest(a.n_words, b.n_words) AS sim FROM {notes} a JOIN {notes} b ON a.note_type = b.note_type AND substr(lower(a.title), 1, 12) = substr(lower(b.title), 1, 12) AND a.note_id < b.note_id)
-SELECT a, b, CASE WHEN same_title AND sim >= 0.9 THEN 'merge' WHEN same_title THEN 'conflict' WHEN alias OR sim >= 0.85 THEN 'merge' WHEN sim >= 0.6 THEN 'specialize' ELSE 'review' END AS decision,
-       CASE WHEN same_title AND sim >= 0.9 THEN 0.95E0 WHEN same_title THEN 0.7E0 ELSE sim END AS confidence FROM p WHERE sim >= 0.4
-""", "Decision on a pair by canonical name, alias and similarity.")
+SELECT a, b, CASE WHEN named AND sim >= 0.3 AND sim < 0.5 THEN 'conflict' WHEN named OR sim >= 0.85 THEN 'merge' WHEN sim >= 0.6 THEN 'specialize' ELSE 'review' END AS decision,
+       CASE WHEN named AND sim >= 0.3 AND sim < 0.5 THEN 0.7E0 WHEN named THEN 0.95E0 ELSE $even(sim, 3) END AS confidence
+FROM (SELECT a, b, sim, canonical OR alias AS named FROM {pairs}) WHERE named OR sim >= 0.4
+""", "Decision on a pair by canonical name, alias and similarity of the texts.", pairs="note_pairs")
 operator("dup_merge", "SELECT family AS merged, $long(count(*)) AS parts, $texts(note_id, doc_id, ',') AS aliases, $long(sum(n_blocks)) AS n_blocks, min(title) AS title FROM {notes} GROUP BY family", "Union of merged notes with their old ids as aliases.")
 operator("dup_subtree", "SELECT note_id, path FROM (SELECT note_id, path, row_number() OVER (PARTITION BY note_id, $sha256(node || text) ORDER BY ord) AS k FROM {nodes}) WHERE k = 1", "Blocks without those whose subtree stood before.")
 operator("dup_split", "SELECT note_id, $long(part) AS part, min(ord) AS first_ord, $long(count(*)) AS n FROM (SELECT note_id, ord, sum(CASE WHEN node = 'heading' THEN 1 ELSE 0 END) OVER (PARTITION BY note_id ORDER BY ord) AS part FROM {nodes}) GROUP BY note_id, part", "A note split at its headings.")

@@ -38,12 +38,12 @@ SELECT page, region_id, round(score, 6) AS score, score < 0.3 AS jump FROM (
 """, "Continuity of a region with the next; below 0.3 is a jump.")
 operator("win_order_check", f"SELECT page, region_id, band, col FROM (SELECT page, region_id, band, col, lag(col) OVER (PARTITION BY page, band ORDER BY region_id) AS before FROM ({_order})) WHERE before > col", "Regions that step back a column inside a band.")
 operator("win_columnar_probe", """
-SELECT page, bool_or(n = 6 AND spread <= 420 AND x_spread >= 3) AS columnar FROM (
+SELECT page, bool_or(n = 6 AND spread <= 42 AND x_spread >= 3) AS columnar FROM (
   SELECT page, count(*) OVER w AS n, max(y) OVER w - min(y) OVER w AS spread, $size($distinct(array_agg(x) OVER w)) AS x_spread
   FROM {boxes} WINDOW w AS (PARTITION BY page ORDER BY word_id ROWS BETWEEN CURRENT ROW AND 5 FOLLOWING)) GROUP BY page
 """, "Whether six consecutive words stand in one band at three or more places.")
 operator("win_numbering_jumps", """
-SELECT chapter, section, before, gap, CASE WHEN gap > 3 THEN 'critical' WHEN gap > 1 THEN 'warning' ELSE 'ok' END AS severity
+SELECT chapter, section, before, gap, CASE WHEN gap > 100 THEN 'critical' WHEN gap > 1 THEN 'warning' ELSE 'ok' END AS severity
 FROM (SELECT chapter, section, lag(section) OVER (PARTITION BY chapter ORDER BY section) AS before, section - lag(section) OVER (PARTITION BY chapter ORDER BY section) AS gap FROM {numbering} WHERE page % 4 <> 0) WHERE gap > 1
 """, "Jumps between consecutive section numbers.")
 # The fillers, and a pause of two seconds.
@@ -52,15 +52,15 @@ SELECT conv_id, turn, pause, CASE WHEN pause >= 2 THEN $replace_all(text, r'(?i)
 FROM (SELECT conv_id, turn, coalesce(text, '') AS text, start_s - lag(end_s) OVER (PARTITION BY conv_id ORDER BY turn) AS pause FROM {segments})
 """, "Leading fillers go only after a pause of two seconds.")
 operator("win_heading_path", """
-WITH h AS (SELECT doc_id, block_index, trim($replace_all(lower(content), r'[^a-z0-9]+', '-')) AS slug, (block_index + doc_id) % 3 + 1 AS level FROM {blocks} WHERE type = 'heading'),
-p AS (SELECT c.doc_id, c.block_index, c.level, c.slug, max(CASE WHEN a.level = 1 THEN a.block_index END) AS a1, max(CASE WHEN a.level = 2 THEN a.block_index END) AS a2
-      FROM h c LEFT JOIN h a ON a.doc_id = c.doc_id AND a.block_index < c.block_index AND a.level < c.level GROUP BY c.doc_id, c.block_index, c.level, c.slug)
-SELECT p.doc_id, p.block_index, p.level, '/' || coalesce(x.slug || '/', '') || CASE WHEN p.a2 > coalesce(p.a1, -1) THEN coalesce(z.slug || '/', '') ELSE '' END || p.slug AS section_path
-FROM p LEFT JOIN h x ON x.doc_id = p.doc_id AND x.block_index = p.a1 LEFT JOIN h z ON z.doc_id = p.doc_id AND z.block_index = p.a2
+WITH h AS (SELECT doc_id, block_index, $replace_all($replace_all(lower(content), r'[^a-z0-9]+', '-'), r'^-+|-+$', '') AS slug, (block_index + doc_id) % 3 + 1 AS level FROM {blocks} WHERE type = 'heading'),
+p AS (SELECT doc_id, block_index, level, slug, max(CASE WHEN level = 1 THEN block_index END) OVER w AS a1, max(CASE WHEN level = 2 THEN block_index END) OVER w AS a2,
+             $max_by(slug, CASE WHEN level = 1 THEN block_index END) OVER w AS s1, $max_by(slug, CASE WHEN level = 2 THEN block_index END) OVER w AS s2
+      FROM h WINDOW w AS (PARTITION BY doc_id ORDER BY block_index ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING))
+SELECT doc_id, block_index, level, '/' || CASE WHEN level > 1 AND a1 IS NOT NULL THEN s1 || '/' ELSE '' END || CASE WHEN level > 2 AND a2 > coalesce(a1, -1) THEN s2 || '/' ELSE '' END || slug AS section_path FROM p
 """, "Heading stack to nested section paths; a level is reset by a shallower heading.")
 operator("win_slug_suffix", """
 SELECT doc_id, block_index, CASE WHEN k = 1 THEN slug ELSE slug || '-' || $text(k) END AS slug
-FROM (SELECT doc_id, block_index, slug, row_number() OVER (PARTITION BY doc_id, slug ORDER BY block_index) AS k FROM (SELECT doc_id, block_index, trim($replace_all(lower(content), r'[^a-z0-9]+', '-')) AS slug FROM {blocks} WHERE type = 'heading'))
+FROM (SELECT doc_id, block_index, slug, row_number() OVER (PARTITION BY doc_id, slug ORDER BY block_index) AS k FROM (SELECT doc_id, block_index, $replace_all($replace_all(lower(content), r'[^a-z0-9]+', '-'), r'^-+|-+$', '') AS slug FROM {blocks} WHERE type = 'heading'))
 """, "Suffix -2, -3 for repeated slugs.")
 operator("win_first_wins", "SELECT source_hash, term, unit_id, doc_id FROM (SELECT source_hash, term, unit_id, doc_id, row_number() OVER (PARTITION BY source_hash, term ORDER BY doc_id, block_index) AS k FROM {units} WHERE type = 'definition') WHERE k = 1", "First definition of a term in a domain.")
 
@@ -73,8 +73,8 @@ SELECT note_id, min(ord) AS first_ord, $long(count(*)) AS n FROM g WHERE node =
 """
 
 
-operator("win_callout_run", _runs("callout", 1), "Runs of callouts longer than allowed.")
-operator("win_bullet_run", _runs("bullet", 1), "Runs of bullets longer than allowed.")
+operator("win_callout_run", _runs("callout", 3), "Runs of callouts longer than allowed.")
+operator("win_bullet_run", _runs("bullet", 5), "Runs of bullets longer than allowed.")
 operator("win_chunks_by_size", "SELECT section_path, $div(block_index, 30) AS chunk, $min_by(block_id, block_index) AS first_block, $max_by(block_id, block_index) AS last_block, $long(count(*)) AS n FROM {blocks} GROUP BY section_path, $div(block_index, 30)", "Chunks of thirty blocks with their ends.")
 operator("win_chunks_by_chapter", """
 WITH c AS (SELECT doc_id, block_index, block_id, greatest(sum(CASE WHEN type = 'heading' THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY block_index) - 1, 0) AS chapter FROM {blocks})
@@ -110,11 +110,11 @@ SELECT page, word_id, row_number() OVER (PARTITION BY page ORDER BY anchor, x, w
 """,
 )
 operator("win_prose_run", """
-SELECT note_id, ord, $long(run) AS run, run > 60 AS over_limit FROM (
+SELECT note_id, ord, $long(run) AS run, run > 200 AS over_limit FROM (
   SELECT note_id, ord, sum(n_words) OVER (PARTITION BY note_id, anchors ORDER BY ord) AS run
   FROM (SELECT note_id, ord, node, n_words, sum(CASE WHEN node <> 'paragraph' THEN 1 ELSE 0 END) OVER (PARTITION BY note_id ORDER BY ord) AS anchors FROM {nodes}) WHERE node = 'paragraph')
 """, "Words of prose since the last anchor.")
 operator("win_cross_page_tables", """
 WITH t AS (SELECT page, region_id, text, col FROM {regions} WHERE cls = 'table'), n AS (SELECT a.page AS a, b.page AS b, a.region_id AS ra, b.region_id AS rb, a.text AS ta, b.text AS tb FROM t a JOIN t b ON b.page = a.page + 1 AND a.col = b.col)
-SELECT a, b, ra, rb, $double(greatest(length(ta), length(tb)) - levenshtein(ta, tb)) / greatest(length(ta), length(tb)) >= 0.5 AS merged FROM n
+SELECT a, b, ra, rb, $double(greatest(length(ta), length(tb)) - levenshtein(ta, tb)) / greatest(length(ta), length(tb)) >= 0.8 AS merged FROM n
 """, "Tables of adjacent pages and columns whose headers are alike.")

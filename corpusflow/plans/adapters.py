@@ -56,11 +56,13 @@ FROM {{blocks}} b LEFT JOIN {{labels}} l ON b.doc_id = l.doc_id
 table("old_blocks", "SELECT * FROM {blocks} WHERE doc_id % 10 <> 0")
 table("new_blocks", "SELECT block_id, doc_id, section_path, block_index, source_hash, source, lang, CASE WHEN doc_id % 10 = 2 THEN content || '!' ELSE content END AS content, type, n_words, page, confidence, origin FROM {blocks} WHERE doc_id % 10 <> 1")
 table("notes", "SELECT 'note-' || $text(doc_id) AS note_id, 'note-' || $text(doc_id % 7) AS family, substr(min(content), 1, 40) AS title, CASE doc_id % 4 WHEN 0 THEN 'concept' WHEN 1 THEN 'procedure' WHEN 2 THEN 'reference' ELSE 'error-log' END AS note_type, doc_id, source AS domain, $long(sum(n_words)) AS n_words, $long(count(*)) AS n_blocks, $div($long(sum(n_words)), 200) + 1 AS minutes, $sha256(lower(min(content)) || $text(doc_id)) AS ir_hash FROM {blocks} GROUP BY doc_id, source")
+# The similarity of this fixture is that of the sizes; `sequences.decided_pairs` computes the one of the texts.
+table("note_pairs", "SELECT a.note_id AS a, b.note_id AS b, lower(a.title) = lower(b.title) AS canonical, a.family = b.family AND a.domain = b.domain AS alias, $double(least(a.n_words, b.n_words)) / greatest(a.n_words, b.n_words) AS sim FROM {notes} a JOIN {notes} b ON a.note_type = b.note_type AND substr(lower(a.title), 1, 12) = substr(lower(b.title), 1, 12) AND a.note_id < b.note_id")
 table(
     "nodes",
     """
 SELECT 'note-' || $text(doc_id) AS note_id, 'blocks[' || $text(block_index) || ']' AS path, 'blocks' AS parent_path, block_index AS ord,
-       CASE type WHEN 'heading' THEN 'heading' WHEN 'boilerplate' THEN 'callout' ELSE CASE block_index % 6 WHEN 1 THEN 'bullet' WHEN 4 THEN 'callout' ELSE 'paragraph' END END AS node,
+       CASE type WHEN 'heading' THEN 'heading' WHEN 'boilerplate' THEN 'callout' ELSE CASE WHEN block_index % 24 BETWEEN 4 AND 10 THEN 'bullet' WHEN block_index % 24 BETWEEN 14 AND 18 THEN 'callout' ELSE 'paragraph' END END AS node,
        content AS text, n_words, CASE WHEN doc_id % 11 = 0 AND block_index % 2 = 0 THEN NULL ELSE block_id END AS block_ref,
        (doc_id % 13 = 0 AND block_index % 3 = 0) AS derived, (doc_id % 19 = 0) AS external,
        CASE block_index % 5 WHEN 0 THEN 'callouts' WHEN 1 THEN 'tables' WHEN 2 THEN 'math' WHEN 3 THEN 'footnotes' ELSE 'text' END AS capability, section_path
@@ -91,13 +93,13 @@ SELECT l_orderkey AS page, $long(row_number() OVER (PARTITION BY l_orderkey ORDE
 FROM {lineitem}
 """,
 )
-table("regions", "SELECT page, $long(row_number() OVER (PARTITION BY page ORDER BY x, y, word_id)) AS region_id, x - 5 AS x, y - 5 AS y, w + 140 AS w, h + 60 AS h, x AS col_x, CASE (x + y) % 5 WHEN 0 THEN 'table' WHEN 1 THEN 'code' WHEN 2 THEN 'formula' WHEN 3 THEN 'caption' ELSE 'paragraph' END AS cls, conf, text, CASE WHEN x >= 520 THEN 2 WHEN x >= 260 THEN 1 ELSE 0 END AS col FROM {boxes} WHERE word_id <= 4")
+table("regions", "SELECT page, $long(row_number() OVER (PARTITION BY page ORDER BY x, y, word_id)) AS region_id, x - 5 AS x, y - 5 AS y, w + 140 AS w, h + 60 AS h, x AS col_x, CASE (x + y) % 5 WHEN 0 THEN 'table' WHEN 1 THEN 'code' WHEN 2 THEN 'formula' WHEN 3 THEN 'caption' ELSE 'paragraph' END AS cls, conf, text, CASE WHEN x >= 520 THEN 2 WHEN x >= 260 THEN 1 ELSE 0 END AS col FROM {boxes}")
 table("numbering", "SELECT l_orderkey AS chapter, $long(l_linenumber) AS section, l_partkey AS page FROM {lineitem}")
 table("triage", "SELECT doc_id, $long(pos + 1) AS page, $long(length(line)) * 8 AS chars, $count_matches(line, r'[A-Z]') AS fonts, $double((pos * 31 + doc_id) % 100) / 100 AS image_rate, $double($count_matches(line, r'[#*%&|]')) / greatest(length(line), 1) AS nonprint, $long(length(line)) % 3 AS images FROM {lines}")
 table("fragments", "SELECT b.doc_id, b.page, b.block_index, b.content AS text, CASE b.type WHEN 'heading' THEN 14.0E0 + (b.block_index % 3) * 2 WHEN 'boilerplate' THEN 8.0E0 ELSE 10.0E0 END AS font_size, CASE WHEN b.block_index % 4 = 0 THEN 'Serif-Bold' ELSE 'Serif' END AS font_name, 700 - (b.block_index % 10) * 70 AS y, b.type FROM {blocks} b")
 table("concepts", "SELECT DISTINCT domain, term AS concept, doc_id FROM (SELECT u.source_hash AS domain, u.term, min(u.doc_id) AS doc_id FROM {units} u WHERE u.type = 'definition' AND length(u.term) >= 4 GROUP BY u.source_hash, u.term)")
 table("relations", "SELECT DISTINCT source_hash AS domain, term AS from_concept, lower($extract(content, r'[A-Za-z]+[^A-Za-z]+([A-Za-z]+)', 1)) AS to_concept, CASE WHEN block_index % 2 = 0 THEN 'prerequisite' ELSE 'related' END AS relation FROM {units} WHERE type IN ('cross-reference', 'definition') AND length(term) >= 4")
-table("trade", "SELECT DISTINCT a, b FROM (SELECT $long(n_nationkey) AS a, $long((n_nationkey * 3 + 2) % 25) AS b FROM {nation} UNION ALL SELECT $long(n_nationkey), $long((n_nationkey + 7) % 25) FROM {nation} WHERE n_nationkey % 2 = 0 UNION ALL SELECT $long(s_nationkey), $long((s_nationkey * 5 + 1) % 25) FROM {supplier} WHERE s_suppkey <= 10) WHERE a <> b")
+table("trade", "SELECT DISTINCT a, b FROM (SELECT $long(n_nationkey) AS a, $long((n_nationkey * 3 + 2) % 25) AS b FROM {nation} UNION ALL SELECT $long(n_nationkey), $long((n_nationkey + 7) % 25) FROM {nation} WHERE n_nationkey % 2 = 0 UNION ALL SELECT $long(s_nationkey), $long((s_nationkey * 5 + 1) % 25) FROM {supplier}) WHERE a <> b")
 table("precedence", "SELECT a, b FROM {trade} WHERE a < b")
 table("runs", "SELECT $long(extract(DAY FROM ts)) AS run, user_id % 6 AS case_id, event_type AS metric, avg(value) AS value, $long(count(*)) AS n FROM {events} GROUP BY extract(DAY FROM ts), user_id % 6, event_type")
 table("glossary", "SELECT term AS canonical, CASE WHEN length(term) > 5 THEN substr(term, 1, 5) ELSE term || 's' END AS alias, $long(min(doc_id)) AS doc_id FROM {units} WHERE length(term) >= 4 AND block_index % 4 = 0 GROUP BY term")

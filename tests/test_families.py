@@ -107,10 +107,8 @@ def test_tex():
 
 def test_sequence_functions():
     assert sequences.latex_errors("\\begin{cases} x_{1} \\end{cases}") == []
-    assert sequences.latex_errors("_x") == ["orphan script"] and "unbalanced braces" in sequences.latex_errors("{x")
+    assert sequences.latex_errors("_x") == ["script without a base"] and "braces do not pair" in sequences.latex_errors("{x")
     assert sequences.fix_brackets("f([1, 2", "python") == "f([1, 2])" and sequences.fix_brackets("f)", "python") == "f)"
-    assert sequences.dehyphenated(["the trans-", "port layer"], {"transport": 2}) == ["the transport", "layer"]
-    assert sequences.dehyphenated(["physics-", "based model"], {}) == ["physics-based", "model"]
 
 
 def test_thresholds():
@@ -145,3 +143,46 @@ def test_pdf_round_trip():
     assert [r[-1] for r in rows] == text.split("\n") and [r[2] for r in rows] == [1, 2, 3] and rows[0][6] == 18.0
     assert [r[3] for r in pdf.outline("x", pdf.make_pdf(text))] == ["/title-one", "/title-one-2", "/back-slash"]
     assert list(pdf.fragments("x", b"no pdf")) == [] and list(pdf.outline("x", b"")) == []
+
+
+def test_words_cut_at_line_ends(spark):
+    lines = {
+        1: [("the trans-", 10.0), ("port layer uses a trans-", 10.0), ("mitter. transport transmitter", 10.0)],
+        2: [("physics-", 10.0), ("based model", 10.0)],
+        3: [("a well-known re-", 10.0), ("sult, here", 12.0)],  # another size
+        4: [("a cut-", 10.0), ("word", 10.0)],  # the next line would be empty
+        5: [("some long-", 10.0), ("term, plan", 10.0), ("long-term", 10.0)],
+        6: [("un-", 10.0), ("do it", 10.0)],
+    }
+    rows = [(d, i, t, "paragraph", s) for d, own in lines.items() for i, (t, s) in enumerate(own)] + [(7, 0, "head-", "heading", 10.0), (7, 1, "line of text", "paragraph", 10.0)]
+    got = {(r.doc_id, r.block_index): r.text for r in apply("fn_dehyphenate", fragments=spark.createDataFrame(rows, "doc_id long, block_index long, text string, type string, font_size double")).collect()}
+    assert [got[1, i] for i in range(3)] == ["the transport", "layer uses a transmitter.", "transport transmitter"]
+    assert [got[2, i] for i in range(2)] == ["physics-based", "model"]
+    assert got[3, 0] == "a well-known re-" and got[4, 1] == "word" and got[7, 0] == "head-"
+    assert [got[5, i] for i in range(3)] == ["some long-term,", "plan", "long-term"]
+    assert [got[6, i] for i in range(2)] == ["undo", "it"]
+
+
+def test_slugs_keep_no_edge_hyphens(spark):
+    rows = [(1, 0, "-- Intro!", "heading"), (1, 1, "Intro", "heading"), (1, 2, "text", "paragraph"), (1, 3, "(intro)", "heading")]
+    blocks = spark.createDataFrame(rows, "doc_id long, block_index long, content string, type string")
+    assert sorted((r.block_index, r.slug) for r in apply("win_slug_suffix", blocks=blocks).collect()) == [(0, "intro"), (1, "intro-2"), (3, "intro-3")]
+    paths = {r.block_index: (r.level, r.section_path) for r in apply("win_heading_path", blocks=blocks).collect()}
+    assert paths == {0: (2, "/intro"), 1: (3, "/intro/intro"), 3: (2, "/intro")}
+
+
+def test_pair_decisions(spark):
+    text = "one two three four five six seven eight nine ten " * 5
+    notes = [("a", "concept", "Lock", [], text), ("b", "concept", "lock", [], text), ("c", "concept", "Lock", [], text[: len(text) // 2] + "zq" * (len(text) // 4)), ("d", "procedure", "Lock", [], text), ("e", "concept", "Other", ["x"], text)]
+    df = spark.createDataFrame(notes, "note_id string, note_type string, title string, aliases array<string>, body string")
+    got = {(r.a, r.b): r.decision for r in sequences.decided_pairs(df).collect()}
+    assert got[("a", "b")] == "merge" and ("a", "d") not in got and ("a", "e") not in got
+    pairs = spark.createDataFrame([("p", "q", True, False, 0.4), ("p", "r", True, False, 0.2), ("p", "s", False, False, 0.7), ("p", "t", False, False, 0.9), ("p", "u", False, False, 0.5), ("p", "v", False, False, 0.3)], "a string, b string, canonical boolean, alias boolean, sim double")
+    assert {r.b: (r.decision, r.confidence) for r in apply("sim_pair_decision", pairs=pairs).collect()} == {"q": ("conflict", 0.7), "r": ("merge", 0.95), "s": ("specialize", 0.7), "t": ("merge", 0.9), "u": ("review", 0.5)}
+
+
+def test_run_limits(spark):
+    rows = [("n", i, "callout" if i < 4 else "bullet" if i < 9 else "callout" if i < 12 else "bullet") for i in range(18)]
+    nodes = spark.createDataFrame(rows, "note_id string, ord long, node string")
+    assert [(r.first_ord, r.n) for r in apply("win_callout_run", nodes=nodes).collect()] == [(0, 4)]
+    assert [(r.first_ord, r.n) for r in apply("win_bullet_run", nodes=nodes).collect()] == [(12, 6)]

@@ -11,6 +11,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from corpusflow.plans import adapters  # noqa: F401  the tables that operators name
 from corpusflow.plans.catalog import apply, engine_table, operator, rows_only
 
 #: Characters that the similarity compares, as the operator is defined.

@@ -77,6 +77,27 @@ def map_chunks(df: DataFrame, column: str, schema: str, work: Callable[[pa.Recor
     return df.mapInArrow(run, schema)
 
 
+def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """A 64-bit hash of each span of bytes: eight at a time are mixed in, after the length; long spans go to XXH3."""
+    if not len(starts):
+        return np.zeros(0, _U64)
+    lens = ends - starts
+    padded = np.zeros(len(data) + 8, np.uint8)
+    padded[: len(data)] = data
+    lanes = np.ndarray((len(data) + 1,), "<u8", padded, strides=(1,))  # eight bytes from each place on
+    out = mix(lens.astype(_U64) * _U64(_BASE))
+    todo, at = np.flatnonzero(lens <= _LONG_WORD), 0
+    while len(todo):
+        left = lens[todo] - at
+        lane = lanes[starts[todo] + at] & _LANE[np.minimum(left, 8)]
+        out[todo] = mix((out[todo] ^ lane) * _U64(_BASE) + _U64(at))
+        at += 8
+        todo = todo[left > 8]
+    for i in np.flatnonzero(lens > _LONG_WORD).tolist():
+        out[i] = xxhash.xxh3_64_intdigest(data[starts[i] : ends[i]].tobytes())
+    return out
+
+
 class Words:
     """Words of a column of texts, as positions in one byte buffer."""
 
@@ -109,24 +130,8 @@ class Words:
         return np.repeat(np.arange(len(self.first) - 1), np.diff(self.first))
 
     def hashes(self) -> np.ndarray:
-        """A 64-bit hash of each word's bytes: eight bytes at a time are mixed in, after the length; long words go to XXH3."""
-        if not len(self.starts):
-            return np.zeros(0, _U64)
-        lens = self.ends - self.starts
-        padded = np.zeros(len(self.data) + 8, np.uint8)
-        padded[: len(self.data)] = self.data
-        lanes = np.ndarray((len(self.data) + 1,), "<u8", padded, strides=(1,))  # eight bytes from each place on
-        out = mix(lens.astype(_U64) * _U64(_BASE))
-        todo, at = np.flatnonzero(lens <= _LONG_WORD), 0
-        while len(todo):
-            left = lens[todo] - at
-            lane = lanes[self.starts[todo] + at] & _LANE[np.minimum(left, 8)]
-            out[todo] = mix((out[todo] ^ lane) * _U64(_BASE) + _U64(at))
-            at += 8
-            todo = todo[left > 8]
-        for i in np.flatnonzero(lens > _LONG_WORD).tolist():
-            out[i] = xxhash.xxh3_64_intdigest(self.data[self.starts[i] : self.ends[i]].tobytes())
-        return out
+        """A 64-bit hash of each word's bytes."""
+        return span_hashes(self.data, self.starts, self.ends)
 
     def list(self) -> list[bytes]:
         raw = self.data.tobytes()

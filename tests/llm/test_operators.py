@@ -396,9 +396,13 @@ def test_lm_windows_hold_whole_texts():
     import pyarrow as pa
 
     texts = pa.array(["one two three " * 40, None, "", "x"])
-    stream, *_ = lm_scoring.Subwords(texts).stream()
-    w, n = lm_scoring.text_windows(texts)
-    assert n == len(w) and (lm_scoring.text_windows(texts, 3, 1)[0] == w[1::3]).all()
+    stream, begin, per_text = lm_scoring.Subwords(texts).stream()
+    ends = np.flatnonzero(stream == lm_scoring.END) + 1
+    raw = [stream[a:b].astype("<u2").tobytes() for a, b in zip([0, *ends], ends)]
+    ids = lm_scoring.Ids(pa.array(raw, pa.binary()))
+    assert (ids.stream == stream).all() and (ids.ends == ends).all() and (ids.begin == begin).all() and (ids.per_text == per_text).all() and len(ids.unique) == 4
+    w, n = lm_scoring.text_windows(pa.array(raw, pa.binary()))
+    assert n == len(w) and (lm_scoring.text_windows(pa.array(raw, pa.binary()), 3, 1)[0] == w[1::3]).all()
     scored = w[:, lm_scoring.CONTEXT + 1 :]
     first = scored[: -(-(int(np.argmax(stream == lm_scoring.END)) + 1) // lm_scoring.STRIDE)].ravel()
     n = int(np.argmax(stream == lm_scoring.END))

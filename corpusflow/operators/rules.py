@@ -2,16 +2,11 @@
 
 from __future__ import annotations
 
+from corpusflow.operators import note_rules
 from corpusflow.plans.catalog import operator
 
 #: name -> rules (id, severity, node expression, input, condition)
 RULES = {
-    "val_sdm": [("V-SDM-01", "error", "block_id", "blocks", "NOT $matches(block_id, r'^[0-9a-f]{12}$')"), ("V-SDM-03", "error", "block_id", "blocks", "type NOT IN ('heading', 'paragraph', 'boilerplate')"), ("V-SDM-05", "warning", "block_id", "blocks", "origin = 'ocr' AND confidence >= 0.97"), ("V-SDM-06", "warning", "block_id", "blocks", "confidence < 0.05"), ("V-SDM-09", "error", "block_id", "blocks", "page < 1")],
-    "val_notemark": [("V-NM-01", "error", "section_path || $text(block_index)", "blocks", "$count_matches(content, r'[(]') <> $count_matches(content, r'[)]')"), ("V-NM-02", "warning", "section_path || $text(block_index)", "blocks", "$matches(content, r'[\\x20\\x09]$')"), ("V-NM-05", "warning", "section_path || $text(block_index)", "blocks", "$matches(content, r'\\*\\*\\*|&&&')")],
-    "val_properties": [("V-PR-01", "error", "note_id", "notes", "title = ''"), ("V-PR-03", "warning", "note_id", "notes", "minutes > 30"), ("V-PR-05", "error", "note_id", "notes", "note_type NOT IN ('concept', 'procedure', 'reference', 'error-log')")],
-    "val_lengths": [("V-LEN-01", "warning", "note_id", "notes", "n_words > 1500"), ("V-LEN-02", "info", "note_id", "notes", "n_words < 50"), ("V-LEN-03", "warning", "note_id || path", "nodes", "n_words > 120"), ("V-LEN-04", "warning", "note_id || path", "nodes", "node = 'heading' AND length(text) > 60")],
-    "val_tables": [("V-TBL-02", "error", "section_path || $text(block_index)", "blocks", "$matches(content, r'[|]') AND $count_matches(content, r'[|]') < 2"), ("V-TBL-03", "warning", "section_path || $text(block_index)", "blocks", "$count_matches(content, r'[|]') > 12")],
-    "val_images": [("V-IMG-01", "warning", "$text(doc_id) || '/' || $text(page)", "triage", "images = 2 AND chars < 200"), ("V-IMG-03", "info", "$text(doc_id) || '/' || $text(page)", "triage", "image_rate > 0.95")],
     "val_monospace": [("V-MD-01", "warning", "section_path || $text(block_index)", "blocks", "length(content) > 800"), ("V-MD-03", "info", "section_path || $text(block_index)", "blocks", "$matches(content, r'[-+|]{3,}')")],
     "val_error_log": [("V-ERR-01", "error", "error_id", "error_log", "correction = ''"), ("V-ERR-02", "error", "error_id", "error_log", "note_id IS NULL"), ("V-ERR-03", "warning", "error_id", "error_log", "review_next IS NULL")],
     "val_goal_profile": [("V-GP-01", "error", "note_id", "notes", "note_type = 'procedure' AND n_blocks < 2"), ("V-GP-02", "warning", "note_id", "notes", "note_type = 'concept' AND n_words < 30")],
@@ -29,7 +24,8 @@ def _one(rule: tuple) -> str:
 for _name, _rules in RULES.items():
     operator(_name, "\nUNION ALL ".join(_one(r) for r in _rules), "Rules " + ", ".join(r[0] for r in _rules) + ".")
 
-operator("val_run_all", "SELECT rule_id, severity, $long(count(*)) AS n FROM (" + "\nUNION ALL ".join(_one(r) for rules in RULES.values() for r in rules) + ") GROUP BY rule_id, severity", "All rules of the registry, counted.")
+_all = [_one(r) for rules in RULES.values() for r in rules] + [f"SELECT rule_id, severity, node FROM ({text})" for text in note_rules.TEXTS.values()]
+operator("val_run_all", "SELECT rule_id, severity, $long(count(*)) AS n FROM (" + "\nUNION ALL ".join(_all) + ") GROUP BY rule_id, severity", "All rules of the registry, counted.")
 operator("val_ir", """
 WITH allowed AS (SELECT 'blocks' AS parent, 'heading' AS child UNION ALL SELECT 'blocks', 'paragraph' UNION ALL SELECT 'blocks', 'callout' UNION ALL SELECT 'blocks', 'bullet')
 SELECT 'E1' AS rule_id, n.note_id, n.path FROM {nodes} n LEFT JOIN allowed a ON a.parent = n.parent_path AND a.child = n.node WHERE a.child IS NULL

@@ -117,3 +117,49 @@ UNION ALL SELECT 'V-SDM-06', 'warning', 'low confidence', block_id FROM {blocks}
 UNION ALL SELECT 'V-LK-01', 'error', 'broken link', l.src FROM {note_links} l LEFT JOIN {notes} n ON l.dst = n.note_id WHERE n.note_id IS NULL
 """,
 )
+# Notes in the note language: a header, and a body of the document's blocks with marks, directives, tables and figures between them; some are faulty.
+_note_type = "CASE doc_id % 6 WHEN 0 THEN 'concept' WHEN 1 THEN 'cheatsheet' WHEN 2 THEN 'glossary-term' WHEN 3 THEN 'chapter-digest' WHEN 4 THEN 'index-moc' ELSE 'procedure' END"
+table(
+    "note_fields",
+    f"""
+WITH d AS (SELECT DISTINCT doc_id, source, 'note-' || $text(doc_id) AS note_id FROM {{blocks}} WHERE doc_id % 9 <> 4)
+SELECT note_id, 'title' AS key, 'Note ' || $text(doc_id) AS value, false AS is_list FROM d WHERE doc_id % 5 <> 1
+UNION ALL SELECT note_id, 'note-type', CASE WHEN doc_id % 14 = 3 THEN 'poem' ELSE {_note_type} END, false FROM d
+UNION ALL SELECT note_id, 'status', CASE doc_id % 7 WHEN 0 THEN 'published' WHEN 1 THEN 'final' ELSE 'draft' END, false FROM d
+UNION ALL SELECT note_id, 'summary', repeat('word ', $long(doc_id % 50)), false FROM d WHERE doc_id % 4 <> 0
+UNION ALL SELECT note_id, 'reading-time-minutes', $text(doc_id % 8), false FROM d
+UNION ALL SELECT note_id, 'tags', 'a', doc_id % 3 <> 0 FROM d
+UNION ALL SELECT note_id, CASE WHEN doc_id % 10 = 0 THEN 'mood' ELSE 'source-type' END, CASE WHEN doc_id % 8 = 0 THEN 'rumour' ELSE 'book' END, false FROM d
+""",
+)
+_at = lambda k, line, where: f"SELECT note_id, note_type, ord + {k}, {line} FROM b WHERE {where}"
+table(
+    "note_lines",
+    "WITH b AS (SELECT 'note-' || $text(doc_id) AS note_id, " + _note_type + """ AS note_type, block_index * 8 + 2 AS ord, doc_id, block_index AS i, block_id, content, type FROM {blocks})
+SELECT DISTINCT note_id, note_type, $long(1) AS ord, '## TL;DR' AS line FROM b
+"""
+    + "".join(
+        f"UNION ALL {x}\n"
+        for x in (
+            _at(0, "CASE type WHEN 'heading' THEN CASE WHEN i % 2 = 0 THEN '## ' ELSE '### ' END || content WHEN 'boilerplate' THEN '- ' || content ELSE content || ' {src:blk_' || CASE WHEN doc_id % 12 = 5 THEN 'x' ELSE '' END || block_id || '}' END", "true"),
+            _at(1, "CASE i % 3 WHEN 0 THEN ':::note' WHEN 1 THEN ':::figure' ELSE ':::' || CASE WHEN doc_id % 5 = 0 THEN 'aside' ELSE 'tip {fold=no}' END END", "i % 4 = 1"),
+            _at(2, "'![' || CASE WHEN doc_id % 3 = 0 THEN '' ELSE 'view' END || '](img/' || $text(doc_id % 20) || CASE WHEN i % 8 = 1 THEN '.png' ELSE '.bmp' END || ') and ![web](https://a.b/c.png)'", "i % 4 = 1 AND doc_id % 4 <> 3"),
+            _at(3, "CASE WHEN doc_id % 2 = 0 THEN 'Caption of it.' ELSE 'none' END || CASE doc_id % 6 WHEN 0 THEN ' [[term:open' WHEN 1 THEN ' [[note:]] {{ }}' WHEN 2 THEN ' {layer:l4}' ELSE ' {layer:l1} [[term:x]]' END", "i % 4 = 1"),
+            _at(4, "':::'", "i % 4 = 1 AND doc_id % 8 <> 6"),
+            _at(1, "'| a | b |'", "i % 4 = 2"),
+            _at(2, "'|---|:-:|'", "i % 4 = 2 AND doc_id % 7 <> 0"),
+            _at(3, "CASE doc_id % 5 WHEN 0 THEN '| x |  |' WHEN 1 THEN '| x |' ELSE '| x | y |' END", "i % 4 = 2 AND doc_id % 5 <> 2"),
+            _at(5, "''", "i % 2 = 0"),
+        )
+    ),
+)
+table("note_assets", "SELECT DISTINCT 'img/' || $text(doc_id % 15) || '.png' AS path, (doc_id % 15) * 1000000 AS bytes FROM {documents} UNION ALL SELECT DISTINCT 'img/' || $text(doc_id % 10) || '.bmp', $long(1) FROM {documents}")
+table(
+    "stored_blocks",
+    """
+SELECT 'note-' || $text(doc_id) AS note_id, 'block ' || $text(block_index) AS node, CASE WHEN doc_id % 20 = 3 THEN 'blk' || $text(block_index) WHEN doc_id % 20 = 4 THEN 'abcdef012345' ELSE block_id END AS block_id,
+       CASE WHEN doc_id % 20 IN (5, 6) THEN '' ELSE section_path END AS section_path, CASE WHEN doc_id % 20 = 5 THEN NULL ELSE page END AS page, CASE WHEN doc_id % 20 = 7 THEN 'none' ELSE source_hash END AS source_hash,
+       CASE WHEN doc_id % 20 = 8 THEN NULL ELSE origin END AS origin, CASE WHEN doc_id % 20 = 9 THEN NULL ELSE confidence END AS confidence, CASE WHEN type <> 'paragraph' THEN type WHEN doc_id % 20 = 10 THEN 'paragraph' ELSE 'prose' END AS type
+FROM {blocks}
+""",
+)

@@ -37,12 +37,6 @@ SELECT 'V-LK-01' AS rule_id, l.src, l.dst FROM (SELECT DISTINCT src, dst FROM {n
 UNION ALL SELECT 'V-LK-03', a.src, a.dst FROM (SELECT DISTINCT src, dst FROM {note_links}) a LEFT JOIN (SELECT DISTINCT src, dst FROM {note_links}) b ON a.src = b.dst AND a.dst = b.src WHERE b.src IS NULL
 UNION ALL SELECT 'V-LK-04', a.src, a.dst FROM (SELECT DISTINCT src, dst FROM {note_links}) a JOIN (SELECT DISTINCT src, dst FROM {note_links}) b ON a.src = b.dst AND a.dst = b.src WHERE a.src < a.dst
 """, "Broken, one-way and mutual links.")
-operator("val_density", """
-WITH s AS (SELECT note_id, ord, node, n_words, sum(CASE WHEN node <> 'paragraph' THEN 1 ELSE 0 END) OVER (PARTITION BY note_id ORDER BY ord) AS anchors FROM {nodes})
-SELECT 'R1' AS rule_id, note_id, min(ord) AS ord FROM s WHERE node = 'paragraph' GROUP BY note_id, anchors HAVING sum(n_words) > 200
-UNION ALL SELECT 'R5', note_id, min(ord) FROM s WHERE node = 'callout' GROUP BY note_id HAVING count(*) > 3
-UNION ALL SELECT 'R6', note_id, min(ord) FROM s WHERE node = 'bullet' GROUP BY note_id HAVING count(*) > 5
-""", "Prose without anchors, and too many callouts or bullets.")
 operator("val_study_paths", """
 WITH c AS (SELECT domain, count(DISTINCT concept) AS n FROM {concepts} GROUP BY domain)
 SELECT 'V1' AS rule_id, domain AS node FROM c WHERE n < 2

@@ -163,3 +163,15 @@ SELECT 'note-' || $text(doc_id) AS note_id, 'block ' || $text(block_index) AS no
 FROM {blocks}
 """,
 )
+table(
+    "note_blocks",
+    f"""
+SELECT 'note-' || $text(doc_id) AS note_id, {_note_type} AS note_type, $div(block_index, 12) AS section,
+       CASE WHEN block_index < 12 THEN '## TL;DR' WHEN $div(block_index, 12) % 3 = 1 THEN '### Part ' || $text($div(block_index, 12)) WHEN doc_id % 5 = 0 THEN '## Errores registrados' ELSE '## Body ' || $text($div(block_index, 12)) END AS heading,
+       $long(doc_id % 130) AS section_lines, block_index AS ord,
+       CASE WHEN doc_id % 6 = 5 AND block_index >= 12 THEN 'list' WHEN type = 'heading' THEN 'table' WHEN type = 'boilerplate' THEN CASE doc_id % 9 WHEN 0 THEN 'collapsible' ELSE 'callout' END WHEN block_index % 12 BETWEEN 3 AND 7 THEN CASE doc_id % 2 WHEN 0 THEN 'list' ELSE 'callout' END ELSE 'paragraph' END AS kind,
+       n_words, $div(n_words, 12) + 1 AS n_lines, $long(1 + doc_id % 3) AS items, block_index % 12 = 5 AS checklist,
+       NOT (doc_id % 6 = 5 AND block_index >= 12) AND type IN ('heading', 'boilerplate') AND doc_id % 9 <> 0 AS anchor, n_words > 3 AS factual, doc_id % 4 <> 0 OR block_index % 2 = 0 AS has_src
+FROM {{blocks}}
+""",
+)

@@ -126,7 +126,32 @@ UNION ALL SELECT 'V-SDM-05', 'warning', note_id, node FROM b WHERE origin = 'ocr
 UNION ALL SELECT 'V-SDM-06', 'error', note_id, node FROM b WHERE type <> '' AND type NOT IN {_in(BLOCK_TYPES)}
 UNION ALL SELECT DISTINCT 'V-SDM-07', 'error', note_id, 'source.hash' FROM b WHERE source_hash <> '' AND NOT $matches(source_hash, r'^[0-9a-f]{{64}}$')
 """
+# The words before the k-th link of a line are those of the parts up to it and those inside the links before it.
+_LINK, _WORD = r"\[\[note:[a-zA-Z0-9_-]+\]\]", r"[\pL\pN_]+"
+INTRO_WORDS = 5
+TEXTS["val_links"] = f"""
+WITH l AS (SELECT note_id, ord, $split(line, r'{_LINK}') AS parts, $all_matches(line, r'{_LINK}') AS marks FROM {{note_lines}} WHERE $matches(line, r'{_LINK}')),
+m AS (SELECT note_id, ord, k, $at(parts, k) AS part, $at(marks, k) AS mark FROM (SELECT note_id, ord, parts, marks, $explode($range($long(1), $size(marks))) AS k FROM l)),
+p AS (SELECT note_id, ord, $extract(mark, r'note:([a-zA-Z0-9_-]+)', 1) AS target,
+             sum($count_matches(part, r'{_WORD}') + $count_matches(mark, r'{_WORD}')) OVER (PARTITION BY note_id, ord ORDER BY k) - $count_matches(mark, r'{_WORD}') AS words FROM m),
+e AS (SELECT DISTINCT note_id, target FROM p), i AS (SELECT DISTINCT note_id FROM {{note_lines}})
+SELECT 'V-LK-01' AS rule_id, 'error' AS severity, e.note_id, e.target AS node FROM e LEFT JOIN i ON i.note_id = e.target WHERE i.note_id IS NULL
+UNION ALL SELECT 'V-LK-02', 'warning', note_id, 'line ' || $text(ord) FROM p WHERE words < {INTRO_WORDS}
+UNION ALL SELECT 'V-LK-03', 'info', e.note_id, e.target FROM e JOIN i ON i.note_id = e.target LEFT JOIN e r ON r.note_id = e.target AND r.target = e.note_id WHERE r.note_id IS NULL
+UNION ALL SELECT 'V-LK-04', 'warning', a.note_id, a.note_id FROM e a JOIN e b ON b.note_id = a.target AND b.target = a.note_id
+"""
+# A text of over 20 characters is looked for by its first 30; a note is reported once a destination.
+TEXTS["val_destinations"] = """
+WITH r AS (SELECT x.note_id, x.dest, x.text FROM {renders} x JOIN {destinations} d ON d.dest = x.dest)
+SELECT 'V-DST-00' AS rule_id, 'info' AS severity, n.note_id, d.dest AS node FROM {notes} n CROSS JOIN {destinations} d LEFT JOIN r ON r.note_id = n.note_id AND r.dest = d.dest WHERE r.note_id IS NULL
+UNION ALL SELECT DISTINCT 'V-DST-01', 'error', r.note_id, r.dest FROM r JOIN {nodes} n ON n.note_id = r.note_id WHERE length(n.text) > 20 AND position(substr(n.text, 1, 30) IN r.text) = 0
+UNION ALL SELECT 'V-DST-02', 'warning', g.note_id, g.dest FROM {degradations} g JOIN r ON r.note_id = g.note_id AND r.dest = g.dest WHERE NOT g.content_intact
+UNION ALL SELECT 'V-DST-04', 'warning', '', '' FROM (SELECT count(*) AS n FROM {notes}) t WHERE n = 0
+UNION ALL SELECT 'V-DST-05', 'warning', '', '' FROM (SELECT count(*) AS n, count(r.note_id) AS done FROM {notes} x LEFT JOIN r ON r.note_id = x.note_id) t WHERE n > 0 AND done = 0
+"""
 DOCS = {
+    "val_links": "Broken, unintroduced, one-way and mutual links, V-LK-01 to V-LK-04.",
+    "val_destinations": "Notes not rendered, lost texts and undocumented degradations, V-DST-00 to V-DST-05.",
     "val_notemark": "Header, directives, source, term, note and layer marks, and placeholders, V-NM-01 to V-NM-09.",
     "val_properties": "Header keys, enumerations and required values, V-PR-01 to V-PR-07.",
     "val_lengths": "Words of the summary, lines of a note and empty sections, V-LEN-01 to V-LEN-06.",

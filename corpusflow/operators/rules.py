@@ -32,19 +32,10 @@ SELECT 'E1' AS rule_id, n.note_id, n.path FROM {nodes} n LEFT JOIN allowed a ON
 UNION ALL SELECT 'E3', note_id, path FROM {nodes} WHERE NOT derived AND NOT external AND block_ref IS NULL
 UNION ALL SELECT 'W5', note_id, path FROM (SELECT note_id, path, node, lag(node) OVER (PARTITION BY note_id ORDER BY ord) AS before FROM {nodes}) WHERE node = 'heading' AND before = 'heading'
 """, "Parents and children, missing sources, and headings without text.")
-operator("val_links", """
-SELECT 'V-LK-01' AS rule_id, l.src, l.dst FROM (SELECT DISTINCT src, dst FROM {note_links}) l LEFT JOIN {notes} n ON l.dst = n.note_id WHERE n.note_id IS NULL
-UNION ALL SELECT 'V-LK-03', a.src, a.dst FROM (SELECT DISTINCT src, dst FROM {note_links}) a LEFT JOIN (SELECT DISTINCT src, dst FROM {note_links}) b ON a.src = b.dst AND a.dst = b.src WHERE b.src IS NULL
-UNION ALL SELECT 'V-LK-04', a.src, a.dst FROM (SELECT DISTINCT src, dst FROM {note_links}) a JOIN (SELECT DISTINCT src, dst FROM {note_links}) b ON a.src = b.dst AND a.dst = b.src WHERE a.src < a.dst
-""", "Broken, one-way and mutual links.")
 operator("val_study_paths", """
 WITH c AS (SELECT domain, count(DISTINCT concept) AS n FROM {concepts} GROUP BY domain)
 SELECT 'V1' AS rule_id, domain AS node FROM c WHERE n < 2
 UNION ALL SELECT 'V4', c.domain || c.concept FROM {concepts} c LEFT JOIN {notes} n ON n.doc_id = c.doc_id WHERE n.note_id IS NULL
 UNION ALL SELECT 'V2', r.domain || r.from_concept FROM (SELECT DISTINCT domain, from_concept, to_concept FROM {relations}) r JOIN {concepts} a ON a.domain = r.domain AND a.concept = r.from_concept JOIN {concepts} b ON b.domain = r.domain AND b.concept = r.to_concept WHERE b.doc_id > a.doc_id
 """, "Too few routes, notes not planned, and steps before what they need.")
-operator("val_destinations", """
-SELECT 'V-DST-02' AS rule_id, d.dest, n.note_id, $long(count(*)) AS n FROM {nodes} n CROSS JOIN {destinations} d LEFT JOIN {support} s ON s.dest = d.dest AND s.capability = n.capability WHERE s.dest IS NULL GROUP BY d.dest, n.note_id
-UNION ALL SELECT 'V-DST-00', d.dest, n.note_id, $long(1) FROM {notes} n CROSS JOIN {destinations} d LEFT JOIN {manifest} m ON m.note_id = n.note_id AND m.destination = d.dest WHERE m.note_id IS NULL
-""", "Notes not rendered and degradations not documented.")
 operator("val_profile", "SELECT c_mktsegment AS profile, $long(count(*)) AS n, c_mktsegment IN ('BUILDING', 'AUTOMOBILE', 'MACHINERY', 'HOUSEHOLD', 'FURNITURE') AS known FROM {customer} GROUP BY c_mktsegment", "Profile values against their enumeration.")

@@ -146,6 +146,7 @@ SELECT DISTINCT note_id, note_type, $long(1) AS ord, '## TL;DR' AS line FROM b
             _at(2, "'![' || CASE WHEN doc_id % 3 = 0 THEN '' ELSE 'view' END || '](img/' || $text(doc_id % 20) || CASE WHEN i % 8 = 1 THEN '.png' ELSE '.bmp' END || ') and ![web](https://a.b/c.png)'", "i % 4 = 1 AND doc_id % 4 <> 3"),
             _at(3, "CASE WHEN doc_id % 2 = 0 THEN 'Caption of it.' ELSE 'none' END || CASE doc_id % 6 WHEN 0 THEN ' [[term:open' WHEN 1 THEN ' [[note:]] {{ }}' WHEN 2 THEN ' {layer:l4}' ELSE ' {layer:l1} [[term:x]]' END", "i % 4 = 1"),
             _at(4, "':::'", "i % 4 = 1 AND doc_id % 8 <> 6"),
+            _at(6, "CASE WHEN i % 2 = 0 THEN '' ELSE 'See also what is said in' END || ' [[note:note-' || $text(doc_id + CASE WHEN doc_id % 2 = 0 THEN 1 ELSE -1 END) || ']] and [[note:note-' || $text(doc_id * 3) || ']]'", "i % 5 = 3"),
             _at(1, "'| a | b |'", "i % 4 = 2"),
             _at(2, "'|---|:-:|'", "i % 4 = 2 AND doc_id % 7 <> 0"),
             _at(3, "CASE doc_id % 5 WHEN 0 THEN '| x |  |' WHEN 1 THEN '| x |' ELSE '| x | y |' END", "i % 4 = 2 AND doc_id % 5 <> 2"),
@@ -175,3 +176,5 @@ SELECT 'note-' || $text(doc_id) AS note_id, {_note_type} AS note_type, $div(bloc
 FROM {{blocks}}
 """,
 )
+table("renders", "SELECT m.note_id, m.destination AS dest, CASE WHEN m.destination = 'html' AND m.seq < 3 THEN substr(t.text, 1, 200) ELSE t.text END AS text FROM {manifest} m JOIN (SELECT note_id, $texts(text, ord, ' ') AS text FROM {nodes} GROUP BY note_id) t ON t.note_id = m.note_id")
+table("degradations", "SELECT DISTINCT n.note_id, d.dest, n.capability, n.capability <> 'math' AS content_intact FROM {nodes} n CROSS JOIN {destinations} d LEFT JOIN {support} s ON s.dest = d.dest AND s.capability = n.capability WHERE s.dest IS NULL")

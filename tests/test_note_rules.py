@@ -126,3 +126,27 @@ def test_density(spark):
         ("c", "R7", "warning", "## B"),
         ("c", "R8", "warning", "/"),
     ]
+
+
+def test_links(spark):
+    lines = body(spark, a="one two three four [[note:b]] [[note:b]]\nsee all of that in [[note:c]]", b="x [[note:a]]\none two three four five [[note:gone]]", c="none")
+    assert found(catalog.apply("val_links", note_lines=lines)) == [
+        ("a", "V-LK-02", "warning", "line 1"),
+        ("a", "V-LK-03", "info", "c"),
+        ("a", "V-LK-04", "warning", "a"),
+        ("b", "V-LK-01", "error", "gone"),
+        ("b", "V-LK-02", "warning", "line 1"),
+        ("b", "V-LK-04", "warning", "b"),
+    ]
+
+
+def test_destinations(spark):
+    make = spark.createDataFrame
+    notes, dests = make([("a",), ("b",)], "note_id string"), make([("html",), ("notion",)], "dest string")
+    nodes = make([("a", "a text of over thirty characters, whole"), ("a", "also a text of over twenty"), ("a", "short")], "note_id string, text string")
+    gone = make([("a", "html", False), ("a", "notion", True), ("b", "html", False)], "note_id string, dest string, content_intact boolean")
+    drawn = make([("a", "html", "a text of over thirty characte... also a text of over twenty"), ("a", "notion", "nothing")], "note_id string, dest string, text string")
+    run = lambda n, r: found(catalog.apply("val_destinations", notes=n, destinations=dests, nodes=nodes, renders=r, degradations=gone))
+    assert run(notes, drawn) == [("a", "V-DST-01", "error", "notion"), ("a", "V-DST-02", "warning", "html"), ("b", "V-DST-00", "info", "html"), ("b", "V-DST-00", "info", "notion")]
+    assert ("", "V-DST-05", "warning", "") in run(notes, drawn.limit(0))
+    assert run(notes.limit(0), drawn.limit(0)) == [("", "V-DST-04", "warning", "")]

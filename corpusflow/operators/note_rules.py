@@ -135,7 +135,7 @@ m AS (SELECT note_id, ord, k, $at(parts, k) AS part, $at(marks, k) AS mark FROM
 p AS (SELECT note_id, ord, $extract(mark, r'note:([a-zA-Z0-9_-]+)', 1) AS target,
              sum($count_matches(part, r'{_WORD}') + $count_matches(mark, r'{_WORD}')) OVER (PARTITION BY note_id, ord ORDER BY k) - $count_matches(mark, r'{_WORD}') AS words FROM m),
 e AS (SELECT DISTINCT note_id, target FROM p), i AS (SELECT DISTINCT note_id FROM {{note_lines}})
-SELECT 'V-LK-01' AS rule_id, 'error' AS severity, e.note_id, e.target AS node FROM e LEFT JOIN i ON i.note_id = e.target WHERE i.note_id IS NULL
+SELECT 'V-LK-01' AS rule_id, 'error' AS severity, p.note_id, p.target AS node FROM p LEFT JOIN i ON i.note_id = p.target WHERE i.note_id IS NULL
 UNION ALL SELECT 'V-LK-02', 'warning', note_id, 'line ' || $text(ord) FROM p WHERE words < {INTRO_WORDS}
 UNION ALL SELECT 'V-LK-03', 'info', e.note_id, e.target FROM e JOIN i ON i.note_id = e.target LEFT JOIN e r ON r.note_id = e.target AND r.target = e.note_id WHERE r.note_id IS NULL
 UNION ALL SELECT 'V-LK-04', 'warning', a.note_id, a.note_id FROM e a JOIN e b ON b.note_id = a.target AND b.target = a.note_id

@@ -129,12 +129,13 @@ def test_density(spark):
 
 
 def test_links(spark):
-    lines = body(spark, a="one two three four [[note:b]] [[note:b]]\nsee all of that in [[note:c]]", b="x [[note:a]]\none two three four five [[note:gone]]", c="none")
+    lines = body(spark, a="one two three four [[note:b]] [[note:b]]\nsee all of that in [[note:c]]", b="x [[note:a]]\none two three four five [[note:gone]] [[note:gone]]", c="none")
     assert found(catalog.apply("val_links", note_lines=lines)) == [
         ("a", "V-LK-02", "warning", "line 1"),
         ("a", "V-LK-03", "info", "c"),
         ("a", "V-LK-04", "warning", "a"),
         ("b", "V-LK-01", "error", "gone"),
+        ("b", "V-LK-01", "error", "gone"),
         ("b", "V-LK-02", "warning", "line 1"),
         ("b", "V-LK-04", "warning", "b"),
     ]

@@ -151,3 +151,18 @@ def test_destinations(spark):
     assert run(notes, drawn) == [("a", "V-DST-01", "error", "notion"), ("a", "V-DST-02", "warning", "html"), ("b", "V-DST-00", "info", "html"), ("b", "V-DST-00", "info", "notion")]
     assert ("", "V-DST-05", "warning", "") in run(notes, drawn.limit(0))
     assert run(notes.limit(0), drawn.limit(0)) == [("", "V-DST-04", "warning", "")]
+
+
+def test_stored_blocks(spark):
+    good = ("a", "1", "0123456789ab", "/s", 1, "f" * 64, "native", None, "prose")
+    rows = [good, ("a", "2", "0123456789ab", "/s", None, "f" * 64, "ocr", None, "poem"), ("b", "1", "xyz", "", None, "f" * 63, "", 0.5, "table"), ("b", "2", "", "", 2, "f" * 63, "ocr", 0.5, "")]
+    blocks = spark.createDataFrame(rows, "note_id string, node string, block_id string, section_path string, page long, source_hash string, origin string, confidence double, type string")
+    assert found(catalog.apply("val_sdm", stored_blocks=blocks)) == [
+        ("a", "V-SDM-03", "error", "2"),
+        ("a", "V-SDM-05", "warning", "2"),
+        ("a", "V-SDM-06", "error", "2"),
+        ("b", "V-SDM-01", "error", "1"),
+        ("b", "V-SDM-02", "error", "1"),
+        ("b", "V-SDM-04", "warning", "1"),
+        ("b", "V-SDM-07", "error", "source.hash"),
+    ]

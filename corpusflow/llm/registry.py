@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from corpusflow.llm import decontamination, html_extraction, language_id, license_scan, line_dedup, lm_scoring, packing, quality_rules, simhash, substring_dedup
+from corpusflow.llm import decontamination, hard_negatives, html_extraction, language_id, license_scan, line_dedup, lm_scoring, mixing, packing, quality_rules, simhash, substring_dedup, whitening
 
 
 def queries() -> dict:
@@ -17,9 +17,12 @@ def queries() -> dict:
         "op8_line_dedup": line_dedup.op8_line_dedup,
         "op9_lm_scoring": lm_scoring.op9_lm_scoring,
         "op10_packing": packing.op10_packing,
+        "op11_mixing": mixing.op11_mixing,
+        "op12_hard_negatives": hard_negatives.op12_hard_negatives,
+        "op13_whitening": whitening.op13_whitening,
     }
     return found
 
 
 def oracle_sql() -> dict:
-    return {"op1_license_scan": license_scan.oracle(), "op3_substring_dedup": substring_dedup.ORACLE, "op4_quality_rules": quality_rules.ORACLE, "op8_line_dedup": line_dedup.ORACLE}
+    return {"op1_license_scan": license_scan.oracle(), "op3_substring_dedup": substring_dedup.ORACLE, "op4_quality_rules": quality_rules.ORACLE, "op8_line_dedup": line_dedup.ORACLE, "op12_hard_negatives": hard_negatives.ORACLE}

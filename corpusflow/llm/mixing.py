@@ -5,8 +5,8 @@ exponentially tilted by size: rate = min(CAP, exp(lambda * size / scale)). Their
 each source, by Newton steps kept inside a bracket; a step is one aggregate over the counts of each (source, size), so its cost
 follows the distinct sizes and no source, however hot, is brought to one task. Rates become copies by ordered Poisson
 rounding: a document's fraction is set against a hash of it, and those below the level at which their source's words are met get one copy
-more. The level is found by histograms, BITS bits at a time, and what the last document leaves open is closed by a few documents of
-the largest fitting size. Words are counted once and the texts are not shuffled; a source's state is one row of a table.
+more. The level is found by histograms, BITS bits at a time, and what the last document leaves open is closed by adding or leaving out
+single copies, each the one that comes nearest. Words are counted once and the texts are not shuffled; a source's state is one row of a table.
 
 Defined cases: null and blank texts have size 0 and are taken once, for no words; a null source is a source, the last; a null doc_id is a document
 like others; equal rows are judged alike, except for the copies that close a gap; sources of no words have target 0; very long texts are counted whole; an
@@ -33,7 +33,7 @@ BITS, ROUNDS = 12, 3
 _SCALE = float(1 << (BITS * ROUNDS - 1))
 #: Documents that may close a source's gap after rounding.
 FILLS = 8
-NEAR = 1e-4
+NEAR = 1e-3
 
 
 def sizes(docs: DataFrame) -> DataFrame:
@@ -126,12 +126,13 @@ def rounded(rated: DataFrame, cap: int = CAP) -> DataFrame:
 
 
 def closed(taken: DataFrame, cap: int = CAP, fills: int = FILLS) -> DataFrame:
-    """taken with single copies added to documents of the largest size that fits into what is left of their source's target."""
+    """taken with single copies added or left out, one document of a source at a time, each the one that brings its source's words nearest to the target."""
     for _ in range(fills):
-        gap = taken.groupBy("source").agg((F.max("target") - F.sum(F.col("copies") * F.col("size"))).alias("gap"), F.max("target").alias("t")).where(F.col("gap") > NEAR * F.col("t")).select("source", "gap")
-        fits = taken.where((F.col("copies") < cap) & (F.col("size") > 0)).alias("r").join(gap.alias("g"), F.col("r.source").eqNullSafe(F.col("g.source"))).where(F.col("size") < 2 * F.col("gap"))
-        # what lies below twice the gap brings the words nearer
-        best = fits.groupBy("g.source").agg(F.min(F.struct(F.abs(F.col("gap") - F.col("size")).alias("off"), F.col("h").alias("h"), F.col("row").alias("row"))).alias("b")).select(F.col("b.row").alias("row"), F.lit(1).cast("long").alias("one"))
+        off = F.max("target") - F.sum(F.col("copies") * F.col("size"))
+        gap = taken.groupBy("source").agg(off.alias("gap"), F.max("target").alias("t")).where(F.abs("gap") > NEAR * F.col("t")).select("source", "gap")
+        sign = F.signum("gap")
+        fits = taken.where("size > 0").alias("r").join(gap.alias("g"), F.col("r.source").eqNullSafe(F.col("g.source"))).where((F.col("size") < 2 * F.abs("gap")) & F.when(F.col("gap") > 0, F.col("copies") < cap).otherwise(F.col("copies") > 0))
+        best = fits.groupBy("g.source").agg(F.min(F.struct(F.abs(F.col("gap") - sign * F.col("size")).alias("off"), F.col("h").alias("h"), F.col("row").alias("row"), sign.cast("long").alias("one"))).alias("b")).select("b.row", "b.one")
         best = C.materialize(best, "fills")
         if not best.limit(1).count():
             break

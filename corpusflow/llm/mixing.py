@@ -5,8 +5,8 @@ exponentially tilted by size: rate = min(CAP, exp(lambda * size / scale)). Their
 each source, by Newton steps kept inside a bracket; a step is one aggregate over the counts of each (source, size), so its cost
 follows the distinct sizes and no source, however hot, is brought to one task. Rates become copies by ordered Poisson
 rounding: a document's fraction is set against a hash of it, and those below the level at which their source's words are met get one copy
-more. The level is found by histograms, BITS bits at a time, and what the last document leaves open is closed by adding or leaving out
-single copies, each the one that comes nearest. Words are counted once and the texts are not shuffled; a source's state is one row of a table.
+more. The level is found by histograms, BITS bits at a time; documents too long for what is left are passed over, the others may be gone through
+again, and what stays open is closed by adding or leaving out single copies, each the one that comes nearest. Words are counted once and the texts are not shuffled; a source's state is one row of a table.
 
 Defined cases: null and blank texts have size 0 and are taken once, for no words; a null source is a source, the last; a null doc_id is a document
 like others; equal rows are judged alike, except for the copies that close a gap; sources of no words have target 0; very long texts are counted whole; an
@@ -29,10 +29,12 @@ CAP = 3
 EXACT = 1e-9
 STEPS = 60
 #: Levels of the rounding are refined by BITS bits, ROUNDS times; ranks lie between 0 and 2.
-BITS, ROUNDS = 12, 3
+BITS, ROUNDS = 17, 2
+#: Times that the documents of a source are gone through.
+PASSES = 6
 _SCALE = float(1 << (BITS * ROUNDS - 1))
 #: Documents that may close a source's gap after rounding.
-FILLS = 8
+FILLS = 6
 NEAR = 1e-3
 
 
@@ -74,7 +76,7 @@ def _rate(lam: Column, full: Column, z: Column, cap: int) -> Column:
 
 def multipliers(counts: DataFrame, state: DataFrame, cap: int = CAP) -> DataFrame:
     """state(source, source_size, target) with lam, scale and full, whether the source is taken cap times; counts(source, size, n) are its documents."""
-    scale = counts.groupBy("source").agg((F.sum(F.col("n") * F.col("size") * F.col("size").cast("double")) / F.sum(F.col("n") * F.col("size"))).alias("scale"))
+    scale = counts.groupBy("source").agg(F.try_divide(F.sum(F.col("n") * F.col("size") * F.col("size").cast("double")), F.sum(F.col("n") * F.col("size"))).alias("scale"))
     state = state.alias("s").join(scale.alias("c"), F.col("s.source").eqNullSafe(F.col("c.source"))).select("s.*", F.coalesce("scale", F.lit(1.0)).alias("scale"))
     full = F.col("target") >= cap * F.col("source_size")
     state = C.materialize(state.withColumns({"full": full, "lam": F.lit(0.0), "low": F.lit(None).cast("double"), "high": F.lit(None).cast("double"), "open": ~full}), "multipliers")
@@ -89,7 +91,7 @@ def multipliers(counts: DataFrame, state: DataFrame, cap: int = CAP) -> DataFram
         low, high = F.when(off < 0, F.col("lam")).otherwise(F.col("low")), F.when(off > 0, F.col("lam")).otherwise(F.col("high"))
         both = both.withColumns({"low": F.when(F.col("open"), low).otherwise(F.col("low")), "high": F.when(F.col("open"), high).otherwise(F.col("high"))})
         # the step is Newton's on the logarithm of the words, which bends less; half the bracket, or twice as far, where it leaves the bracket
-        newton = F.col("lam") - F.log(F.col("got") / F.col("target")) * F.col("got") / F.col("slope")
+        newton = F.col("lam") - F.try_divide(F.log(F.try_divide("got", "target")) * F.col("got"), F.col("slope"))
         inside = (F.col("slope") > 0) & (F.coalesce(newton > F.col("low"), F.lit(True))) & (F.coalesce(newton < F.col("high"), F.lit(True))) & (F.abs(newton - F.col("lam")) <= 8 + 2 * F.abs("lam"))
         other = F.when(F.col("low").isNull(), F.col("high") - 1 - F.abs("high")).when(F.col("high").isNull(), F.col("low") + 1 + F.abs("low")).otherwise((F.col("low") + F.col("high")) / 2)
         done = ~F.col("open") | (F.abs(off) <= EXACT * F.col("target")) | F.coalesce(F.col("high") - F.col("low") <= 1e-14 * F.abs("high"), F.lit(False))
@@ -100,29 +102,42 @@ def multipliers(counts: DataFrame, state: DataFrame, cap: int = CAP) -> DataFram
     return state.select("source", "source_size", "target", "scale", "lam", "full")
 
 
-def rounded(rated: DataFrame, cap: int = CAP) -> DataFrame:
-    """rated(source, size, h, target, rate) with copies: each source's words come within a document of its target."""
-    whole = F.least(F.floor("rate"), F.lit(cap)).cast("long")
-    # of the documents below the cap, those of the lowest rank get one more copy; the rank is below 1 for the share `rate - whole` of them
-    rank = F.floor((F.col("h") - (F.col("rate") - F.col("whole")) + 1) * F.lit(_SCALE)).cast("long")
-    rows = rated.withColumn("whole", whole).withColumn("rank", F.when(F.col("whole") < cap, rank))
-    have = rows.groupBy("source").agg(F.max("target").alias("target"), F.sum(F.col("whole") * F.col("size")).alias("words"))
-    level = C.materialize(have.select("source", (F.col("target") - F.col("words")).alias("rest"), F.lit(0).cast("long").alias("level")), "levels")
+def _levels(fits: DataFrame, rest: DataFrame) -> DataFrame:
+    """source and level: of fits(source, size, rank), those of a rank below the level have together at most rest(source, rest) words, and as many as may be."""
+    level = rest.select("source", "rest", F.lit(0).cast("long").alias("level"))
     for k in range(ROUNDS):
         step = 1 << (BITS * (ROUNDS - 1 - k))
-        near = rows.where("rank IS NOT NULL").alias("r").join(level.alias("l"), F.col("r.source").eqNullSafe(F.col("l.source"))).where((F.col("rank") >= F.col("level")) & (F.col("rank") < F.col("level") + (step << BITS)))
-        bins = near.groupBy("l.source", F.floor((F.col("rank") - F.col("level")) / F.lit(step)).cast("long").alias("bin")).agg(F.sum("size").alias("words"))
+        near = fits.alias("r").join(level.alias("l"), F.col("r.source").eqNullSafe(F.col("l.source"))).where((F.col("rank") >= F.col("level")) & (F.col("rank") < F.col("level") + (step << BITS)))
+        bins = near.groupBy("l.source", F.floor((F.col("rank") - F.col("level")) / F.lit(step)).cast("long").alias("bin")).agg(F.sum("size").alias("words"), F.max("rest").alias("rest"))
         upto = bins.withColumn("upto", F.sum("words").over(Window.partitionBy("source").orderBy("bin")))
         # the first bin that would pass the rest stays open; where none does, all are taken
-        cut = upto.alias("u").join(level.alias("l"), F.col("u.source").eqNullSafe(F.col("l.source"))).select("l.source", "u.bin", "u.words", "u.upto", "l.rest")
-        cut = cut.groupBy("source").agg(F.min(F.when(F.col("upto") > F.col("rest"), F.col("bin"))).alias("bin"), F.sum(F.when(F.col("upto") <= F.col("rest"), F.col("words")).otherwise(0)).alias("words"))
+        cut = upto.groupBy("source").agg(F.min(F.when(F.col("upto") > F.col("rest"), F.col("bin"))).alias("bin"), F.sum(F.when(F.col("upto") <= F.col("rest"), F.col("words")).otherwise(0)).alias("words"))
         level = C.materialize(
-            level.alias("l").join(cut.alias("c"), F.col("l.source").eqNullSafe(F.col("c.source")), "left").select("l.source", (F.col("rest") - F.coalesce("words", F.lit(0))).alias("rest"), (F.col("level") + F.coalesce("bin", F.lit((1 << BITS) - 1)) * F.lit(step)).alias("level")),
+            level.alias("l").join(cut.alias("c"), F.col("l.source").eqNullSafe(F.col("c.source")), "left").select("l.source", (F.col("rest") - F.coalesce("words", F.lit(0))).alias("rest"), (F.col("level") + F.coalesce("bin", F.lit(1 << BITS)) * F.lit(step)).alias("level")),
             "levels",
         )
-    more = (F.col("rank") < F.col("level")).cast("long")
-    joined = rows.alias("r").join(level.alias("l"), F.col("r.source").eqNullSafe(F.col("l.source"))).select("r.*", (F.col("whole") + F.coalesce(more, F.lit(0))).alias("copies"))
-    return joined.drop("whole", "rank")
+    return level.select("source", "level")
+
+
+def rounded(rated: DataFrame, cap: int = CAP) -> DataFrame:
+    """rated(source, size, h, target, rate) with copies, by which each source's words come near its target from below.
+
+    Documents of the lowest ranks get one more copy; the rank is below 1 for the share `rate - floor(rate)` of them. Long ones that would pass
+    the target are passed over, and where that leaves a gap the others are gone through again."""
+    whole = F.least(F.floor("rate"), F.lit(cap)).cast("long")
+    rank = F.floor((F.col("h") - (F.col("rate") - whole) + 1) * F.lit(_SCALE)).cast("long")
+    rows = C.materialize(rated.withColumns({"copies": whole, "rank": rank}), "rounded")
+    for _ in range(PASSES):
+        have = rows.groupBy("source").agg(F.max("target").alias("target"), F.sum(F.col("copies") * F.col("size")).alias("words"))
+        rest = C.materialize(have.select("source", (F.col("target") - F.col("words")).alias("rest")).where(F.col("rest") > NEAR * F.col("target")), "rest")
+        fits = rows.where((F.col("copies") < cap) & (F.col("size") > 0)).alias("r").join(rest.alias("t"), F.col("r.source").eqNullSafe(F.col("t.source"))).where(F.col("size") <= F.col("rest")).select("r.source", "size", "rank")
+        if not fits.limit(1).count():
+            break
+        level = _levels(fits, rest).alias("l").join(rest.alias("t"), F.col("l.source").eqNullSafe(F.col("t.source"))).select("l.source", "level", "rest")
+        more = (F.col("rank") < F.col("level")) & (F.col("copies") < cap) & (F.col("size") > 0) & (F.col("size") <= F.col("rest"))
+        joined = rows.alias("r").join(level.alias("l"), F.col("r.source").eqNullSafe(F.col("l.source")), "left")
+        rows = C.materialize(joined.select(*(f"r.{c}" for c in rows.columns if c != "copies"), (F.col("copies") + F.coalesce(more, F.lit(False)).cast("long")).alias("copies")), "rounded")
+    return rows.drop("rank")
 
 
 def closed(taken: DataFrame, cap: int = CAP, fills: int = FILLS) -> DataFrame:
@@ -147,7 +162,7 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, cap: int = CAP) -
     sources = counts.groupBy("source").agg(F.sum(F.col("n") * F.col("size")).alias("source_size"))
     state = multipliers(counts, targets(sources, weights, cap), cap)
     rated = rows.alias("r").join(state.alias("s"), F.col("r.source").eqNullSafe(F.col("s.source"))).select("r.*", "source_size", "target", _rate(F.col("lam"), F.col("full"), F.col("size") / F.col("scale"), cap).alias("rate"))
-    taken = closed(C.materialize(rounded(C.materialize(rated, "rates"), cap), "taken"), cap)
+    taken = closed(rounded(rated, cap), cap)
     return taken.select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"), "source", "rate", "copies")
 
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from corpusflow.plans.catalog import operator
+from corpusflow.plans.catalog import operator, table
 
 operator("fn_block_id", "SELECT doc_id, substr($sha1($sha256(source) || '/doc-' || $text(doc_id) || '0'), 1, 12) AS block_id FROM {documents}", "First twelve hex digits of sha1(source hash, section path, index).")
 operator("fn_fragment_id", "SELECT page, word_id, $sha1($text(page) || '::' || $text(x) || '.00,' || $text(y) || '.00,' || $text(x + w) || '.00,' || $text(y + h) || '.00::' || substr(text, 1, 64)) AS fragment_id FROM {boxes}", "sha1 of page, box with two decimals and the first 64 characters.")
@@ -15,11 +15,14 @@ operator("fn_slugify", "SELECT block_id, CASE WHEN s = '' THEN 'section' ELSE su
 operator("fn_normalize_ws", "SELECT block_id, trim($replace_all(lower(content), r'[\\x20\\x09-\\x0D]+', ' ')) AS norm FROM {blocks}", "Lower case with single spaces.")
 operator("fn_normalize_markup", "SELECT page_id, trim($replace_all($replace_all($replace_all(html, r'<[^>]*>', ' '), r'[*_`~#>|%&$]+', ''), r'[\\x20\\x09-\\x0D]+', ' ')) AS norm FROM {pages}", "Text without tags and markup signs.")
 operator("fn_fold_accents", "SELECT doc_id, translate(text, 'áéíóúñüàèìòùâêîôûäëïöç', 'aeiounuaeiouaeiouaeioc') AS folded FROM {documents}", "Accents folded.")
-operator("fn_ligatures", "SELECT doc_id, replace(replace(replace(replace(replace(replace(replace(text, chr(64256), 'ff'), chr(64257), 'fi'), chr(64258), 'fl'), chr(64259), 'ffi'), chr(64260), 'ffl'), chr(64261), 'st'), chr(64262), 'st') AS plain FROM {documents}", "Seven Unicode ligatures as letters.", oracle="SELECT doc_id, replace(replace(replace(replace(replace(replace(replace(text, chr(64256), 'ff'), chr(64257), 'fi'), chr(64258), 'fl'), chr(64259), 'ffi'), chr(64260), 'ffl'), chr(64261), 'st'), chr(64262), 'st') AS plain FROM documents")
-operator("fn_ocr_rules", "SELECT doc_id, $replace_all($replace_all($replace_all($replace_all(text, r'\\n{3,}', concat($chr(10), $chr(10))), r'([^ \\n])  +', concat('@@1', ' ')), r'([0-9]) ([0-9]{3})\\b', '@@1@@2'), r'(?m)^- ([A-Z])', '- @@1') AS fixed FROM {documents}", "Text after the blank-line, space, number-split and marker rules.")
-operator("fn_dictionary", "SELECT block_id, replace(replace(content, 'thed', 'the'), 'onand', 'on and') AS fixed, $long((length(content) - length(replace(content, 'thed', ''))) / 4) AS n_first FROM {blocks}", "Ordered literal replacements.")
+# Unicode ligatures and their letters.
+LIGATURES = {"ﬀ": "ff", "ﬁ": "fi", "ﬂ": "fl", "ﬃ": "ffi", "ﬄ": "ffl", "ﬅ": "ft", "ﬆ": "st"}
+_plain = "text"
+for _sign, _letters in LIGATURES.items():
+    _plain = f"replace({_plain}, '{_sign}', '{_letters}')"
+table("joined_letters", "SELECT doc_id, replace(replace(replace(text, 'ff', 'ﬀ'), 'st', CASE WHEN doc_id % 2 = 0 THEN 'ﬅ' ELSE 'ﬆ' END), 'fi', 'ﬁ') AS text FROM {documents}")
+operator("fn_ligatures", f"SELECT doc_id, {_plain} AS plain FROM {{joined_letters}}", "Seven Unicode ligatures as letters.")
 operator("fn_class_gate", "SELECT page, region_id, CASE WHEN cls IN ('code', 'table') THEN 'skip' WHEN cls = 'formula' THEN 'dictionary' ELSE 'full' END AS gate FROM {regions}", "Which corrections a class gets.")
-operator("fn_revert", "SELECT block_id, substr(content, 1, p - 1) || 'THED' || substr(content, p + 4) AS reverted, $long(p) AS at FROM (SELECT block_id, content, instr(content, 'thed') AS p FROM {blocks}) WHERE p > 0", "One correction undone at its span.")
 operator("fn_nonprintable_ratio", "SELECT doc_id, $double($count_matches(text, r'[\\p{Cc}\\p{Cf}]') - $count_matches(text, r'[\\n\\r\\t]')) / greatest(length(text), 1) AS ratio FROM {documents}", "Share of control characters other than line ends and tabs.")
 operator("fn_parse_ranges", "SELECT DISTINCT doc_id, $explode($range(lo, hi)) AS page FROM (SELECT doc_id, $long($extract(r, r'^([0-9]+)-', 1)) AS lo, $long($extract(r, r'-([0-9]+)$', 1)) AS hi FROM (SELECT doc_id, $text(min(page)) || '-' || $text(max(page)) AS r FROM {blocks} GROUP BY doc_id))", "Ranges to pages.")
 operator("fn_parse_section_number", "SELECT chapter, section, $long($at(parts, 1)) AS major, $long($at(parts, 2)) AS minor, $size(parts) AS depth FROM (SELECT chapter, section, $split($text(chapter) || '.' || $text(section), r'\\.') AS parts FROM {numbering})", "Dotted number to integers.")
@@ -30,7 +33,6 @@ operator("fn_arxiv_id", "SELECT event_id, $extract(t, r'([0-9]{4}\\.[0-9]{4,5})(
 operator("fn_arxiv_stamp", "SELECT event_id, $extract(t, r'^arXiv:[^ ]+ +\\[([a-z.A-Z-]+)\\]', 1) AS category FROM (SELECT event_id, 'arXiv:2101.00001v1 [' || CASE WHEN event_id % 2 = 0 THEN 'cs.CL' ELSE 'math.AG' END || '] 1 Jan 2021' AS t FROM {events})", "Category of a paper stamp.")
 operator("fn_frontmatter", "SELECT note_id, $extract(t, r'title: ([^\\n]*)', 1) AS title, $extract(t, r'note-type: ([^\\n]*)', 1) AS note_type, $long($extract(t, r'minutes: ([0-9]+)', 1)) AS minutes FROM (SELECT note_id, '---' || $chr(10) || 'title: ' || title || $chr(10) || 'note-type: ' || note_type || $chr(10) || 'minutes: ' || $text(minutes) || $chr(10) || '---' AS t FROM {notes})", "Header block to typed fields.")
 operator("fn_section_extract", "SELECT doc_id, trim($extract(text, r'(?s)\\n([^\\n]*)\\n', 1)) AS body FROM {documents}", "Text under the first heading until the next.")
-operator("fn_inline_marks", "SELECT block_id, $size($all_matches(content, r'\\*\\*\\*')) AS stars, $size($all_matches(content, r'&&&')) AS ands, $join($groups(content, r'([A-Za-z]+)%%%', 1), ',') AS marked FROM {blocks}", "Inline marks by kind.")
 operator("fn_attrs", "SELECT event_id, $extract(a, r'kind=\"([^\"]*)\"', 1) AS kind, $extract(a, r'user=([0-9]+)', 1) AS user FROM (SELECT event_id, 'kind=\"' || event_type || '\" user=' || $text(user_id) AS a FROM {events})", "k=v pairs to fields.")
 operator("fn_word_count", "SELECT doc_id, $count_matches(text, r'[^\\x20\\x09-\\x0D]+') AS by_space, $count_matches(text, r'[\\p{L}\\p{N}_]+') AS by_letters FROM {documents}", "Words by white space and by letters.")
 operator("fn_clause_count", "SELECT block_id, $size($keep($split(content, r'[,;.]'), trim(x) <> '')) AS clauses FROM {blocks}", "Clauses between commas, semicolons and stops.")
@@ -45,7 +47,6 @@ WITH b AS (SELECT doc_id, page, $distinct($all_matches(lower($texts(content, blo
 p AS (SELECT x.doc_id, x.page, x.t AS a, y.t AS c FROM b x JOIN b y ON x.doc_id = y.doc_id AND y.page = x.page + 1)
 SELECT doc_id, page, CASE WHEN $size($union(a, c)) = 0 THEN 1.0E0 ELSE $double($size($intersect(a, c))) / $size($union(a, c)) END AS jaccard FROM p
 """, "Jaccard index of token sets; two empty sets are equal.")
-operator("sim_levenshtein_limit", "SELECT a.n_name AS unknown, b.n_name AS suggestion, $long(levenshtein(a.n_name, b.n_name)) AS distance FROM {nation} a JOIN {nation} b ON a.n_regionkey = b.n_regionkey AND a.n_nationkey <> b.n_nationkey WHERE levenshtein(a.n_name, b.n_name) <= 2", "Did you mean: names within a distance, compared inside a region.")
 operator("sim_word_containment", """
 WITH n AS (SELECT note_id, $distinct($all_matches(lower(text), r'[a-z]+')) AS a, note_id AS id FROM {nodes}), d AS (SELECT 'note-' || $text(doc_id) AS id, $distinct($all_matches(lower(text), r'[a-z]+')) AS t FROM {documents})
 SELECT note_id, $long(count(*)) AS nodes, $long(count_if($size(a) > 0 AND $size($intersect(a, t)) >= 0.8 * $size(a))) AS present FROM n JOIN d ON n.id = d.id GROUP BY note_id
@@ -56,6 +57,5 @@ SELECT a, b, CASE WHEN named AND sim >= 0.3 AND sim < 0.5 THEN 'conflict' WHEN n
        CASE WHEN named AND sim >= 0.3 AND sim < 0.5 THEN 0.7E0 WHEN named THEN 0.95E0 ELSE $even(sim, 3) END AS confidence
 FROM (SELECT a, b, sim, canonical OR alias AS named FROM {pairs}) WHERE named OR sim >= 0.4
 """, "Decision on a pair by canonical name, alias and similarity of the texts.", pairs="note_pairs")
-operator("dup_merge", "SELECT family AS merged, $long(count(*)) AS parts, $texts(note_id, doc_id, ',') AS aliases, $long(sum(n_blocks)) AS n_blocks, min(title) AS title FROM {notes} GROUP BY family", "Union of merged notes with their old ids as aliases.")
 operator("dup_subtree", "SELECT note_id, path FROM (SELECT note_id, path, row_number() OVER (PARTITION BY note_id, $sha256(node || text) ORDER BY ord) AS k FROM {nodes}) WHERE k = 1", "Blocks without those whose subtree stood before.")
 operator("dup_split", "SELECT note_id, $long(part) AS part, min(ord) AS first_ord, $long(count(*)) AS n FROM (SELECT note_id, ord, sum(CASE WHEN node = 'heading' THEN 1 ELSE 0 END) OVER (PARTITION BY note_id ORDER BY ord) AS part FROM {nodes}) GROUP BY note_id, part", "A note split at its headings.")

@@ -1,4 +1,4 @@
-"""Graph operators over edge tables, by bounded recursion on small graphs and by joins elsewhere."""
+"""Graph operators over edge tables by joins; `graph_search` holds those that search."""
 
 from __future__ import annotations
 
@@ -8,44 +8,6 @@ operator("gr_build", """
 SELECT r.domain, r.from_concept, r.to_concept, c.concept IS NULL AS dangling FROM (SELECT DISTINCT domain, from_concept, to_concept FROM {relations} WHERE relation = 'prerequisite' AND to_concept <> '') r
 LEFT JOIN {concepts} c ON c.domain = r.domain AND c.concept = r.to_concept
 """, "Prerequisite edges; dangling if the goal is no concept.")
-_walk = """
-WITH RECURSIVE walk AS (
-  SELECT a AS origin, b AS node, '>' || $text(a) || '>' || $text(b) || '>' AS path, 1 AS depth FROM {trade}
-  UNION ALL SELECT w.origin, e.b, w.path || $text(e.b) || '>', w.depth + 1 FROM walk w JOIN {trade} e ON e.a = w.node WHERE w.depth < 5 AND w.node <> w.origin AND (e.b = w.origin OR instr(w.path, '>' || $text(e.b) || '>') = 0) AND e.b >= w.origin)
-"""
-operator("gr_cycles", _walk + "SELECT origin AS smallest, path, $long(depth) AS length FROM walk WHERE node = origin", "Cycles of at most five edges, each from its smallest node.")
-operator("gr_has_cycle", _walk + "SELECT count(*) > 0 AS has_cycle FROM walk WHERE node = origin", "Whether there is a cycle.")
-operator("gr_cycle_policy", _walk + "SELECT CASE WHEN count_if(node = origin) > 0 THEN 'block' ELSE 'pass' END AS verdict, $long(count_if(node = origin)) AS n FROM walk", "A blocking policy fails on any cycle.")
-operator("gr_depends_acyclic", """
-WITH RECURSIVE walk AS (SELECT a AS origin, b AS node, 1 AS depth FROM {precedence} UNION ALL SELECT w.origin, e.b, w.depth + 1 FROM walk w JOIN {precedence} e ON e.a = w.node WHERE w.depth < 24)
-SELECT coalesce(count_if(origin = node), 0) = 0 AS acyclic, $long(max(depth)) AS longest FROM walk
-""", "Dependencies along rising keys have no cycle.", oracle="""
-WITH RECURSIVE walk AS (SELECT a AS origin, b AS node, 1 AS depth FROM precedence UNION SELECT w.origin, e.b, w.depth + 1 FROM walk w JOIN precedence e ON e.a = w.node WHERE w.depth < 24)
-SELECT coalesce(count_if(origin = node), 0) = 0 AS acyclic, max(depth)::BIGINT AS longest FROM walk
-""")
-operator("gr_shortest", """
-WITH RECURSIVE walk AS (SELECT a AS origin, b AS node, '>' || $text(a) || '>' || $text(b) || '>' AS path, 1 AS depth FROM {trade}
-  UNION ALL SELECT w.origin, e.b, w.path || $text(e.b) || '>', w.depth + 1 FROM walk w JOIN {trade} e ON e.a = w.node WHERE w.depth < 5 AND instr(w.path, '>' || $text(e.b) || '>') = 0)
-SELECT origin, node AS goal, $long(min(depth)) AS hops FROM walk GROUP BY origin, node
-""", "Fewest hops from each node to each goal other than itself, five at most.")
-operator("gr_broadest", """
-WITH RECURSIVE walk AS (SELECT a AS origin, b AS node, 1 AS depth FROM {precedence} UNION ALL SELECT w.origin, e.b, w.depth + 1 FROM walk w JOIN {precedence} e ON e.a = w.node WHERE w.depth < 12)
-SELECT node AS goal, $long(max(depth)) AS hops FROM walk GROUP BY node
-""", "Longest simple path to a goal, twelve hops at most.")
-operator("gr_routes", """
-WITH RECURSIVE walk AS (SELECT a AS origin, b AS node, 1 AS depth FROM {precedence} UNION ALL SELECT w.origin, e.b, w.depth + 1 FROM walk w JOIN {precedence} e ON e.a = w.node WHERE w.depth < 12),
-r AS (SELECT node AS goal, min(depth) AS short, max(depth) AS wide FROM walk GROUP BY node)
-SELECT goal, 'shortest' AS strategy, $long(short) AS hops FROM r UNION ALL SELECT goal, 'broadest', $long(wide) FROM r WHERE wide <> short
-""", "Shortest and broadest route of a goal; one if they are equal.")
-operator("flt_routes", """
-WITH RECURSIVE walk AS (SELECT a AS origin, b AS node, 1 AS depth FROM {precedence} UNION ALL SELECT w.origin, e.b, w.depth + 1 FROM walk w JOIN {precedence} e ON e.a = w.node WHERE w.depth < 12)
-SELECT origin, node AS goal, $long(min(depth)) AS hops FROM walk JOIN {nation} n ON n.n_nationkey = walk.node WHERE n.n_regionkey = 1 GROUP BY origin, node
-""", "Routes of one domain.")
-operator("gr_toposort", """
-WITH RECURSIVE walk AS (SELECT a AS origin, b AS node, 1 AS depth FROM {precedence} UNION ALL SELECT w.origin, e.b, w.depth + 1 FROM walk w JOIN {precedence} e ON e.a = w.node WHERE w.depth < 24),
-l AS (SELECT node, max(depth) AS level FROM walk GROUP BY node)
-SELECT n.n_nationkey AS node, $long(row_number() OVER (ORDER BY coalesce(l.level, 0), n.n_nationkey)) AS place FROM {nation} n LEFT JOIN l ON l.node = n.n_nationkey
-""", "Order by longest dependency depth, then key.")
 operator("gr_two_cycles", "SELECT a.a, a.b FROM {trade} a JOIN {trade} b ON a.a = b.b AND a.b = b.a WHERE a.a < a.b", "Mutual pairs.")
 operator("gr_chapter_edges", """
 WITH t AS (SELECT $min_by(term, doc_id) AS term, min(doc_id) AS chapter FROM {units} WHERE type = 'definition' AND length(term) >= 6 GROUP BY term),

@@ -24,14 +24,5 @@ SELECT page, col, $long(grp) AS grp, min(x) AS x0, min(y) AS y0, max(x + w) AS x
 operator("lay_margin_notes", "SELECT page, word_id FROM {boxes} WHERE (x < 50 OR x + w > 700) AND font_size <= 11", "Small words at the margins.")
 operator("lay_captions", "SELECT page, region_id, gap FROM (SELECT page, region_id, cls, text, y - lag(y + h) OVER (PARTITION BY page ORDER BY y, region_id) AS gap FROM {regions}) WHERE gap BETWEEN 21 AND 112", "Regions that follow another at a caption's distance.")
 operator("tab_autodetect", "SELECT page, $long(count(DISTINCT $div(x, 40))) AS xs, $long(count(DISTINCT $div(y, 40))) AS ys, count(DISTINCT $div(x, 40)) >= 3 AND count(DISTINCT $div(y, 40)) >= 3 AND max(x) - min(x) >= 100 AND max(y) - min(y) >= 50 AS is_table FROM {boxes} GROUP BY page", "Whether the words of a page form a grid.")
-operator("tab_extract", """
-WITH c AS (SELECT page, text, word_id, x, dense_rank() OVER (PARTITION BY page ORDER BY $div(y, 100)) AS r, dense_rank() OVER (PARTITION BY page ORDER BY $div(x, 100)) AS c FROM {boxes}),
-cell AS (SELECT page, r, c, $texts(text, word_id, ' ') AS cell FROM c GROUP BY page, r, c)
-SELECT page, $long(r) AS row_no, $texts(cell, c, '|') AS row_text, $long(count(*)) AS n_cells FROM cell GROUP BY page, r
-""", "Cell grid of a page from row and column clusters.")
-operator("tab_merged_cells", """
-WITH s AS (SELECT page, word_id, w, x, lead(x) OVER (PARTITION BY page, $div(y, 100) ORDER BY x, word_id) AS next_x FROM {boxes})
-SELECT page, word_id, CASE WHEN next_x IS NULL OR next_x - x > 240 THEN greatest($div(w, 40), 1) ELSE 1 END AS colspan FROM s WHERE w > 40
-""", "Column span of wide cells with nothing beside them.")
 operator("frm_extract", "SELECT page, region_id, $extract(label, r'\\(([0-9]+(?:\\.[0-9]+)?)\\)$', 1) AS number, h <= 70 AND w < 220 AS inline FROM (SELECT page, region_id, h, w, text || ' (' || $text(region_id) || CASE WHEN page % 2 = 0 THEN '.1' ELSE '' END || ')' AS label FROM {regions} WHERE cls = 'formula')", "Number at the end of a formula, and whether it is inline.")
 operator("ocr_retry", "SELECT page, attempt, conf FROM (SELECT page, attempt, conf, row_number() OVER (PARTITION BY page ORDER BY conf DESC, attempt) AS k FROM (SELECT page, word_id % 4 AS attempt, round(avg(conf), 6) AS conf FROM {boxes} GROUP BY page, word_id % 4)) WHERE k = 1", "The attempt with the best mean confidence, the first on a tie.")

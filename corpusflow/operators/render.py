@@ -4,8 +4,6 @@ from __future__ import annotations
 
 from corpusflow.plans.catalog import operator
 
-_md = "CASE node WHEN 'heading' THEN '## ' || text WHEN 'bullet' THEN '- ' || text WHEN 'callout' THEN '> ' || text ELSE text END"
-operator("rnd_markdown", f"SELECT note_id, $texts({_md}, ord, $chr(10) || $chr(10)) AS body FROM {{nodes}} GROUP BY note_id", "Markdown of a note, top-level nodes in order.")
 operator("rnd_other_dest", """
 WITH t AS (SELECT 'html' AS dest, 'heading' AS node, '<h2>' AS before, '</h2>' AS after UNION ALL SELECT 'html', 'paragraph', '<p>', '</p>' UNION ALL SELECT 'html', 'bullet', '<li>', '</li>' UNION ALL SELECT 'html', 'callout', '<aside>', '</aside>'
            UNION ALL SELECT 'obsidian', 'heading', '## ', '' UNION ALL SELECT 'obsidian', 'paragraph', '', '' UNION ALL SELECT 'obsidian', 'bullet', '- ', '' UNION ALL SELECT 'obsidian', 'callout', '> [!note] ', '')

@@ -11,7 +11,6 @@ RULES = {
     "val_error_log": [("V-ERR-01", "error", "error_id", "error_log", "correction = ''"), ("V-ERR-02", "error", "error_id", "error_log", "note_id IS NULL"), ("V-ERR-03", "warning", "error_id", "error_log", "review_next IS NULL")],
     "val_goal_profile": [("V-GP-01", "error", "note_id", "notes", "note_type = 'procedure' AND n_blocks < 2"), ("V-GP-02", "warning", "note_id", "notes", "note_type = 'concept' AND n_words < 30")],
     "val_provenance": [("C1", "error", "$text(doc_id)", "documents", "lang IS NULL"), ("C2", "warning", "$text(doc_id)", "documents", "n_chars <> length(text)"), ("C3", "error", "$text(doc_id)", "documents", "source IS NULL OR source = ''")],
-    "val_mermaid": [("P-03", "error", "domain || from_concept", "relations", "from_concept = to_concept"), ("P-04", "warning", "domain || from_concept", "relations", "to_concept = ''"), ("L-01", "info", "domain || from_concept", "relations", "length(from_concept) > 12")],
     "val_self_eval": [("V2", "warning", "note_id || path", "nodes", "node = 'bullet' AND n_words < 3"), ("V4", "info", "note_id || path", "nodes", "node = 'bullet' AND NOT $matches(text, r'[?.]$')")],
 }
 

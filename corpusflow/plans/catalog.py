@@ -62,6 +62,23 @@ def rows_only(name: str) -> Callable:
     return put
 
 
+def program(name: str, oracle: str | None = None, **inputs: str) -> Callable:
+    """Register an operator that is a program over DataFrames, with its inputs by engine table, and its query."""
+
+    def put(f):
+        def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+            made: dict[str, DataFrame] = {}
+            return f(**{h: engine_table(spark, sf_dir, t, made) for h, t in inputs.items()})
+
+        run.__name__, run.__doc__ = name, f.__doc__
+        registry.QUERIES[name] = run
+        if oracle:
+            registry.ORACLES[name] = oracle_of(Operator(name, "", inputs, oracle=oracle))
+        return f
+
+    return put
+
+
 def run_sql(spark: SparkSession, sql: str, tables: dict[str, DataFrame]) -> DataFrame:
     text = spark_sql(sql)
     holes = {h: tables[h] for h in _holes(sql)}

@@ -14,13 +14,6 @@ WITH cues AS (SELECT conv_id, $explode($split('WEBVTT' || $chr(10) || $chr(10) |
 SELECT conv_id, $long($extract(cue, r'^([0-9]+)\\.', 1)) AS start_s, $long($extract(cue, r'--> ([0-9]+)\\.', 1)) AS end_s, $extract(cue, r'\\n(.*)$', 1) AS text FROM cues WHERE cue <> 'WEBVTT'
 """, "WebVTT file to cues.")
 operator("src_json_transcript", "SELECT event_id, event_type, $json(props, '$.k') AS k FROM {events}", "Fields of JSON records.")
-operator("src_html_site", """
-WITH RECURSIVE p AS (SELECT page_id, page_path, page_id + 1 AS k FROM (SELECT DISTINCT page_id, page_path FROM {links})),
-e AS (SELECT DISTINCT a.page_id AS src, b.page_id AS dst FROM p a JOIN p b ON a.k = $div(b.k, 2) AND b.k > 1),
-walk AS (SELECT page_id, 0 AS depth FROM p WHERE k = 1 UNION ALL SELECT e.dst, w.depth + 1 FROM walk w JOIN e ON e.src = w.page_id WHERE w.depth < 5)
-SELECT page_id, $long(min(depth)) AS depth FROM walk GROUP BY page_id
-""", "Breadth-first crawl from an index to a depth of five.")
-operator("src_robots", "WITH d AS (SELECT '/En' AS prefix UNION ALL SELECT '/The' UNION ALL SELECT '/la') SELECT l.page_id, l.pos, l.target_path, count(d.prefix) = 0 AS allowed FROM {links} l LEFT JOIN d ON $starts(l.target_path, d.prefix) GROUP BY l.page_id, l.pos, l.target_path", "Links that robot rules allow; the rule table is a literal.")
 operator("src_ingest_json", "SELECT step, engine, $long(count(*)) AS n, $long(sum(bytes)) AS bytes FROM {cache_entries} GROUP BY step, engine", "Typed records of an ingest step.")
 operator("src_notes_frontmatter", "SELECT note_id, title, note_type FROM (SELECT note_id, title, note_type, row_number() OVER (PARTITION BY title ORDER BY doc_id) AS k FROM {notes} WHERE note_type IN ('concept', 'procedure', 'reference')) WHERE k = 1", "Notes by header; the first of a name wins.")
 operator("src_figure_spec", "SELECT event_type AS series, $long(count(*)) AS points, min(value) AS low, max(value) AS high FROM {events} GROUP BY event_type", "Series of a chart with their range.")

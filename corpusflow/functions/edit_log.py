@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from corpusflow.plans import adapters  # noqa: F401  the tables that operators name
 from corpusflow.plans.catalog import program, table
+from corpusflow.plans.durable import written
 
 # Rules as (id, pattern, correction of a match m), ligatures R005 to R008 outside addresses, and the dictionary.
 _NOT_ADDRESS = r"(?!(?s:.{0,26}://|.{0,25}\.com|.{0,25}\.org))"
@@ -51,7 +52,7 @@ def corrected(texts: DataFrame) -> DataFrame:
         df = df.withColumn("fixed", F.expr("if(size(_found) = 0, fixed, array_join(zip_with(_gaps, _new, (g, n) -> concat(g, coalesce(n, ''))), ''))"))
         edits = f"transform(_found, (m, k) -> named_struct('pass', {i}, 'k', k, 'gap', length(_gaps[k]), 'original', m, 'corrected', _new[k]))"
         df = df.withColumn("_edits", F.expr(f"concat(_edits, {edits})")).drop("_found", "_new", "_gaps")
-    return df
+    return written(df, "corrected")  # a filter on the result would otherwise be spelled out through every rule
 
 
 def edit_log(fixed: DataFrame) -> DataFrame:
@@ -79,9 +80,10 @@ def reverted(fixed: DataFrame, log: DataFrame) -> DataFrame:
 
 def placed(log: DataFrame) -> DataFrame:
     """log with final, where the correction begins in the text that all rules left; null where a later correction reaches into it, so that it can't be undone alone."""
+    log = written(log, "log")
     at = log.select("id", "pass", "k", F.col("after").alias("pos"), F.length("corrected").alias("len"), F.lit(True).alias("whole"))
     spans = log.select("id", F.col("pass").alias("later"), F.col("before").alias("begin"), (F.col("before") + F.length("original")).alias("end"), (F.length("corrected") - F.length("original")).alias("change"))
-    for i in range(1, len(PASSES)):
+    for i in sorted(r[0] for r in log.select("pass").distinct().collect()):  # at most one for each rule
         now = spans.where(F.col("later") == i)
         # ends and beginnings of this rule's corrections, and both ends of what is followed, on one line: a correction that ends at a place lies before it
         marks = now.select("id", F.col("end").alias("x"), F.lit(0).alias("o"), F.col("change").alias("move"), F.lit(0).alias("opened"), F.lit(1).alias("closed"), *(F.lit(None).cast("int").alias(c) for c in ("pass", "k")), F.lit(None).cast("string").alias("side"))
@@ -91,7 +93,7 @@ def placed(log: DataFrame) -> DataFrame:
         w = Window.partitionBy("id").orderBy("x", "o").rangeBetween(Window.unboundedPreceding, Window.currentRow)
         run = marks.unionByName(ends).select("side", "id", "pass", "k", F.sum("move").over(w).alias("move"), F.sum("opened").over(w).alias("opened"), F.sum("closed").over(w).alias("closed")).where("side IS NOT NULL")
         told = run.groupBy("id", "pass", "k").agg(F.max(F.when(F.col("side") == "from", F.col("move"))).alias("move"), F.max(F.when(F.col("side") == "from", F.col("closed"))).alias("closed"), F.max(F.when(F.col("side") == "to", F.col("opened"))).alias("opened"))
-        at = at.join(told, ["id", "pass", "k"], "left").select("id", "pass", "k", (F.col("pos") + F.coalesce("move", F.lit(0))).alias("pos"), "len", (F.col("whole") & (F.coalesce("opened", F.lit(0)) == F.coalesce("closed", F.lit(0)))).alias("whole"))
+        at = written(at.join(told, ["id", "pass", "k"], "left").select("id", "pass", "k", (F.col("pos") + F.coalesce("move", F.lit(0))).alias("pos"), "len", (F.col("whole") & (F.coalesce("opened", F.lit(0)) == F.coalesce("closed", F.lit(0)))).alias("whole")), "at")
     return log.join(at, ["id", "pass", "k"]).select("id", "pass", "k", "rule", "before", "after", F.when(F.col("whole"), F.col("pos")).alias("final"), "original", "corrected")
 
 

@@ -31,15 +31,9 @@ operator("fn_detect_version", "SELECT page_id, coalesce(nullif($extract(url, r'[
 operator("fn_normalize_url", "SELECT page_id, pos, CASE WHEN $matches(href, r'^https?://') THEN href WHEN $starts(href, '/') THEN $extract(url, r'^(https?://[^/?#]*)', 1) || href WHEN $starts(href, '#') THEN $replace_all(url, r'#.*$', '') || href ELSE $replace_all(url, r'[^/]*$', '') || href END AS absolute FROM {links}", "Absolute, root, fragment and relative links resolved.")
 operator("fn_arxiv_id", "SELECT event_id, $extract(t, r'([0-9]{4}\\.[0-9]{4,5})(v[0-9]+)?', 1) AS id, $extract(t, r'([0-9]{4}\\.[0-9]{4,5})(v[0-9]+)?', 2) AS version FROM (SELECT event_id, 'arXiv:' || $text(2000 + event_id % 400) || '.' || $text(10000 + event_id) || CASE WHEN event_id % 2 = 0 THEN 'v2' ELSE '' END AS t FROM {events})", "Paper id and version.")
 operator("fn_arxiv_stamp", "SELECT event_id, $extract(t, r'^arXiv:[^ ]+ +\\[([a-z.A-Z-]+)\\]', 1) AS category FROM (SELECT event_id, 'arXiv:2101.00001v1 [' || CASE WHEN event_id % 2 = 0 THEN 'cs.CL' ELSE 'math.AG' END || '] 1 Jan 2021' AS t FROM {events})", "Category of a paper stamp.")
-operator("fn_frontmatter", "SELECT note_id, $extract(t, r'title: ([^\\n]*)', 1) AS title, $extract(t, r'note-type: ([^\\n]*)', 1) AS note_type, $long($extract(t, r'minutes: ([0-9]+)', 1)) AS minutes FROM (SELECT note_id, '---' || $chr(10) || 'title: ' || title || $chr(10) || 'note-type: ' || note_type || $chr(10) || 'minutes: ' || $text(minutes) || $chr(10) || '---' AS t FROM {notes})", "Header block to typed fields.")
-operator("fn_section_extract", "SELECT doc_id, trim($extract(text, r'(?s)\\n([^\\n]*)\\n', 1)) AS body FROM {documents}", "Text under the first heading until the next.")
-operator("fn_attrs", "SELECT event_id, $extract(a, r'kind=\"([^\"]*)\"', 1) AS kind, $extract(a, r'user=([0-9]+)', 1) AS user FROM (SELECT event_id, 'kind=\"' || event_type || '\" user=' || $text(user_id) AS a FROM {events})", "k=v pairs to fields.")
 operator("fn_word_count", "SELECT doc_id, $count_matches(text, r'[^\\x20\\x09-\\x0D]+') AS by_space, $count_matches(text, r'[\\p{L}\\p{N}_]+') AS by_letters FROM {documents}", "Words by white space and by letters.")
 operator("fn_clause_count", "SELECT block_id, $size($keep($split(content, r'[,;.]'), trim(x) <> '')) AS clauses FROM {blocks}", "Clauses between commas, semicolons and stops.")
 operator("fn_rich_text_split", "SELECT doc_id, piece, substr(text, cast(piece * 2000 + 1 AS INT), 2000) AS part, $div(piece, 100) AS request FROM (SELECT doc_id, text, $explode($range($long(0), $div($long(greatest(length(text) - 1, 0)), 2000))) AS piece FROM {documents})", "Pieces of 2,000 characters, a hundred to a request.")
-_lin = "CASE WHEN {c} / 255E0 <= 0.04045 THEN {c} / 255E0 / 12.92E0 ELSE power(({c} / 255E0 + 0.055E0) / 1.055E0, 2.4E0) END"
-operator("fn_color_lab", f"SELECT p_partkey, round(0.2126E0 * ({_lin.format(c='r')}) + 0.7152E0 * ({_lin.format(c='g')}) + 0.0722E0 * ({_lin.format(c='b')}), 6) AS luminance FROM (SELECT p_partkey, p_partkey % 256 AS r, p_partkey * 7 % 256 AS g, p_partkey * 13 % 256 AS b FROM {{part}})", "Relative luminance of a colour.")
-operator("val_contrast", f"SELECT p_partkey, round(1.05E0 / (0.05E0 + 0.2126E0 * ({_lin.format(c='r')}) + 0.7152E0 * ({_lin.format(c='g')}) + 0.0722E0 * ({_lin.format(c='b')})), 6) AS ratio FROM (SELECT p_partkey, p_partkey % 256 AS r, p_partkey * 7 % 256 AS g, p_partkey * 13 % 256 AS b FROM {{part}})", "Contrast of a colour with white.")
 operator("fn_days_overdue", "SELECT error_id, greatest($days($date('2024-01-31'), review_next), 0) AS days FROM {error_log}", "Days since a review was due.")
 operator("fn_json_content", "SELECT event_id, event_type, $json(props, '$.k') AS k, $long(length(props)) AS chars FROM {events}", "Field of tagged content.")
 operator("sim_jaccard", """

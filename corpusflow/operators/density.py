@@ -26,20 +26,27 @@ _STEPS = "SELECT note_id, section, heading, ord, {adds} AS adds, {ends} AS ends
 
 def _fold(rule: str) -> str:
     adds, ends, most, first = RUNS[rule]
+    return runs(_STEPS.format(adds=adds, ends=ends, exempt=EXEMPT[rule]), most, first)
+
+
+def runs(steps: str, most: int, first: bool) -> str:
+    """Where the runs of steps(note_id, section, heading, ord, adds, ends) pass the limit: their first or last block."""
     state = "named_struct('run', {0}, 'start', {1}, 'at', {2})"
     start = "CASE WHEN a.start IS NULL THEN b.ord ELSE a.start END"
     none = "cast(NULL AS BIGINT)"
     step = f"CASE WHEN b.adds IS NOT NULL AND a.run + b.adds > {most} THEN {state.format('cast(0 AS BIGINT)', none, f"concat(a.at, array({start if first else 'b.ord'}))")}"
     step += f" WHEN b.adds IS NOT NULL THEN {state.format('a.run + b.adds', start, 'a.at')} WHEN b.ends THEN {state.format('cast(0 AS BIGINT)', none, 'a.at')} ELSE a END"
     zero = state.format("cast(0 AS BIGINT)", none, "cast(array() AS ARRAY<BIGINT>)")
-    steps = _STEPS.format(adds=adds, ends=ends, exempt=EXEMPT[rule])
     return f"SELECT note_id, heading, explode(aggregate(bs, {zero}, (a, b) -> {step}).at) AS ord FROM (SELECT note_id, section, heading, array_sort(collect_list(struct(ord, adds, ends))) AS bs FROM ({steps}) GROUP BY note_id, section, heading)"
 
 
 def _walk(rule: str) -> str:
-    """The same runs for the oracle, block after block by recursion."""
     adds, ends, most, first = RUNS[rule]
-    steps = _STEPS.format(adds=adds, ends=ends, exempt=EXEMPT[rule])
+    return walk(rule, _STEPS.format(adds=adds, ends=ends, exempt=EXEMPT[rule]), most, first)
+
+
+def walk(rule: str, steps: str, most: int, first: bool) -> str:
+    """The same runs for the oracle, block after block by recursion."""
     return f"""{rule}s AS (SELECT *, row_number() OVER (PARTITION BY note_id, section ORDER BY ord) AS k FROM ({steps})),
 {rule}w AS (
   SELECT note_id, section, heading, $long(0) AS k, $long(0) AS run, $long(NULL) AS began, $long(NULL) AS fired FROM {rule}s WHERE k = 1

@@ -117,10 +117,11 @@ UNION ALL SELECT 'V-IMG-05', 'warning', note_id, 'line ' || $text(opened) FROM f
 UNION ALL SELECT 'V-IMG-05', 'info', note_id, 'line ' || $text(opened) FROM f WHERE NOT captioned
 """
 TEXTS["val_sdm"] = f"""
-WITH b AS (SELECT note_id, node, block_id, section_path, page, source_hash, origin, confidence, type, row_number() OVER (PARTITION BY block_id ORDER BY note_id, node) AS k FROM {{stored_blocks}})
+WITH b AS (SELECT note_id, node, block_id, section_path, page, source_hash, origin, confidence, type FROM {{stored_blocks}}),
+twice AS (SELECT block_id, min(note_id || ' ' || node) AS first FROM b WHERE block_id <> '' GROUP BY block_id HAVING count(*) > 1)
 SELECT 'V-SDM-01' AS rule_id, 'error' AS severity, note_id, node FROM b WHERE block_id <> '' AND NOT $matches(block_id, r'^[0-9a-f]{{12}}$')
 UNION ALL SELECT 'V-SDM-02', 'error', note_id, node FROM b WHERE page IS NULL AND coalesce(section_path, '') = ''
-UNION ALL SELECT 'V-SDM-03', 'error', note_id, node FROM b WHERE block_id <> '' AND k > 1
+UNION ALL SELECT 'V-SDM-03', 'error', b.note_id, b.node FROM b JOIN twice t ON t.block_id = b.block_id WHERE b.note_id || ' ' || b.node <> t.first
 UNION ALL SELECT 'V-SDM-04', 'warning', note_id, node FROM b WHERE coalesce(origin, '') = ''
 UNION ALL SELECT 'V-SDM-05', 'warning', note_id, node FROM b WHERE origin = 'ocr' AND confidence IS NULL
 UNION ALL SELECT 'V-SDM-06', 'error', note_id, node FROM b WHERE type <> '' AND type NOT IN {_in(BLOCK_TYPES)}

@@ -114,10 +114,13 @@ def _expression() -> str:
 _ROW_MORE = "CASE node WHEN 'row' THEN array_join(transform(kids, (k, c) -> concat(cast(c AS STRING), ' | ', k.said, CASE WHEN k.name <> '' THEN concat(' (', k.name, ')') ELSE '' END)), chr(1)) ELSE '' END"
 
 
-def folded(tree: DataFrame) -> DataFrame:
-    """note_id, ord, node and said, the text of every top node."""
-    filled = tree.select("note_id", "path", "parent", F.col("depth").cast("int").alias("depth"), "ord", "node", *(F.coalesce(c, F.lit("")).alias(c) for c in ("text", "name", "title")), F.coalesce("flag", F.lit(False)).alias("flag"))
-    nodes = written(filled, "tree")
+def stored(tree: DataFrame) -> DataFrame:
+    """The nodes as a written table, nulls as empty texts."""
+    return written(tree.select("note_id", "path", "parent", F.col("depth").cast("int").alias("depth"), "ord", "node", *(F.coalesce(c, F.lit("")).alias(c) for c in ("text", "name", "title")), F.coalesce("flag", F.lit(False)).alias("flag")), "tree")
+
+
+def folded(nodes: DataFrame) -> DataFrame:
+    """From stored nodes: note_id, ord, node and said, the text of every top node."""
     deepest = nodes.agg(F.coalesce(F.max("depth"), F.lit(0))).first()[0]
     kid = "struct<ord:bigint,inline:boolean,said:string,flag:boolean,name:string,more:string>"
     below = None
@@ -145,7 +148,8 @@ def markdown(tree: DataFrame, notes: DataFrame, rendered_at: str = "1970-01-01T0
     quoted = lambda c: F.concat(F.lit('"'), F.coalesce(c, F.lit("")), F.lit('"'))
     # the first of a name holds, in the order of the whole tree
     step = F.transform(F.split("path", "/"), lambda x: x.cast("long"))
-    own = tree.where("node = 'property-block' AND name <> ''").groupBy("note_id", "name").agg(F.min_by(F.coalesce("text", F.lit("null")), step).alias("value"), F.min(step).alias("at"))
+    tree = stored(tree)
+    own = tree.where("node = 'property-block' AND name <> ''").groupBy("note_id", "name").agg(F.min_by("text", step).alias("value"), F.min(step).alias("at"))
     fixed = ["schema_version", "target", "note_id", "source_hash", "ir_sha256", "rendered_at", "renderer_version"]
     own = own.where(~F.col("name").isin(*fixed, "title")).groupBy("note_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("at", F.concat("name", F.lit(": "), yaml_value(F.col("value")), F.lit("\n")).alias("line")))), lambda x: x.line), "").alias("props"))
     links = tree.where("node = 'link-note'").select(F.col("name").alias("target"), F.col("note_id").alias("origin")).where("target <> origin").distinct()
@@ -226,7 +230,7 @@ def _fields(p: str, node: str, text: str, name: str, title: str, flag: str) -> d
 # One pass over the blocks, each with its nodes in an array; the oracle has one select for each kind of node.
 table(
     "note_tree",
-    "SELECT note_id, n.* FROM (SELECT note_id, explode_outer(array("
+    "SELECT note_id, " + ", ".join(f"n.{k} AS {k}" for k in _fields("", *_NODES[0][1:-1])) + " FROM (SELECT note_id, explode_outer(array("
     + ",\n".join(f"CASE WHEN {where} THEN named_struct(" + ", ".join(f"'{k}', {v}" for k, v in _fields(p, *rest).items()) + ") END" for p, *rest, where in _NODES)
     + ")) AS n FROM {tree_blocks}) WHERE n IS NOT NULL",
     "\nUNION ALL ".join("SELECT note_id, " + ", ".join(f"{v} AS {k}" for k, v in _fields(p, *rest).items()) + f" FROM {{tree_blocks}} WHERE {where}" for p, *rest, where in _NODES),

@@ -11,7 +11,7 @@ SELECT n.note_id, t.dest, $texts(t.before || n.text || t.after, n.ord, $chr(10))
 """, "Other destinations by a table of templates.")
 operator("snk_notes_7dest", "SELECT d.dest, $long(count(DISTINCT n.note_id)) AS notes, $long(sum(length(n.text))) AS chars FROM {nodes} n CROSS JOIN {destinations} d GROUP BY d.dest", "Output size by destination.")
 operator("rnd_degrade", "SELECT n.note_id, n.path, d.dest, n.capability, n.capability IN ('tables', 'text', 'callouts') AS content_intact FROM {nodes} n CROSS JOIN {destinations} d LEFT JOIN {support} s ON s.dest = d.dest AND s.capability = n.capability WHERE s.dest IS NULL", "Degradations: capabilities that a destination lacks.")
-operator("rnd_flashcards", "SELECT note_id, path, substr(text, 1, 60) AS front, $size($split(text, r'[,;.]')) AS clauses, CASE WHEN node = 'paragraph' THEN 'prose refused' WHEN $size($split(text, r'[,;.]')) > 6 THEN 'too many clauses' END AS refused FROM {nodes} WHERE node IN ('bullet', 'paragraph')", "Cards from atomic nodes; prose and long answers are refused.")
+operator("rnd_flashcards", "SELECT note_id, path, text AS front, $size($split(text, r'[,;.]')) AS clauses, CASE WHEN node = 'paragraph' THEN 'prose refused' WHEN $size($split(text, r'[,;.]')) > 6 THEN 'too many clauses' END AS refused FROM {nodes} WHERE node IN ('bullet', 'paragraph')", "Cards from atomic nodes; prose and long answers are refused.")
 operator("rnd_toc_backlinks", "SELECT h.note_id, h.toc, b.sources FROM (SELECT note_id, $texts('- ' || text, ord, $chr(10)) AS toc FROM {nodes} WHERE node = 'heading' GROUP BY note_id) h LEFT JOIN (SELECT dst, $join($set(src), ',') AS sources FROM {note_links} WHERE src <> dst GROUP BY dst) b ON b.dst = h.note_id", "Headings of a note and who links to it.")
 operator("rnd_figures", """
 WITH p AS (SELECT case_id, metric, $long(sum(n)) AS n FROM {runs} GROUP BY case_id, metric),

@@ -25,12 +25,6 @@ for _name, _rules in RULES.items():
 
 _all = [_one(r) for rules in RULES.values() for r in rules] + [f"SELECT rule_id, severity, node FROM ({text})" for text in note_rules.TEXTS.values()]
 operator("val_run_all", "SELECT rule_id, severity, $long(count(*)) AS n FROM (" + "\nUNION ALL ".join(_all) + ") GROUP BY rule_id, severity", "All rules of the registry, counted.")
-operator("val_ir", """
-WITH allowed AS (SELECT 'blocks' AS parent, 'heading' AS child UNION ALL SELECT 'blocks', 'paragraph' UNION ALL SELECT 'blocks', 'callout' UNION ALL SELECT 'blocks', 'bullet')
-SELECT 'E1' AS rule_id, n.note_id, n.path FROM {nodes} n LEFT JOIN allowed a ON a.parent = n.parent_path AND a.child = n.node WHERE a.child IS NULL
-UNION ALL SELECT 'E3', note_id, path FROM {nodes} WHERE NOT derived AND NOT external AND block_ref IS NULL
-UNION ALL SELECT 'W5', note_id, path FROM (SELECT note_id, path, node, lag(node) OVER (PARTITION BY note_id ORDER BY ord) AS before FROM {nodes}) WHERE node = 'heading' AND before = 'heading'
-""", "Parents and children, missing sources, and headings without text.")
 operator("val_study_paths", """
 WITH c AS (SELECT domain, count(DISTINCT concept) AS n FROM {concepts} GROUP BY domain)
 SELECT 'V1' AS rule_id, domain AS node FROM c WHERE n < 2

@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+from corpusflow.operators import density
+from corpusflow.operators.density import PROSE_WORDS
 from corpusflow.plans.catalog import operator
+from corpusflow.plans.dialect import duck_sql
 
 operator("win_block_index", "SELECT doc_id, pos, $long(row_number() OVER (PARTITION BY doc_id ORDER BY pos)) - 1 AS block_index FROM {lines} WHERE $matches(line, r'[^\\x20\\x09-\\x0D]')", "Index of a block in its section in reading order.")
 _class = "CASE WHEN nonprint > 0.05 THEN 'degraded' WHEN chars >= 1000 AND fonts >= 1 AND image_rate < 0.5 THEN 'readable' WHEN image_rate >= 0.9 OR chars < 100 THEN 'scanned' ELSE 'mixed' END"
@@ -24,7 +27,7 @@ g AS (SELECT page, y, sum(cut) OVER (PARTITION BY page ORDER BY y, word_id) AS g
 SELECT page, $long(grp) AS grp, min(y) AS y0, max(y) AS y1, $long(count(*)) AS n FROM g GROUP BY page, grp HAVING count(*) >= 3
 """, "Clusters of at least three words outside the columns.")
 operator("win_mono_clusters", """
-WITH s AS (SELECT page, x, y, w, h, word_id, CASE WHEN y - lag(y + h) OVER (PARTITION BY page ORDER BY y, word_id) > 120 THEN 1 ELSE 0 END AS cut FROM {boxes} WHERE mono),
+WITH s AS (SELECT page, x, y, w, h, word_id, CASE WHEN y - lag(y + h) OVER (PARTITION BY page ORDER BY y, word_id) > 12 THEN 1 ELSE 0 END AS cut FROM {boxes} WHERE mono),
 g AS (SELECT page, x, y, w, h, sum(cut) OVER (PARTITION BY page ORDER BY y, word_id) AS grp FROM s)
 SELECT page, $long(grp) AS grp, min(x) AS x0, min(y) AS y0, max(x + w) AS x1, max(y + h) AS y1, $long(count(*)) AS n FROM g GROUP BY page, grp HAVING count(*) >= 2
 """, "Code regions: clusters of two or more monospaced words.")
@@ -109,11 +112,14 @@ c AS (SELECT page, k, word_id, x, y, y AS anchor FROM s WHERE k = 1 UNION ALL SE
 SELECT page, word_id, row_number() OVER (PARTITION BY page ORDER BY anchor, x, word_id) AS reading FROM c
 """,
 )
-operator("win_prose_run", """
-SELECT note_id, ord, $long(run) AS run, run > 200 AS over_limit FROM (
-  SELECT note_id, ord, sum(n_words) OVER (PARTITION BY note_id, anchors ORDER BY ord) AS run
-  FROM (SELECT note_id, ord, node, n_words, sum(CASE WHEN node <> 'paragraph' THEN 1 ELSE 0 END) OVER (PARTITION BY note_id ORDER BY ord) AS anchors FROM {nodes}) WHERE node = 'paragraph')
-""", "Words of prose since the last anchor.")
+# Runs of prose begin anew where something else stands and after each report, so they are the folds of the density rules.
+_prose = "SELECT note_id, $long(0) AS section, note_id AS heading, ord, CASE WHEN node = 'paragraph' THEN $long(n_words) END AS adds, node <> 'paragraph' AS ends FROM {nodes}"
+operator(
+    "win_prose_run",
+    "SELECT note_id, ord FROM (" + density.runs(_prose, PROSE_WORDS, True) + ")",
+    "First blocks of the runs of prose that pass the limit.",
+    oracle=duck_sql("WITH RECURSIVE " + density.walk("P", _prose, PROSE_WORDS, True) + " SELECT note_id, ord FROM P"),
+)
 operator("win_cross_page_tables", """
 WITH t AS (SELECT page, region_id, text, col FROM {regions} WHERE cls = 'table'), n AS (SELECT a.page AS a, b.page AS b, a.region_id AS ra, b.region_id AS rb, a.text AS ta, b.text AS tb FROM t a JOIN t b ON b.page = a.page + 1 AND a.col = b.col)
 SELECT a, b, ra, rb, $double(greatest(length(ta), length(tb)) - levenshtein(ta, tb)) / greatest(length(ta), length(tb)) >= 0.8 AS merged FROM n

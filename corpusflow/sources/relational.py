@@ -5,14 +5,6 @@ from __future__ import annotations
 from corpusflow.plans.catalog import operator
 
 operator("src_detect_format", "SELECT page_id, CASE WHEN $starts(html, '%PDF') THEN 'pdf' WHEN $starts(html, 'PK') THEN 'zip' WHEN $matches(substr(html, 1, 200), r'(?i)<!doctype html|<html') THEN 'html' WHEN $matches(url, r'\\.md$') THEN 'markdown' ELSE 'text' END AS format FROM {pages}", "Format by magic characters, head and extension.")
-operator("src_srt", """
-WITH cues AS (SELECT conv_id, $explode($split($texts($text(turn) || $chr(10) || $text($floor(start_s)) || ' --> ' || $text($floor(end_s)) || $chr(10) || coalesce($replace_all(text, r'\\n', ' '), ''), turn, $chr(10) || $chr(10)), r'\\n\\n')) AS cue FROM {segments} GROUP BY conv_id)
-SELECT conv_id, $long($extract(cue, r'^([0-9]+)\\n', 1)) AS idx, $long($extract(cue, r'\\n([0-9]+) -->', 1)) AS start_s, $long($extract(cue, r'--> ([0-9]+)', 1)) AS end_s, $extract(cue, r'--> [0-9]+\\n(.*)$', 1) AS text FROM cues
-""", "Subtitle file to cues.")
-operator("src_vtt", """
-WITH cues AS (SELECT conv_id, $explode($split('WEBVTT' || $chr(10) || $chr(10) || $texts($text($floor(start_s)) || '.000 --> ' || $text($floor(end_s)) || '.000' || $chr(10) || role, turn, $chr(10) || $chr(10)), r'\\n\\n')) AS cue FROM {segments} GROUP BY conv_id)
-SELECT conv_id, $long($extract(cue, r'^([0-9]+)\\.', 1)) AS start_s, $long($extract(cue, r'--> ([0-9]+)\\.', 1)) AS end_s, $extract(cue, r'\\n(.*)$', 1) AS text FROM cues WHERE cue <> 'WEBVTT'
-""", "WebVTT file to cues.")
 operator("src_json_transcript", "SELECT event_id, event_type, $json(props, '$.k') AS k FROM {events}", "Fields of JSON records.")
 operator("src_ingest_json", "SELECT step, engine, $long(count(*)) AS n, $long(sum(bytes)) AS bytes FROM {cache_entries} GROUP BY step, engine", "Typed records of an ingest step.")
 operator("src_notes_frontmatter", "SELECT note_id, title, note_type FROM (SELECT note_id, title, note_type, row_number() OVER (PARTITION BY title ORDER BY doc_id) AS k FROM {notes} WHERE note_type IN ('concept', 'procedure', 'reference')) WHERE k = 1", "Notes by header; the first of a name wins.")

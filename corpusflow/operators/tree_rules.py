@@ -98,10 +98,10 @@ operator("val_ir", TREE, "Kinds, nesting, capabilities, references, severities a
 
 
 def val_ir(spark, sf_dir):
-    """The rules over the trees of the documents, which are written once, as every rule reads them."""
+    """The rules over the trees of the documents; what they read again and again is written once."""
     made = {}
-    nodes = written(engine_table(spark, sf_dir, "ir_nodes", made), "ir-nodes")
-    return apply("val_ir", ir_nodes=nodes, blocks=engine_table(spark, sf_dir, "blocks", made), note_fields=engine_table(spark, sf_dir, "note_fields", made))
+    inputs = {"ir_nodes": engine_table(spark, sf_dir, "ir_nodes", made), "note_fields": engine_table(spark, sf_dir, "note_fields", made), "blocks": engine_table(spark, sf_dir, "blocks", made).select("block_id")}
+    return apply("val_ir", **{name: written(df, name) for name, df in inputs.items()})
 
 
 registry.QUERIES["val_ir"] = val_ir

@@ -24,13 +24,17 @@ from corpusflow.llm import _common as C
 
 #: Words of which each known text and notice has one.
 MARKS = r"(?i)licen[cs]e|permission|redistribut|(?:released|distributed|available) under"
-#: A copyright line, up to its end or to a notice that begins after it; what it ends with is kept.
-COPYRIGHT = r"(?:copyright|\(c\)|©)[^\n]*?(?:[.;][ \t]+((?:this [a-z]+ is )?(?:licen[cs]ed|released|distributed|available) under )|$)"
+#: A copyright line, one with a sign, a year or a holder after "by", up to its end or to a notice that begins after it; what it ends with is kept. A wrapped
+#: line of a licence that begins with "copyright notice" or "copyright holders" is none.
+COPYRIGHT = r"(?:copyright[ \t]*(?:\(c\)|©|by\b|:|[0-9]{4})|copyright [^\n]*?\b(?:19|20)[0-9]{2}\b|\(c\)|©)[^\n]*?(?:[.;,][ \t]+((?:this [a-z]+ is )?(?:licen[cs]ed|released|distributed|available) under )|$)"
 #: Equivalent spellings, applied in order to lower-case text.
 EQUIVALENT = (
     (r"licence", "license"),
     (r"&", " and "),
     (r"https?://", ""),
+    (r"all rights reserved", " "),
+    (r"\(the ['\"“]license['\"”]\)", " "),
+    (r"(?m)^[ \t]*(?:[0-9]{1,2}[.)]|[*•-])[ \t]+", " "),
     (r"\(c\)|©", "copyright"),
     (r"non-?commercial", "noncommercial"),
     (r"sub-license", "sublicense"),
@@ -105,9 +109,11 @@ def known() -> list[tuple[str, str, str]]:
     put = lambda text, name, kind: found.setdefault(hashlib.sha256(canonical_text(text).encode()).hexdigest(), (name, kind))
     for name, text in TEXTS.items():
         put(text, name, "text")
-        put(f"{NAMES[name][0]}\n\n{text}", name, "text")
+        for title in (NAMES[name][0], f"The {NAMES[name][0]}", f"{NAMES[name][0]} ({name})", f"The {NAMES[name][0]} ({name})"):
+            put(f"{title}\n\n{text}", name, "text")
     for name, forms in NAMES.items():
-        put(f"SPDX-License-Identifier: {name}", name, "notice")
+        for ending in ("", "-only", "-or-later") if "GPL" in name else ("",):
+            put(f"SPDX-License-Identifier: {name}{ending}", name, "notice")
         for form in forms:
             for subject in SUBJECTS:
                 for verb in VERBS:

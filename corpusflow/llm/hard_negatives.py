@@ -199,11 +199,15 @@ def mine(rows: DataFrame, anchors: DataFrame, positives: int = POSITIVES, negati
     for block in range(blocks):
         part = Anchors(found.where(F.col("block") == block).select("id", "label", "n", "x").toArrow())
         if len(part):
-            _mine_block(rows, part, positives, negatives, share).write.mode("append").parquet(path)
+            found_here, sent = _mine_block(rows, part, positives, negatives, share)
+            found_here.write.mode("append").parquet(path)
+            for b in sent:
+                b.destroy()
     return spark.read.schema(schema).parquet(path)
 
 
-def _mine_block(rows: DataFrame, part: Anchors, positives: int, negatives: int, share: tuple[int, int]) -> DataFrame:
+def _mine_block(rows: DataFrame, part: Anchors, positives: int, negatives: int, share: tuple[int, int]) -> tuple[DataFrame, list]:
+    """Rows of a block, and what was broadcast for them."""
     spark = rows.sparkSession
     sent = spark.sparkContext.broadcast(part)
     best = Window.partitionBy("g").orderBy(F.desc("score"), F.asc_nulls_last("id"))
@@ -225,7 +229,7 @@ def _mine_block(rows: DataFrame, part: Anchors, positives: int, negatives: int,
             a, g = part.id[anchor[g[again]]], g[again]
             yield pa.RecordBatch.from_arrays([pa.array(a), positive.take(pa.array(g)), b.column("rank").take(pa.array(again)), b.column("id").take(pa.array(again)), pa.array(windows.high[g]), b.column("score").take(pa.array(again))], ["anchor_id", "positive_id", "rank", "negative_id", "positive_score", "negative_score"])
 
-    return merged.select("g", "rank", "id", "score").mapInArrow(named, "anchor_id long, positive_id long, rank int, negative_id long, positive_score long, negative_score long")
+    return merged.select("g", "rank", "id", "score").mapInArrow(named, "anchor_id long, positive_id long, rank int, negative_id long, positive_score long, negative_score long"), [sent, told]
 
 
 def labelled_vectors(embeddings: DataFrame) -> DataFrame:

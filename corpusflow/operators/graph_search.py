@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from corpusflow.plans import adapters  # noqa: F401  the tables that operators name
-from corpusflow.plans.catalog import program
+from corpusflow.plans.catalog import program, table
 from corpusflow.plans.durable import empty, with_places, written
 
 
@@ -226,3 +226,53 @@ def gr_routes(edges):
 def gr_toposort(edges, nation):
     """Order by longest dependency depth, then key; nodes that a cycle leads to are last."""
     return order(edges, nation.select(F.col("n_nationkey").cast("long").alias("node")))
+
+
+def study_routes(notes: DataFrame, edges: DataFrame) -> DataFrame:
+    """domain, note_id, minutes, practice, self_test and step, from 1, of notes(domain, note_id, minutes, practice, self_test): what edges(domain, a, b) say comes before comes first, ties by id; notes that a cycle leads to are last."""
+    notes = written(notes.dropDuplicates(["domain", "note_id"]), "route-notes")
+    node = lambda c: F.struct(F.col("domain").alias("domain"), F.col(c).alias("note"))
+    known = notes.select("domain", F.col("note_id").alias("a"))
+    own = edges.where("a <> b").join(known, ["domain", "a"], "left_semi").join(known.withColumnRenamed("a", "b"), ["domain", "b"], "left_semi")
+    deep = layers(own.select(node("a").alias("a"), node("b").alias("b"))).select(F.col("node.domain").alias("domain"), F.col("node.note").alias("note_id"), F.coalesce("layer", F.lit(2**62)).alias("layer"))
+    placed = with_places(notes.join(deep, ["domain", "note_id"], "left").withColumn("layer", F.coalesce("layer", F.lit(0))), F.col("domain"), F.col("layer"), F.col("note_id"))
+    first = placed.groupBy("domain").agg(F.min("place").alias("first"))
+    return placed.join(first, "domain").withColumn("step", F.col("place") - F.col("first") + 1).drop("place", "first", "layer")
+
+
+_ROUTE_NOTES = "SELECT DISTINCT c.domain, n.note_id, n.minutes, n.note_type = 'procedure' AND n.doc_id % 3 = 0 AS practice, n.note_type = 'concept' AS self_test FROM {concepts} c JOIN {notes} n ON n.doc_id = c.doc_id"
+table("route_notes", _ROUTE_NOTES)
+table(
+    "route_edges",
+    "SELECT DISTINCT r.domain, 'note-' || $text(f.doc_id) AS a, 'note-' || $text(t.doc_id) AS b FROM {relations} r JOIN {concepts} f ON f.domain = r.domain AND f.concept = r.from_concept JOIN {concepts} t ON t.domain = r.domain AND t.concept = r.to_concept WHERE r.relation = 'prerequisite'",
+)
+
+
+_STEPS = """
+WITH RECURSIVE e AS (SELECT DISTINCT domain, a, b FROM {edges} WHERE a <> b), n AS (SELECT domain, count(*) AS n FROM {notes} GROUP BY domain),
+deep(domain, node, depth) AS (SELECT domain, note_id, 0 FROM {notes} UNION SELECT d.domain, e.b, d.depth + 1 FROM deep d JOIN e ON e.domain = d.domain AND e.a = d.node JOIN n ON n.domain = d.domain WHERE d.depth <= n.n),
+l AS (SELECT d.domain, node, CASE WHEN max(depth) > any_value(n.n) THEN 4611686018427387904 ELSE max(depth) END AS layer FROM deep d JOIN n ON n.domain = d.domain GROUP BY d.domain, node),
+s AS (SELECT t.*, row_number() OVER (PARTITION BY t.domain ORDER BY layer, note_id) AS step FROM {notes} t JOIN l ON l.domain = t.domain AND l.node = t.note_id)"""
+
+
+@program("gr_study_route_steps", _STEPS + " SELECT domain, step, note_id, minutes FROM s", notes="route_notes", edges="route_edges")
+def gr_study_route_steps(notes, edges):
+    """Notes of each domain's route, step by step."""
+    return study_routes(notes, edges).select("domain", "step", "note_id", "minutes")
+
+
+@program(
+    "gr_study_routes",
+    _STEPS
+    + """
+SELECT domain, count(*) AS steps, sum(minutes)::BIGINT AS minutes, coalesce(min(step) FILTER (WHERE practice), min(step) FILTER (WHERE self_test)) AS checkpoint, CASE WHEN bool_or(practice) THEN 'practice' WHEN bool_or(self_test) THEN 'auto-eval' END AS checkpoint_type FROM s GROUP BY domain
+""",
+    notes="route_notes",
+    edges="route_edges",
+)
+def gr_study_routes(notes, edges):
+    """Length, minutes and checkpoint of each domain's route in the order of its prerequisites: the first practice, else the first self-test."""
+    steps = study_routes(notes, edges)
+    first = lambda c: F.min(F.when(F.col(c), F.col("step")))
+    kind = F.when(F.max("practice"), "practice").when(F.max("self_test"), "auto-eval")
+    return steps.groupBy("domain").agg(F.count("*").alias("steps"), F.sum("minutes").alias("minutes"), F.coalesce(first("practice"), first("self_test")).alias("checkpoint"), kind.alias("checkpoint_type"))

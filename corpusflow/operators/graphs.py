@@ -14,8 +14,4 @@ WITH t AS (SELECT $min_by(term, doc_id) AS term, min(doc_id) AS chapter FROM {un
 w AS (SELECT DISTINCT doc_id, lower(w) AS w FROM (SELECT doc_id, $explode($all_matches(content, r'[A-Za-z]+')) AS w FROM {blocks}))
 SELECT t.chapter, w.doc_id AS mentions_in, $long(count(*)) AS n, w.doc_id > t.chapter AS forward FROM t JOIN w ON w.w = t.term AND w.doc_id <> t.chapter GROUP BY t.chapter, w.doc_id
 """, "Mentions of a chapter's terms in other chapters.")
-operator("gr_study_routes", """
-WITH c AS (SELECT c.domain, c.concept, n.note_id, n.minutes, n.note_type, row_number() OVER (PARTITION BY c.domain ORDER BY n.minutes, c.concept, n.note_id) AS step FROM {concepts} c JOIN {notes} n ON n.doc_id = c.doc_id)
-SELECT domain, $long(count(*)) AS steps, $long(sum(minutes)) AS minutes, $long(min(CASE WHEN note_type = 'procedure' THEN step END)) AS checkpoint FROM c GROUP BY domain
-""", "Steps, minutes and first practice of each domain's route.")
 operator("gr_review_route", "SELECT error_id, domain, coalesce(review_next, $date('9999-12-31')) AS review_next, $long(row_number() OVER (PARTITION BY domain ORDER BY coalesce(review_next, $date('9999-12-31')), error_id)) AS place FROM {error_log}", "Error entries by review date; entries without one are last.")

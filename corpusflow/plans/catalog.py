@@ -27,6 +27,8 @@ class Operator:
 
 
 OPERATORS: dict[str, Operator] = {}
+#: Operators that are programs over DataFrames, by name.
+PROGRAMS: dict[str, Callable[..., DataFrame]] = {}
 #: engine table -> (SQL, DuckDB text where it differs)
 TABLES: dict[str, tuple[str, str | None]] = {}
 DRIVER = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
@@ -71,6 +73,7 @@ def program(name: str, oracle: str | None = None, **inputs: str) -> Callable:
             return f(**{h: engine_table(spark, sf_dir, t, made) for h, t in inputs.items()})
 
         run.__name__, run.__doc__ = name, f.__doc__
+        PROGRAMS[name] = f
         registry.QUERIES[name] = run
         if oracle:
             registry.ORACLES[name] = oracle_of(Operator(name, "", inputs, oracle=oracle))
@@ -91,6 +94,8 @@ def run_sql(spark: SparkSession, sql: str, tables: dict[str, DataFrame]) -> Data
 
 def apply(name: str, **tables: DataFrame) -> DataFrame:
     """An operator on the given inputs."""
+    if name in PROGRAMS:
+        return PROGRAMS[name](**tables)
     op = OPERATORS[name]
     spark = next(iter(tables.values())).sparkSession
     return run_sql(spark, op.sql, tables)

@@ -425,7 +425,7 @@ def src_markdown_reverse(spark, sf_dir):
     from corpusflow.plans.registry import QUERIES
 
     notes = QUERIES["rnd_markdown"](spark, sf_dir)
-    return parsed(notes.select(F.col("note_id").alias("path"), F.col("body").alias("text")), "text", REGION, markdown_blocks)
+    return parsed(notes.select(F.col("note_id").alias("path"), "text"), "text", REGION, markdown_blocks)
 
 
 def _tex(spark, sf_dir):

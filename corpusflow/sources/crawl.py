@@ -75,9 +75,9 @@ def crawl(pages: DataFrame, robots: DataFrame, base: str, index: str, max_depth:
 
 
 BASE = "https://docs.example.org/docs"
-# A site from the pages: a page lies under its first link's word, other links lead to the pages of their words, as paths, names in the folder or addresses.
-_HTML = """$replace_all($replace_all($replace_all(lower(html), r'href="/([a-k])', 'href="@@1'), r'href="/([s])', 'href="https://docs.example.org/docs/@@1'), r'href="/', 'href="/docs/')"""
-table("site_pages", f"""SELECT page_id, '/docs/' || lower($extract(html, r'href="/([^"]*)"', 1)) AS path, {_HTML} AS html FROM {{pages}} WHERE $matches(html, r'href="/[^"]')""")
+# A site from the pages: a page lies under the first two letters of its first link, other links lead to the pages of theirs, as paths, names in the folder or addresses.
+_HTML = r"""$replace_all($replace_all($replace_all($replace_all(lower(html), r'href="/([^"]{1,2})[^"]*"', 'href="/@@1"'), r'href="/([a-k])', 'href="@@1'), r'href="/([s])', 'href="https://docs.example.org/docs/@@1'), r'href="/', 'href="/docs/')"""
+table("site_pages", f"""SELECT page_id, '/docs/' || lower(substr($extract(html, r'href="/([^"]*)"', 1), 1, 2)) AS path, {_HTML} AS html FROM {{pages}} WHERE $matches(html, r'href="/[^"]')""")
 table("site_robots", "SELECT 'User-agent: *' || $chr(10) || 'Disallow: /docs/la' || $chr(10) || 'allow: /docs/las # not these' || $chr(10) || ' DISALLOW:/docs/un' || $chr(10) || 'Disallow: /' || $chr(10) || 'Disallow:' AS content")
 _RULES = r"""
 rules AS (SELECT DISTINCT regexp_extract(l, '^\s*[A-Za-z]+\s*:\s*([^\s#]*)', 1) AS prefix, lower(regexp_extract(l, '^\s*([A-Za-z]+)\s*:', 1)) = 'allow' AS allow FROM (SELECT unnest(string_split(content, chr(10))) AS l FROM {robots}) WHERE lower(regexp_extract(l, '^\s*([A-Za-z]+)\s*:', 1)) IN ('allow', 'disallow') AND regexp_extract(l, '^\s*[A-Za-z]+\s*:\s*([^\s#]*)', 1) NOT IN ('', '/')),

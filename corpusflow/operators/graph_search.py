@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from corpusflow.plans import adapters  # noqa: F401  the tables that operators name
 from corpusflow.plans.catalog import program, table
-from corpusflow.plans.durable import empty, with_places, written
+from corpusflow.plans.durable import Growing, empty, with_places, written
 
 
 def _clean(edges: DataFrame) -> DataFrame:
@@ -32,15 +32,13 @@ def shortest(edges: DataFrame, origins: DataFrame | None = None) -> DataFrame:
     """origin, goal, hops and path of the least of the shortest paths, from origins(origin), by default all nodes, to every other node they reach."""
     edges = _clean(edges)
     start = (origins.select("origin") if origins is not None else edges.select(F.col("a").alias("origin"))).where("origin IS NOT NULL").distinct()
-    front = written(start.select("origin", F.col("origin").alias("goal"), F.lit(0).cast("long").alias("hops"), F.array("origin").alias("path")), "front")
-    reached = [front]
-    while True:
-        step = front.join(edges, F.col("goal") == F.col("a")).groupBy("origin", "b").agg(F.min(F.concat("path", F.array("b"))).alias("path"))
-        seen = _union(reached).select("origin", F.col("goal").alias("b"))
-        front = written(step.join(seen, ["origin", "b"], "left_anti").select("origin", F.col("b").alias("goal"), F.lit(len(reached)).cast("long").alias("hops"), "path"), "front")
-        if empty(front):
-            return _union(reached).where("hops > 0")
-        reached.append(front)
+    reached = Growing(start.select("origin", F.col("origin").alias("goal"), F.lit(0).cast("long").alias("hops"), F.array("origin").alias("path")), "reached")
+    front = reached.last
+    while not empty(front):
+        step = front.join(edges, F.col("goal") == F.col("a")).groupBy("origin", "b").agg(F.min(F.concat("path", F.array("b"))).alias("path"), (F.min("hops") + 1).alias("hops"))
+        seen = reached.all().select("origin", F.col("goal").alias("b"))
+        front = reached.add(step.join(seen, ["origin", "b"], "left_anti").withColumnRenamed("b", "goal"))
+    return reached.all().where("hops > 0")
 
 
 def core(edges: DataFrame) -> DataFrame:

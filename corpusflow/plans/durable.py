@@ -27,6 +27,24 @@ def written(df: DataFrame, tag: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+class Growing:
+    """A table that grows by parts, each written once; `all` is one scan of those so far, so a loop's plans keep their shape."""
+
+    def __init__(self, first: DataFrame, tag: str):
+        self.spark, self.schema = first.sparkSession, first.schema
+        self.path, self.parts = f"{shared_folder(self.spark)}/{tag}-{uuid.uuid4().hex}", 0
+        self.last = self.add(first)
+
+    def add(self, df: DataFrame) -> DataFrame:
+        """The part as it was written."""
+        df.select(*self.schema.names).write.parquet(f"{self.path}/{self.parts}")
+        self.parts += 1
+        return self.spark.read.schema(self.schema).parquet(f"{self.path}/{self.parts - 1}")
+
+    def all(self) -> DataFrame:
+        return self.spark.read.schema(self.schema).parquet(*(f"{self.path}/{i}" for i in range(self.parts)))
+
+
 def empty(df: DataFrame) -> bool:
     return not df.limit(1).count()
 

@@ -8,7 +8,7 @@ the training fold, in Spark tables that are aggregated before anything reaches t
 * a vector for each id, from what stands before and after it, and classes of ids and of words by these vectors;
 * P(id | its class, class of the id before), counted and smoothed;
 * a causal self-attention layer in numpy, with relative positions, that predicts the class of the next id and of the next word.
-  Every partition descends on its own windows, one in EVERY of those of its texts, and the layers are averaged by windows.
+  Every partition descends on all windows of its texts, and the layers are averaged by windows.
 
 P(id | before) = P(class | before by attention) * P(id | class, class before). Windows of CONTEXT + STRIDE inputs overlap by
 CONTEXT, so each id is scored once; windows run in masked batches. Words are spelled by their ids, or named. With s the share of
@@ -55,7 +55,6 @@ SMOOTH = 0.05
 FIRST = 0.618
 #: Weight, in occurrences, of what an id has in its class against what it has after a class.
 BACKOFF = 20.0
-EVERY = 20
 BATCH = 96
 #: Batches whose counts start a partition's weights of word classes after id classes.
 WARM = 20
@@ -252,14 +251,22 @@ def text_windows(ids: pa.Array, every: int = 1, skip: int = 0) -> tuple[np.ndarr
     return np.where(inside, stream[np.clip(where, 0, len(stream) - 1)], END).astype(np.int64), total
 
 
-def word_targets(windows: np.ndarray, features: np.ndarray, centres: np.ndarray, begins: np.ndarray) -> np.ndarray:
-    """For each scored place of the windows the class of the word that begins there; -1 elsewhere and for words that the window cuts."""
+def word_targets(windows: np.ndarray, features: np.ndarray, centres: np.ndarray, begins: np.ndarray, alone: np.ndarray | None = None) -> np.ndarray:
+    """For each scored place of the windows the class of the word that begins there; -1 elsewhere and for words that the window cuts.
+    `alone` is the class of each id as a word of its own, where it is known."""
     out = np.full(windows.shape, -1)
     flat = windows.ravel()
     starts = begins[flat] | (flat == END)
     starts[:: windows.shape[1]] = True
     first = np.flatnonzero(starts)
-    k = word_classes(flat, first, features, centres)
+    if alone is None:
+        k = word_classes(flat, first, features, centres)
+    else:
+        k = alone[flat[first]]
+        size = np.diff(np.r_[first, len(flat)])
+        long = np.flatnonzero(size > 1)
+        at = np.cumsum(size[long]) - size[long]
+        k[long] = word_classes(flat[np.arange(int(size[long].sum())) + np.repeat(first[long] - at, size[long])], at, features, centres)
     k[flat[first] == END] = WORD_CLASSES - 1
     out.ravel()[first] = k
     out[:, 0] = -1
@@ -272,6 +279,8 @@ def word_targets(windows: np.ndarray, features: np.ndarray, centres: np.ndarray,
 _INPUTS = CONTEXT + STRIDE
 _DISTANCE = np.arange(CONTEXT, _INPUTS)[:, None] - np.arange(_INPUTS)[None, :]
 _CAUSAL = _DISTANCE >= 0
+#: Logits are cut here on both sides before exp in training, far beyond what matters.
+_MOST = np.float32(60)
 
 
 def _softmax(z: np.ndarray) -> np.ndarray:
@@ -303,29 +312,48 @@ class Attention:
 
     def step(self, w: np.ndarray, word: np.ndarray, rate: float, state: dict) -> None:
         """One step of Adam on a batch of windows; state holds the moments."""
-        x, q, k, v, a, c, before, y, yw = self._forward(w)
-        n = y.shape[0] * y.shape[1]
-        dz = y.copy()
-        target = self.classes[w[:, CONTEXT + 1 :]]
-        np.put_along_axis(dz, target[..., None], np.take_along_axis(dz, target[..., None], 2) - 1, 2)
-        dz /= n
+        p, n = self.p, len(w)
         flat = lambda m: m.reshape(-1, m.shape[-1])
-        hot = np.eye(CLASSES, dtype=np.float32)[before.ravel()]
-        g = {"o": flat(c).T @ flat(dz), "b": flat(dz).sum(0), "t": hot.T @ flat(dz)}
-        there = word >= 0
-        dw = np.where(there[..., None], yw, 0)
-        at_word = np.nonzero(there)
-        dw[(*at_word, word[at_word])] -= 1
-        dw = (dw / max(1, len(at_word[0]))).astype(np.float32)
-        g |= {"wo": flat(c).T @ flat(dw), "wb": flat(dw).sum(0), "wt": hot.T @ flat(dw)}
-        dc = dz @ self.p["o"].T + dw @ self.p["wo"].T
-        da, dv = dc @ v.transpose(0, 2, 1), a.transpose(0, 2, 1) @ dc
-        ds = a * (da - (da * a).sum(axis=2, keepdims=True))
+        x = self.features.take(w[:, :-1], axis=0)
+        own, keys = flat(x[:, CONTEXT:]), flat(x)
+        q, kv = (own @ p["q"]).reshape(n, STRIDE, WIDTH), (keys @ np.hstack([p["k"], p["v"]])).reshape(n, _INPUTS, 2 * WIDTH)
+        k, v = kv[..., :WIDTH], kv[..., WIDTH:]
+        a = q @ k.transpose(0, 2, 1)
+        a *= np.float32(1 / math.sqrt(WIDTH))
+        np.exp(np.clip(a, -_MOST, _MOST, out=a), out=a)
+        a *= np.where(_CAUSAL, np.exp(p["r"][np.abs(_DISTANCE)]), np.float32(0))
+        a /= a @ np.ones((_INPUTS, 1), np.float32)
+        c = flat(a @ v)
+        before, target = self.classes[w[:, CONTEXT:-1]].ravel(), self.classes[w[:, CONTEXT + 1 :]].ravel()
+
+        def error(c, before, o, t, target):
+            """What the mean loss of each row gives its logits."""
+            z = c @ o
+            z += (t - t.max(axis=1, keepdims=True)).take(before, axis=0)
+            np.exp(np.clip(z, -_MOST, _MOST, out=z), out=z)
+            z /= z @ np.full((z.shape[1], 1), max(1, len(z)), np.float32)
+            z[np.arange(len(z)), target] -= np.float32(1 / max(1, len(z)))
+            return z
+
+        dz = error(c, before, p["o"], p["t"] + p["b"], target)
+        at = np.flatnonzero(word.ravel() >= 0)
+        cw = c.take(at, axis=0)
+        dw = error(cw, before[at], p["wo"], p["wt"] + p["wb"], word.ravel()[at])
+        hot = np.eye(CLASSES, dtype=np.float32).take(before, axis=0)
+        g = {"o": c.T @ dz, "t": hot.T @ dz, "wo": cw.T @ dw, "wt": hot.take(at, axis=0).T @ dw}
+        g |= {"b": g["t"].sum(0), "wb": g["wt"].sum(0)}
+        dc = dz @ p["o"].T
+        dc[at] += dw @ p["wo"].T
+        held = (dc * c).sum(axis=1).reshape(n, STRIDE, 1)
+        dc = dc.reshape(n, STRIDE, WIDTH)
+        ds = dc @ v.transpose(0, 2, 1)
+        ds -= held
+        ds *= a
         g["r"] = np.bincount(np.abs(_DISTANCE).ravel(), weights=np.where(_CAUSAL, ds.sum(0), 0).ravel(), minlength=_INPUTS).astype(np.float32)
-        ds /= math.sqrt(WIDTH)
-        g["q"] = flat(x[:, CONTEXT:]).T @ flat(ds @ k)
-        g["k"] = flat(x).T @ flat(ds.transpose(0, 2, 1) @ q)
-        g["v"] = flat(x).T @ flat(dv)
+        ds *= np.float32(1 / math.sqrt(WIDTH))
+        g["q"] = own.T @ flat(ds @ k)
+        both = keys.T @ flat(np.concatenate([ds.transpose(0, 2, 1) @ q, a.transpose(0, 2, 1) @ dc], axis=2))
+        g["k"], g["v"] = both[:, :WIDTH], both[:, WIDTH:]
         state["n"] = state.get("n", 0) + 1
         for name, value in self.p.items():
             m1, m2 = state.setdefault(name, (np.zeros_like(value), np.zeros_like(value)))
@@ -421,10 +449,11 @@ def descend(docs: DataFrame, model: Attention, centres: np.ndarray) -> dict:
         own, centres = share.value
         own = Attention(own.classes, own.features, p={k: v.copy() for k, v in own.p.items()})
         begins, state = _space_ids(encoder()), {}
+        alone = word_classes(np.arange(IDS), np.arange(IDS), own.features, centres)
         hold, done = np.zeros((0, _INPUTS + 1), np.int64), 0
 
         def train(w):
-            targets = word_targets(w, own.features, centres, begins)
+            targets = word_targets(w, own.features, centres, begins, alone)
             if not state:
                 there = targets >= 0
                 seen = np.bincount(own.classes[w[:, CONTEXT:-1]][there] * WORD_CLASSES + targets[there], minlength=CLASSES * WORD_CLASSES)
@@ -434,13 +463,12 @@ def descend(docs: DataFrame, model: Attention, centres: np.ndarray) -> dict:
 
         for batch in batches:
             for part in C.chunks(batch, "ids", CHUNK):
-                windows, n = text_windows(part.column("ids"), EVERY, -done % EVERY)
+                windows, n = text_windows(part.column("ids"))
                 hold = np.concatenate([hold, windows])
                 done += n
-                ready = len(hold) // BATCH * BATCH
-                if ready >= (BATCH if state else WARM * BATCH):
-                    train(hold[:ready])
-                    hold = hold[ready:]
+                while len(hold) >= WARM * BATCH:
+                    train(hold[: WARM * BATCH])
+                    hold = hold[WARM * BATCH :]
         if len(hold):
             train(hold)
         if done:

@@ -34,7 +34,7 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each component of near copies, its smallest doc_id; of equal rows one.
 
-    Wide SimHash fingerprints of five-word shingles link at the distance that stands for a similarity of 0.8 or more."""
+    Sets of five-word shingles of similarity 0.8 or more are linked: wide SimHash fingerprints propose links, an index finds the rest, all are checked."""
     docs = docs.select(*COLUMNS)
     return simhash.one_of_each(docs, simhash.wide_groups(docs))
 

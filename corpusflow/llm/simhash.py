@@ -7,10 +7,12 @@ and links become components by star contraction. Inside a key only links that jo
 A key with more than BLOCK fingerprints is dealt out again in pairs of blocks, so no task holds an unbounded key
 and none of its pairs is left out.
 
-`near_groups` takes the fingerprint of 64 bits that the contract of op5 fixes, `wide_groups` one of 64 * LANES bits over
-shingles of WIDE_SHINGLE words for copies that differ by more: a share of differing bits of t stands for a cosine of cos(pi t) between
-the shingle counts, which for a Jaccard similarity of 0.8 is 15 %. There the segments are chosen for selectivity, WIDE_SEGMENTS of 21 bits,
-and a pair is found if one of them differs by a bit at most: with a chance of 0.77 at similarity 0.8, 0.90 at 0.85, 0.98 at 0.9.
+`near_groups` takes the fingerprint of 64 bits that the contract of op5 fixes. `wide_groups` links the sets of shingles of WIDE_SHINGLE
+words whose Jaccard similarity is NUMERATOR / DENOMINATOR or more, all of them and no others. Fingerprints of 64 * LANES bits propose
+links first, through FIRST_SEGMENTS segments, and each is checked on the sets; this joins most copies, but not all. The rest is found by an
+index that loses no pair: two such sets share one of the first n - ceil(similarity * n) + 1 shingles of each in any order that
+all sets have in common, and an entry that they share first leaves enough to both. Pairs of an entry in different components
+are checked on the sets. The order, by counts of all shingles in SLOTS slots, keeps entries short and decides about speed alone.
 
 Defined cases: null or blank text has fingerprint zero and is linked like any other; with fewer words than a
 shingle the whole sequence is the shingle; equal rows share a component; an empty table gives no rows; a null
@@ -37,8 +39,12 @@ BLOCK = 1024
 NEAR = 6
 LINKS = "a long, b long, key long, block int, f array<long>"
 LANES, WIDE_SHINGLE, WIDE_SEGMENTS, WIDE_DISTANCE = 3, 5, 9, 31
-#: Segments whose links become components before the others are indexed, which then only join different ones.
+NUMERATOR, DENOMINATOR = 4, 5
+#: Segments that propose links; the index of shingles finds the others.
 FIRST_SEGMENTS = 3
+SLOTS = 1 << 16
+#: Members of an entry whose pairs are formed in one task; of more, blocks meet in pairs.
+ENTRY_BLOCK = 1024
 #: How many keys of rows may be sent to every executor.
 BROADCAST_KEYS = 1_000_000
 
@@ -148,7 +154,16 @@ def forest(f: np.ndarray, distance: int, lanes: int | None = None) -> tuple[np.n
     return moved, label[moved]
 
 
-def _runs(batches: Iterator[pa.RecordBatch], distance: int, block: int, lanes: int, names: list[str]) -> Iterator[pa.RecordBatch]:
+def nearest(f: np.ndarray, distance: int, lanes: int | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """A link of each row of lanes to the nearest one before it, where that is within distance."""
+    apart = _apart(f[:, None], f[None, :], lanes or f.shape[1])
+    apart[np.triu_indices(len(f))] = 1 << 30
+    best = apart.argmin(axis=1)
+    moved = np.flatnonzero(apart[np.arange(len(f)), best] <= distance)
+    return moved, best[moved]
+
+
+def _runs(batches: Iterator[pa.RecordBatch], distance: int, block: int, lanes: int, names: list[str], choose=forest) -> Iterator[pa.RecordBatch]:
     """Links inside keys of rows sorted by key; members of keys beyond `block` are passed on with their block."""
     width = len(names)
     hold_k, hold_f, passed, hold_key = np.zeros(0, np.int64), np.zeros((0, width), np.uint64), 0, None
@@ -167,7 +182,7 @@ def _runs(batches: Iterator[pa.RecordBatch], distance: int, block: int, lanes: i
             a.append(hit + s)
             b.append(hit)
         for i, n in zip(begin[size > NEAR].tolist(), size[size > NEAR].tolist()):
-            x, y = forest(f[i : i + n], distance, lanes)
+            x, y = choose(f[i : i + n], distance, lanes)
             a.append(i + x)
             b.append(i + y)
         ids = _named(f, lanes)
@@ -211,7 +226,7 @@ def _sizes(k: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return begin, np.diff(np.r_[begin, len(k)])
 
 
-def near_links(fps: DataFrame, distance: int = DISTANCE, block: int = BLOCK, segments: int | None = None, some: range | None = None) -> DataFrame:
+def near_links(fps: DataFrame, distance: int = DISTANCE, block: int = BLOCK, segments: int | None = None, some: range | None = None, choose=forest) -> DataFrame:
     """Links (a, b) between node ids that connect all fingerprints of distinct fps(f0, f1, ...) that share a variant and lie
     within distance, not every pair of them. With a column `component` links are between those that differ."""
     names = [c for c in fps.columns if c != "component"]
@@ -227,13 +242,13 @@ def near_links(fps: DataFrame, distance: int = DISTANCE, block: int = BLOCK, seg
                 yield pa.RecordBatch.from_arrays([pa.array(k.view(np.int64)), *(pa.array(np.ascontiguousarray(f[i + row, j]).view(np.int64)) for j in range(len(names)))], names=["key", *names])
 
     def inside(batches):
-        yield from _runs(batches, distance, block, lanes, names)
+        yield from _runs(batches, distance, block, lanes, names, choose)
 
     def across(batches):
         for batch in batches:
             for left, right in zip(batch.column("left").to_pylist(), batch.column("right").to_pylist()):
                 f = np.unique(np.array([*left, *right], np.int64), axis=0).view(np.uint64)
-                a, b = forest(f, distance, lanes)
+                a, b = choose(f, distance, lanes)
                 ids = _named(f, lanes)
                 pair = np.unique(np.stack([ids[a], ids[b]]), axis=1)
                 pair = pair[:, pair[0] != pair[1]]
@@ -254,25 +269,191 @@ def near_links(fps: DataFrame, distance: int = DISTANCE, block: int = BLOCK, seg
     return links.distinct()
 
 
+def shingle_sets(texts: pa.Array, shingle: int = WIDE_SHINGLE) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the distinct shingles of each text, one text after another and sorted inside, and where each text begins."""
+    words = C.Words(texts, lower=True)
+    h = words.hashes()
+    begin, count = words.first[:-1], np.diff(words.first)
+    at = np.flatnonzero(C.valid_windows(words, shingle))
+    value, owner = [C.window_hashes(h, shingle)[at]], [words.owner()[at]]
+    for n in range(1, shingle):  # fewer words than a shingle
+        some = np.flatnonzero(count == n)
+        if len(some):
+            value.append(C.window_hashes(h, n)[begin[some]] ^ np.uint64(n))
+            owner.append(some)
+    value, owner = np.concatenate(value), np.concatenate(owner)
+    order = np.lexsort((value, owner))
+    value, owner = value[order], owner[order]
+    keep = np.ones(len(value), bool)
+    keep[1:] = (value[1:] != value[:-1]) | (owner[1:] != owner[:-1])
+    value, owner = value[keep], owner[keep]
+    return value, np.searchsorted(owner, np.arange(len(texts) + 1))
+
+
+def _set_names(value: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """One 64-bit name for each set of shingles."""
+    sums = np.r_[np.uint64(0), np.cumsum(C.mix(value ^ np.uint64(0x5851F42D4C957F2D)), dtype=np.uint64)]
+    return C.mix(sums[first[1:]] - sums[first[:-1]] + np.diff(first).astype(np.uint64)).view(np.int64)
+
+
+def _lists(value: np.ndarray, first: np.ndarray) -> pa.ListArray:
+    return pa.ListArray.from_arrays(pa.array(first.astype(np.int32)), pa.array(value.view(np.int64)))
+
+
+def slot_counts(docs: DataFrame, shingle: int = WIDE_SHINGLE) -> np.ndarray:
+    """How many sets hold a shingle of each of SLOTS slots, over all docs; summed in Spark."""
+
+    def work(batches):
+        counts = np.zeros(SLOTS, np.int64)
+        for batch in batches:
+            for part in C.chunks(batch, "text"):
+                counts += np.bincount((shingle_sets(part.column("text"), shingle)[0] >> np.uint64(32)).astype(np.int64) % SLOTS, minlength=SLOTS)
+        some = np.flatnonzero(counts)
+        yield pa.RecordBatch.from_arrays([pa.array(some.astype(np.int32)), pa.array(counts[some])], names=["slot", "n"])
+
+    got = docs.select("text").mapInArrow(work, "slot int, n long").groupBy("slot").agg(F.sum("n").alias("n")).toArrow()
+    out = np.zeros(SLOTS, np.int64)
+    out[got.column("slot").to_numpy()] = got.column("n").to_numpy()
+    return out
+
+
+def indexed_sets(docs: DataFrame, counts: np.ndarray, shingle: int = WIDE_SHINGLE) -> DataFrame:
+    """docs' _d, _t, the node that names the set of shingles, its size, and the entries of the index, rarest slots first."""
+
+    def work(batch: pa.RecordBatch) -> pa.RecordBatch:
+        value, first = shingle_sets(batch.column("text"), shingle)
+        size = np.diff(first)
+        owner = np.repeat(np.arange(len(size)), size)
+        order = np.lexsort((value, counts[(value >> np.uint64(32)).astype(np.int64) % SLOTS], owner))
+        entries = size - -(-NUMERATOR * size // DENOMINATOR) + (size > 0)
+        taken = np.arange(len(value)) - first[owner] < entries[owner]
+        return pa.RecordBatch.from_arrays([batch.column("_d"), batch.column("_t"), pa.array(_set_names(value, first)), pa.array(size.astype(np.int32)), _lists(value[order][taken], np.r_[0, np.cumsum(entries)])], names=["_d", "_t", "node", "size", "entries"])
+
+    return C.map_chunks(docs.select(*C.row_key(), "text"), "text", "_d long, _t long, node long, size int, entries array<long>", work)
+
+
+def alike(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, shingle: int = WIDE_SHINGLE) -> DataFrame:
+    """Those of distinct pairs(a, b) of nodes(node, _d, _t) whose sets are similar enough; sets are made again, from one text for each node of pairs."""
+    pairs = C.materialize(pairs, "near-pairs")
+    needed = C.materialize(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(nodes.select("node", "_d", "_t"), "node"), "near-needed")
+    needed = F.broadcast(needed) if needed.count() <= BROADCAST_KEYS else needed
+
+    def work(batch: pa.RecordBatch) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([batch.column("node"), _lists(*shingle_sets(batch.column("text"), shingle))], names=["node", "shingles"])
+
+    texts = docs.select("text", *C.row_key()).join(needed, ["_d", "_t"]).select("node", "text")
+    sets = C.materialize(C.map_chunks(texts, "text", "node long, shingles array<long>", work).dropDuplicates(["node"]), "near-sets")
+    met = pairs.join(sets.select(F.col("node").alias("a"), F.col("shingles").alias("x")), "a").join(sets.select(F.col("node").alias("b"), F.col("shingles").alias("y")), "b")
+    enough = F.size(F.array_intersect("x", "y")) * (NUMERATOR + DENOMINATOR) >= (F.size("x") + F.size("y")) * NUMERATOR
+    return C.materialize(met.where(enough).select("a", "b"), "near-alike")
+
+
+def _meet(rows: np.ndarray, others: np.ndarray | None = None) -> np.ndarray:
+    """Pairs of nodes of an entry's rows (node, component, size, place), of them or of them and others, in different components, whose sizes and
+    places leave enough shingles to both."""
+    x, y = rows[:, None], (rows if others is None else others)[None]
+    small, large = np.minimum(x[..., 2], y[..., 2]), np.maximum(x[..., 2], y[..., 2])
+    left = np.minimum(x[..., 2] - x[..., 3], y[..., 2] - y[..., 3])
+    ok = (x[..., 1] != y[..., 1]) & (DENOMINATOR * small >= NUMERATOR * large) & ((NUMERATOR + DENOMINATOR) * left >= NUMERATOR * (small + large))
+    i, j = np.nonzero(np.triu(ok, 1) if others is None else ok)
+    a, b = rows[i, 0], (rows if others is None else others)[j, 0]
+    return np.stack([np.maximum(a, b), np.minimum(a, b)])
+
+
+def index_pairs(nodes: DataFrame, block: int = ENTRY_BLOCK) -> DataFrame:
+    """Distinct pairs (a, b) of nodes(node, component, size, entries) of different components that share an entry and may be similar enough."""
+    row = F.struct("node", "component", F.col("size").cast("long").alias("size"), F.col("place").cast("long").alias("place"))
+    entries = nodes.select("node", "component", "size", F.posexplode("entries").alias("place", "key")).select("key", row.alias("r")).select("key", "r.*")
+
+    def out(pairs=None, key=None, at=None, rows=None):
+        n = len(rows) if pairs is None else pairs.shape[1]
+        lists = pa.nulls(n, pa.list_(pa.int64())) if rows is None else pa.ListArray.from_arrays(pa.array(np.arange(n + 1, dtype=np.int32) * 4), pa.array(rows.reshape(-1)))
+        put = lambda x, t: pa.nulls(n, t) if x is None else pa.array(x, t)
+        return pa.RecordBatch.from_arrays([*(put(None if pairs is None else x, pa.int64()) for x in (pairs if pairs is not None else (None, None))), put(key, pa.int64()), put(at, pa.int32()), lists], names=["a", "b", "key", "block", "f"])
+
+    def inside(batches):
+        hold_k, hold, passed = np.zeros(0, np.int64), np.zeros((0, 4), np.int64), 0
+
+        def done(k, r, passed):
+            """Pairs of whole keys; members of large ones are passed on, with the block that each belongs to."""
+            begin, size = _sizes(k)
+            found = []
+            for i, n in zip(begin.tolist(), size.tolist()):
+                before = passed if i == 0 else 0
+                if before or n > block:
+                    yield out(key=k[i : i + n], at=(before + np.arange(n)) // block, rows=r[i : i + n])
+                elif n > 1:
+                    found.append(_meet(r[i : i + n]))
+            if found:
+                yield out(np.unique(np.concatenate(found, axis=1), axis=1))
+
+        for batch in batches:
+            k = np.r_[hold_k, batch.column("key").to_numpy()]
+            r = np.concatenate([hold, np.stack([batch.column(c).to_numpy() for c in ("node", "component", "size", "place")], axis=1)])
+            if not len(k):
+                continue
+            if passed and k[0] != passed_key:
+                passed = 0
+            last = int(np.searchsorted(k, k[-1]))
+            if last:
+                yield from done(k[:last], r[:last], passed)
+                passed = 0
+            hold_k, hold = k[last:], r[last:]
+            if passed or len(hold_k) > block:  # pass on what is there, so that no more than a batch is held
+                passed_key = int(hold_k[0])
+                yield out(key=hold_k, at=(passed + np.arange(len(hold_k))) // block, rows=hold)
+                passed += len(hold_k)
+                hold_k, hold = hold_k[:0], hold[:0]
+        if len(hold_k):
+            yield from done(hold_k, hold, 0)
+
+    def across(batches):
+        for batch in batches:
+            for lo, hi, left, right in zip(*(batch.column(c).to_pylist() for c in ("lo", "hi", "left", "right"))):
+                pair = _meet(np.array(left, np.int64)) if lo == hi else _meet(np.array(left, np.int64), np.array(right, np.int64))
+                if pair.size:
+                    yield pa.RecordBatch.from_arrays([pa.array(pair[0]), pa.array(pair[1])], names=["a", "b"])
+
+    keyed = entries.repartition(C.shuffle_width(nodes.sparkSession) * 2, "key").sortWithinPartitions("key")
+    found = C.materialize(keyed.mapInArrow(inside, LINKS), "entry-links")
+    pairs = found.where("key IS NULL").select("a", "b")
+    large = found.where("key IS NOT NULL")
+    if large.limit(1).count():
+        blocks = large.groupBy("key", "block").agg(F.collect_list("f").alias("f"))  # at most `block` members each
+        top = large.groupBy("key").agg(F.max("block").alias("top"))
+        paired = blocks.join(top, "key").select("key", "block", "f", F.explode(F.sequence(F.lit(0), F.col("top"))).alias("other"))
+        lo, hi = F.least("block", "other"), F.greatest("block", "other")
+        met = paired.groupBy("key", lo.alias("lo"), hi.alias("hi")).agg(F.max_by("f", -F.col("block")).alias("left"), F.max_by("f", "block").alias("right"))
+        pairs = pairs.union(met.select("lo", "hi", "left", "right").mapInArrow(across, "a long, b long"))
+    return pairs.where("a <> b").distinct()
+
+
 def wide_groups(docs: DataFrame, shingle: int = WIDE_SHINGLE, distance: int = WIDE_DISTANCE, lanes: int = LANES, segments: int = WIDE_SEGMENTS) -> DataFrame:
-    """(doc_id, _d, _t, node, component) by wide fingerprints: the component is its smallest node."""
-    marked = wide_fingerprints(docs, shingle, lanes)
+    """(doc_id, _d, _t, node, component): texts whose sets of shingles are linked; the component is its smallest node."""
     names = [f"f{j}" for j in range(lanes)]
 
     def name(batches):
         for batch in batches:
             ids = node_ids(np.stack([batch.column(c).to_numpy().view(np.uint64) for c in names], axis=1)) if batch.num_rows else np.zeros(0, np.uint64)
-            yield batch.select(["doc_id", "_d", "_t", *names]).append_column("node", pa.array(ids.view(np.int64)))
-
-    marked = C.materialize(marked.mapInArrow(name, "doc_id long, _d long, _t long, " + ", ".join(f"{c} long" for c in names) + ", node long"), "wide-fingerprints")
-    nodes = marked.select("node", *names).distinct()
-    early = min(FIRST_SEGMENTS, segments)
-    parts = components(near_links(nodes.select(*names), distance, segments=segments, some=range(early)))
-    nodes = C.materialize(nodes.join(parts, "node", "left").withColumn("component", F.coalesce("component", "node")), "wide-nodes")
-    if early < segments:
-        more = components(near_links(nodes.select(*names, "component"), distance, segments=segments, some=range(early, segments)))
-        nodes = nodes.join(more.select(F.col("node").alias("component"), F.col("component").alias("_to")), "component", "left").withColumn("component", F.coalesce("_to", "component"))
-    return marked.select("doc_id", "_d", "_t", "node").join(nodes.select("node", "component"), "node")
+            yield batch.append_column("fp", pa.array(ids.view(np.int64)))
+
+    marked = C.materialize(indexed_sets(docs, slot_counts(docs, shingle), shingle), "near-indexed")
+    nodes = C.materialize(marked.dropDuplicates(["node"]), "near-nodes")
+    columns = "doc_id long, _d long, _t long, " + ", ".join(f"{c} long" for c in names)
+    prints = C.materialize(wide_fingerprints(docs, shingle, lanes).mapInArrow(name, columns + ", fp long"), "wide-fingerprints")
+    # links of fingerprints as pairs of sets: one set stands for each fingerprint, and the others of it are proposed with it
+    held = C.materialize(nodes.select("node", "_d", "_t").join(prints.select("_d", "_t", "fp", *names).dropDuplicates(["_d", "_t"]), ["_d", "_t"]).drop("_d", "_t"), "near-prints")
+    first = C.materialize(held.groupBy("fp").agg(F.min("node").alias("first")), "near-first")
+    links = near_links(held.select(*names).distinct(), distance, segments=segments, some=range(min(FIRST_SEGMENTS, segments)), choose=nearest)
+    of = lambda c: first.select(F.col("fp").alias(c), F.col("first").alias(f"_{c}"))
+    proposed = links.join(of("a"), "a").join(of("b"), "b").select(F.col("_a").alias("a"), F.col("_b").alias("b"))
+    proposed = proposed.union(held.join(first, "fp").select(F.col("node").alias("a"), F.col("first").alias("b"))).where("a <> b")
+    likely = alike(proposed.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), nodes, docs, shingle)
+    own = F.coalesce("component", "node").alias("component")
+    labelled = nodes.join(components(likely), "node", "left").select("node", own, "size", "entries")
+    links = likely.union(alike(index_pairs(labelled), nodes, docs, shingle))
+    named = nodes.select("node").join(components(links), "node", "left").select("node", own)
+    return prints.select("doc_id", "_d", "_t").join(marked.select("_d", "_t", "node").dropDuplicates(["_d", "_t"]), ["_d", "_t"]).join(named, "node").select("doc_id", "_d", "_t", "node", "component")
 
 
 def one_of_each(docs: DataFrame, groups: DataFrame) -> DataFrame:

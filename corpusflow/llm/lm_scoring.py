@@ -8,7 +8,7 @@ the training fold, in Spark tables that are aggregated before anything reaches t
 * a vector for each id, from what stands before and after it, and classes of ids and of words by these vectors;
 * P(id | its class, class of the id before), counted and smoothed;
 * a causal self-attention layer in numpy, with relative positions, that predicts the class of the next id and of the next word.
-  Every partition descends on all windows of its texts, and the layers are averaged by windows.
+  Every partition descends on all windows of its texts, BATCH and later LATER of them a step, and the layers are averaged by windows.
 
 P(id | before) = P(class | before by attention) * P(id | class, class before). Windows of CONTEXT + STRIDE inputs overlap by
 CONTEXT, so each id is scored once; windows run in masked batches. Words are spelled by their ids, or named. With s the share of
@@ -47,7 +47,7 @@ WIDTH = 16
 FEATURES = 24
 #: Directions onto which neighbours of an id are projected, on each side.
 SKETCH = 48
-LOCAL_WORDS = 400_000
+LOCAL_WORDS = 1_000_000
 #: Taken off the count of each named word, for words that training has not seen.
 DISCOUNT = 0.75
 SMOOTH = 0.05
@@ -55,39 +55,75 @@ SMOOTH = 0.05
 FIRST = 0.618
 #: Weight, in occurrences, of what an id has in its class against what it has after a class.
 BACKOFF = 20.0
-BATCH = 96
+#: Windows in a step, and in each step after the first STEADY of a partition.
+BATCH, LATER = 96, 192
+STEADY = 200
+#: Rows of a tall matrix that are multiplied at once; products of this size are made without packing, in less time.
+PIECE = 96
 #: Batches whose counts start a partition's weights of word classes after id classes.
 WARM = 20
 RATE = 0.03
-CHUNK = 2 << 20
+#: Bytes of texts or ids that are cut or counted at once; the larger, the fewer words and pairs are met again.
+CHUNK = 6 << 20
+#: Words whose ids a task of tokenising keeps for its next texts, a matter of speed alone.
+KNOWN = 1_000_000
+#: Bytes of ids, two each, that training holds at once.
+TRAIN_CHUNK = 2 << 20
 #: Bytes of ids, two each, that scoring holds at once.
 IDS_CHUNK = 1 << 20
 HELD_PARTS, HELD_OUT = 7, 2
 
 
+def distinct(hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The different hashes in their order, where each one stands, and which of them each hash is."""
+    order = np.argsort(hashes)
+    ordered = hashes[order]
+    new = np.r_[True, ordered[1:] != ordered[:-1]] if len(order) else np.zeros(0, bool)
+    inverse = np.empty(len(order), np.int64)
+    inverse[order] = np.cumsum(new) - 1
+    return ordered[new], order[new], inverse
+
+
 class Subwords:
-    """Subword ids of the words of a column of texts."""
+    """Subword ids of the words of a column of texts; those of words that `known` holds are taken from there, and new ones left there."""
 
-    def __init__(self, texts: pa.Array):
+    def __init__(self, texts: pa.Array, known: dict | None = None):
         words = C.Words(texts, lower=True)
         self.words = words
         hashes = words.hashes()
-        self.unique, at, self.inverse = np.unique(hashes, return_index=True, return_inverse=True)
+        self.unique, at, self.inverse = distinct(hashes)
+        had, have, first, ids = (known or {}).get("words", (np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int32)))
+        place = np.searchsorted(had, self.unique)
+        fresh = np.ones(len(self.unique), bool)
+        fresh[place < len(had)] = had[place[place < len(had)]] != self.unique[place < len(had)]
+        old = np.flatnonzero(~fresh)
+        new, begin = self._spell(at[fresh])
+        #: Ids of words one after another; where those of each different word begin, and how many they are.
+        self.ids = np.concatenate([ids, new])
+        self.first, self.sizes = np.empty(len(fresh), np.int64), np.empty(len(fresh), np.int64)
+        self.first[old], self.sizes[old] = have[place[old]], first[place[old]]
+        self.first[fresh], self.sizes[fresh] = begin[:-1] + len(ids), np.diff(begin)
+        if known is not None:
+            where = place[fresh]
+            all_ = np.insert(had, where, self.unique[fresh]), np.insert(have, where, self.first[fresh]), np.insert(first, where, self.sizes[fresh]), self.ids
+            known["words"] = all_ if len(all_[0]) <= KNOWN else (self.unique, self.first, self.sizes, self.ids)
+            if len(known["words"][3]) > 8 * KNOWN:
+                known.clear()
+
+    def _spell(self, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of the words at these places one after another, and where those of each begin, with their end."""
+        words, enc = self.words, encoder()
         raw = words.data.tobytes()
         forms = [raw[a:b] for a, b in zip(words.starts[at].tolist(), words.ends[at].tolist())]
-        enc = encoder()
-        begins = _space_ids(enc)
-        self.ids = np.zeros(0, np.int32)
-        self.first = np.zeros(1, np.int64)
-        if forms:
-            ids = np.array(enc.encode_ordinary((b" " + b" ".join(forms)).decode("utf-8", "replace")), np.int32)
-            first = np.flatnonzero(begins[ids])
-            if len(first) != len(forms):  # a word holds a space of its own making
-                each = [enc.encode_ordinary(" " + f.decode("utf-8", "replace")) for f in forms]
-                ids = np.array([i for x in each for i in x], np.int32)
-                first = np.cumsum([0, *(len(x) for x in each[:-1])])
-            self.ids, self.first = ids, np.r_[first, len(ids)]
-        self.sizes = np.diff(self.first)
+        if not forms:
+            return np.zeros(0, np.int32), np.zeros(1, np.int64)
+        ids = np.array(enc.encode_ordinary((b" " + b" ".join(forms)).decode("utf-8", "replace")), np.int32)
+        first = np.flatnonzero(_space_ids(enc)[ids])
+        if len(first) != len(forms):  # a word holds a space of its own making
+            each = [enc.encode_ordinary(" " + f.decode("utf-8", "replace")) for f in forms]
+            ids = np.array([i for x in each for i in x], np.int32)
+            first = np.cumsum([0, *(len(x) for x in each[:-1])])
+        return ids, np.r_[first, len(ids)]
 
     def stream(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """All ids with an end after each text; the first id of each word or end; how many words and ends each text has."""
@@ -131,7 +167,7 @@ class Ids:
         self.per_text = np.diff(np.searchsorted(self.begin, np.r_[0, self.ends]))
         starts, stops = self.begin[~self.is_end], np.r_[self.begin[1:], len(self.stream)][~self.is_end]
         #: Hashes of the different words; which of them each word is; the ids of these one after another, and where each begins.
-        self.unique, at, self.inverse = np.unique(C.span_hashes(self.bytes, 2 * starts, 2 * stops), return_index=True, return_inverse=True)
+        self.unique, at, self.inverse = distinct(C.span_hashes(self.bytes, 2 * starts, 2 * stops))
         sizes = (stops - starts)[at]
         self.first = np.cumsum(sizes) - sizes
         self.spelling = self.stream[np.arange(int(sizes.sum())) + np.repeat(starts[at] - self.first, sizes)]
@@ -141,16 +177,22 @@ class Ids:
 def tokenize(docs: DataFrame) -> DataFrame:
     """doc_id, held_out, row and ids of docs(doc_id, text, held_out), written once, as every later pass reads them; without held_out, false."""
 
-    def work(batch: pa.RecordBatch) -> pa.RecordBatch:
-        stream, begin, per_text = Subwords(batch.column("text")).stream()
+    def work(batch: pa.RecordBatch, known: dict) -> pa.RecordBatch:
+        stream, begin, per_text = Subwords(batch.column("text"), known).stream()
         cuts = 2 * np.r_[begin, len(stream)][np.r_[0, np.cumsum(per_text)]]
         raw = stream.astype("<u2").tobytes()
         ids = pa.array([raw[a:b] for a, b in zip(cuts.tolist(), cuts[1:].tolist())], pa.binary())
         return pa.RecordBatch.from_arrays([batch.column("doc_id").cast(pa.int64()), batch.column("held_out"), batch.column("row"), ids], names=["doc_id", "held_out", "row", "ids"])
 
+    def run(batches):
+        known: dict = {}
+        for batch in batches:
+            for part in C.chunks(batch, "text", CHUNK):
+                yield work(part, known)
+
     held = F.col("held_out") if "held_out" in docs.columns else F.lit(False).alias("held_out")
     rows = docs.select("doc_id", held, F.monotonically_increasing_id().alias("row"), "text")
-    return C.materialize(C.map_chunks(rows, "text", "doc_id long, held_out boolean, row long, ids binary", work, CHUNK), "lm-ids")
+    return C.materialize(rows.mapInArrow(run, "doc_id long, held_out boolean, row long, ids binary"), "lm-ids")
 
 
 def corpus_counts(docs: DataFrame) -> DataFrame:
@@ -161,17 +203,18 @@ def corpus_counts(docs: DataFrame) -> DataFrame:
         stream = s.stream
         ids = np.bincount(stream, minlength=IDS)
         some = np.flatnonzero(ids)
-        pair, n_pair = np.unique(np.r_[np.int64(END), stream[:-1].astype(np.int64)] * IDS + stream, return_counts=True)
+        pair, n_pair = np.unique(np.append(np.uint32(END), stream[:-1].astype(np.uint32)) * np.uint32(IDS) + stream.astype(np.uint32), return_counts=True)  # below 2^32
         n_word, n = len(s.unique), len(s.unique) + len(some) + 1 + len(pair)
         kind = np.repeat(np.arange(4, dtype=np.int8), [n_word, len(some), 1, len(pair)])
         key, a, b = np.zeros(n, np.int64), np.zeros(n, np.int32), np.zeros(n, np.int32)
         key[:n_word] = s.unique.view(np.int64)
-        raw = s.spelling.astype("<u2").tobytes()
-        spelling = [*(raw[2 * x : 2 * (x + y)] for x, y in zip(s.first.tolist(), s.sizes.tolist())), *[b""] * (n - n_word)]
+        cuts = np.full(n + 1, 2 * len(s.spelling), np.int32)
+        cuts[:n_word] = 2 * s.first
+        spelling = pa.Array.from_buffers(pa.binary(), n, [None, pa.py_buffer(cuts), pa.py_buffer(s.spelling.astype("<u2"))])
         a[n_word : n_word + len(some)] = some
         a[n_word + len(some) + 1 :], b[n_word + len(some) + 1 :] = pair // IDS, pair % IDS
         c = np.r_[np.bincount(s.inverse, minlength=n_word), ids[some], batch.num_rows, n_pair].astype(np.int64)
-        return pa.RecordBatch.from_arrays([pa.array(kind), pa.array(key), pa.array(a), pa.array(b), pa.array(spelling, pa.binary()), pa.array(c)], names=["kind", "key", "a", "b", "spelling", "c"])
+        return pa.RecordBatch.from_arrays([pa.array(kind), pa.array(key), pa.array(a), pa.array(b), spelling, pa.array(c)], names=["kind", "key", "a", "b", "spelling", "c"])
 
     return C.map_chunks(docs.select("ids"), "ids", "kind byte, key long, a int, b int, spelling binary, c long", work, CHUNK).groupBy("kind", "key", "a", "b", "spelling").agg(F.sum("c").alias("c"))
 
@@ -229,56 +272,104 @@ def centres_of(features: np.ndarray, ids: np.ndarray, n: int, rounds: int = 15)
     return c[np.sort(np.unique(c.round(4), axis=0, return_index=True)[1])]
 
 
-def word_classes(ids: np.ndarray, first: np.ndarray, features: np.ndarray, centres: np.ndarray) -> np.ndarray:
-    """Class of each word by all its ids, given the ids of all words one after another and where each begins; the last class is
+def word_classes(ids: np.ndarray, first: np.ndarray, features: np.ndarray, centres: np.ndarray, size: np.ndarray | None = None) -> np.ndarray:
+    """Class of each word by all its ids, given where each begins among ids, and how many it has, else all up to the next; the last class is
     the end's own. The first id counts a little more, so that ids that are centres themselves don't tie."""
-    return np.argmax((np.add.reduceat(features[ids], first, axis=0) + FIRST * features[ids[first]]) @ centres.T, axis=1).astype(np.int32) if len(first) else np.zeros(0, np.int32)
+    size = np.diff(np.r_[first, len(ids)]) if size is None else size
+    out, to = np.empty(len(first), np.int32), np.ascontiguousarray(centres.T)
+    short = np.minimum(size, _SHORT + 1).astype(np.uint8)
+    order = np.argsort(short, kind="stable")
+    cuts = np.searchsorted(short[order], np.arange(1, _SHORT + 2))
+    for n, lo, hi in zip(range(1, _SHORT + 1), cuts, cuts[1:]):
+        for at in range(lo, hi, _WORDS_AT_ONCE):
+            some = order[at : min(hi, at + _WORDS_AT_ONCE)]
+            begin = first[some]
+            one = features.take(ids[begin], axis=0)
+            v = one.copy()
+            for j in range(1, n):
+                v += features.take(ids[begin + j], axis=0)
+            v += np.float32(FIRST) * one
+            out[some] = np.argmax(_apply(v, to), axis=1)
+    long = order[cuts[-1] :]
+    if len(long):
+        at = np.cumsum(size[long]) - size[long]
+        own = ids[np.arange(int(size[long].sum())) + np.repeat(first[long] - at, size[long])]
+        out[long] = np.argmax((np.add.reduceat(features[own], at, axis=0) + np.float32(FIRST) * features[own[at]]) @ to, axis=1)
+    return out
+
+
+#: Words of up to so many ids are added up place by place, so many words at once.
+_SHORT, _WORDS_AT_ONCE = 8, 4096
+
+
+def _windows(stream: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """All windows of the texts of a stream, and the place of each id among their scored places, one window after another."""
+    ends = np.flatnonzero(stream == END) + 1
+    begins = np.r_[0, ends[:-1]]
+    blocks = -(-(ends - begins) // STRIDE)
+    fresh, total = np.cumsum(blocks) - blocks, int(blocks.sum())
+    place = np.arange(len(stream)) + np.repeat(fresh * STRIDE - begins, ends - begins)
+    row = np.full(CONTEXT + 1 + total * STRIDE, END, np.int64)
+    row[CONTEXT + 1 + place] = stream
+    out = np.lib.stride_tricks.as_strided(row, (total, CONTEXT + STRIDE + 1), (STRIDE * row.itemsize, row.itemsize)).copy()
+    out[fresh, : CONTEXT + 1] = END
+    return out, place
 
 
 def text_windows(ids: pa.Array, every: int = 1, skip: int = 0) -> tuple[np.ndarray, int]:
     """Rows of CONTEXT + STRIDE + 1 ids, one in `every` of those that follow each other through the texts after the first `skip`,
     filled with the end before a text's start and after its end; and how many follow each other."""
+    windows, _ = _windows(np.frombuffer(b"".join(ids.to_pylist()), "<u2").astype(np.int32))
+    return windows[skip::every], len(windows)
+
+
+def classes_at(stream: np.ndarray, features: np.ndarray, centres: np.ndarray, begins: np.ndarray, alone: np.ndarray) -> np.ndarray:
+    """For each place of a stream of texts the class of the word or end that begins there; -1 elsewhere. `alone` is the class of each id as a word of its own."""
+    first = np.flatnonzero(begins[stream] | (stream == END))
+    size = np.diff(np.r_[first, len(stream)])
+    k = alone[stream[first]]
+    more = np.flatnonzero(size > 1)
+    k[more] = word_classes(stream, first[more], features, centres, size[more])
+    k[stream[first] == END] = WORD_CLASSES - 1
+    out = np.full(len(stream), -1)
+    out[first] = k
+    return out
+
+
+def training_windows(ids: pa.Array, features: np.ndarray, centres: np.ndarray, begins: np.ndarray, alone: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """All windows of `text_windows`, and for their scored places the class of the word or end that begins there; -1 elsewhere."""
     stream = np.frombuffer(b"".join(ids.to_pylist()), "<u2").astype(np.int32)
-    ends = np.flatnonzero(stream == END) + 1
-    begins = np.r_[0, ends[:-1]]
-    blocks = -(-(ends - begins) // STRIDE)
-    total = int(blocks.sum())
-    pick = np.arange(skip, total, every)
-    text = np.searchsorted(np.cumsum(blocks), pick, "right")
-    at = begins[text] + STRIDE * (pick - (np.cumsum(blocks) - blocks)[text])
-    where = at[:, None] + np.arange(-CONTEXT - 1, STRIDE)
-    inside = (where >= begins[text][:, None]) & (where < ends[text][:, None])
-    return np.where(inside, stream[np.clip(where, 0, len(stream) - 1)], END).astype(np.int64), total
-
-
-def word_targets(windows: np.ndarray, features: np.ndarray, centres: np.ndarray, begins: np.ndarray, alone: np.ndarray | None = None) -> np.ndarray:
-    """For each scored place of the windows the class of the word that begins there; -1 elsewhere and for words that the window cuts.
-    `alone` is the class of each id as a word of its own, where it is known."""
-    out = np.full(windows.shape, -1)
-    flat = windows.ravel()
-    starts = begins[flat] | (flat == END)
-    starts[:: windows.shape[1]] = True
-    first = np.flatnonzero(starts)
-    if alone is None:
-        k = word_classes(flat, first, features, centres)
-    else:
-        k = alone[flat[first]]
-        size = np.diff(np.r_[first, len(flat)])
-        long = np.flatnonzero(size > 1)
-        at = np.cumsum(size[long]) - size[long]
-        k[long] = word_classes(flat[np.arange(int(size[long].sum())) + np.repeat(first[long] - at, size[long])], at, features, centres)
-    k[flat[first] == END] = WORD_CLASSES - 1
-    out.ravel()[first] = k
-    out[:, 0] = -1
-    begin = windows.shape[1] - 1 - np.argmax(starts.reshape(windows.shape)[:, ::-1], axis=1)
-    cut = windows[np.arange(len(windows)), begin] != END
-    out[np.flatnonzero(cut), begin[cut]] = -1
-    return out[:, CONTEXT + 1 :]
+    windows, place = _windows(stream)
+    goals = np.full(len(windows) * STRIDE, -1)
+    goals[place] = classes_at(stream, features, centres, begins, alone)
+    return windows, goals.reshape(-1, STRIDE)
+
+
+def _apply(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """a @ b for an a of many rows."""
+    out, whole = np.empty((len(a), b.shape[1]), np.float32), len(a) // PIECE * PIECE
+    np.matmul(a[:whole].reshape(-1, PIECE, a.shape[1]), b, out=out[:whole].reshape(-1, PIECE, b.shape[1]))
+    np.matmul(a[whole:], b, out=out[whole:])
+    return out
+
+
+def _sum_of(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """a.T @ b for an a and b of many rows."""
+    whole = len(a) // PIECE * PIECE
+    parts = a[:whole].reshape(-1, PIECE, a.shape[1]).transpose(0, 2, 1) @ b[:whole].reshape(-1, PIECE, b.shape[1])
+    return parts.sum(axis=0) + a[whole:].T @ b[whole:]
 
 
 _INPUTS = CONTEXT + STRIDE
 _DISTANCE = np.arange(CONTEXT, _INPUTS)[:, None] - np.arange(_INPUTS)[None, :]
 _CAUSAL = _DISTANCE >= 0
+#: Distance of each place from each input, the last index where it comes before; what adds up each distance; ones; a row for each class.
+_POSITION = np.where(_CAUSAL, _DISTANCE, _INPUTS)
+_BY_DISTANCE = np.eye(_INPUTS + 1, dtype=np.float32)[_POSITION.ravel(), :_INPUTS]
+_ONES = np.ones(max(_INPUTS, CLASSES, WORD_CLASSES), np.float32)
+_HOT = np.eye(CLASSES, dtype=np.float32)
+#: Rows whose logits are held at once.
+_ROWS = 24 * PIECE
 #: Logits are cut here on both sides before exp in training, far beyond what matters.
 _MOST = np.float32(60)
 
@@ -311,55 +402,81 @@ class Attention:
         return x, q, k, v, a, c, before, _softmax(c @ p["o"] + p["t"][before] + p["b"]), _softmax(c @ p["wo"] + p["wt"][before] + p["wb"])
 
     def step(self, w: np.ndarray, word: np.ndarray, rate: float, state: dict) -> None:
-        """One step of Adam on a batch of windows; state holds the moments."""
-        p, n = self.p, len(w)
+        """One step of Adam on a batch of windows; state holds the moments, and the parameters one after another."""
+        if "all" not in state:
+            state["all"] = np.concatenate([x.ravel() for x in self.p.values()])
+            state["m1"], state["m2"], state["n"] = np.zeros_like(state["all"]), np.zeros_like(state["all"]), 0
+            cuts = np.cumsum([x.size for x in self.p.values()])
+            self.p = {k: x.reshape(v.shape) for (k, v), x in zip(self.p.items(), np.split(state["all"], cuts[:-1]))}
+            state["norm"] = max(1e-9, float(np.linalg.norm(self.features, axis=1).max()))
+        p, n, scale = self.p, len(w), np.float32(1 / math.sqrt(WIDTH))
         flat = lambda m: m.reshape(-1, m.shape[-1])
-        x = self.features.take(w[:, :-1], axis=0)
-        own, keys = flat(x[:, CONTEXT:]), flat(x)
-        q, kv = (own @ p["q"]).reshape(n, STRIDE, WIDTH), (keys @ np.hstack([p["k"], p["v"]])).reshape(n, _INPUTS, 2 * WIDTH)
-        k, v = kv[..., :WIDTH], kv[..., WIDTH:]
-        a = q @ k.transpose(0, 2, 1)
-        a *= np.float32(1 / math.sqrt(WIDTH))
-        np.exp(np.clip(a, -_MOST, _MOST, out=a), out=a)
-        a *= np.where(_CAUSAL, np.exp(p["r"][np.abs(_DISTANCE)]), np.float32(0))
-        a /= a @ np.ones((_INPUTS, 1), np.float32)
+        x = self.features.take(w[:, :-1], axis=0).reshape(-1, FEATURES)
+        y = _apply(x, np.hstack([p["q"] * scale, p["k"], p["v"]])).reshape(n, _INPUTS, 3 * WIDTH)
+        q, k, v = y[:, CONTEXT:, :WIDTH], y[..., WIDTH : 2 * WIDTH], y[..., 2 * WIDTH :]
+        across = np.empty((n, 2 * WIDTH + 1, _INPUTS), np.float32)  # keys, values and a one, place by place
+        across[:, :-1] = y[..., WIDTH:].transpose(0, 2, 1)
+        across[:, -1] = 1
+        a = q @ across[:, :WIDTH]
+        if np.vdot(p["q"], p["q"]) * np.vdot(p["k"], p["k"]) * (scale * state["norm"] ** 2) ** 2 > _MOST**2:  # else no logit gets there
+            np.clip(a, -_MOST, _MOST, out=a)
+        np.exp(a, out=a)
+        a *= np.append(np.exp(p["r"]), np.float32(0))[_POSITION]
+        weight = 1 / (flat(a) @ _ONES[:_INPUTS])[:, None]
         c = flat(a @ v)
-        before, target = self.classes[w[:, CONTEXT:-1]].ravel(), self.classes[w[:, CONTEXT + 1 :]].ravel()
-
-        def error(c, before, o, t, target):
-            """What the mean loss of each row gives its logits."""
-            z = c @ o
-            z += (t - t.max(axis=1, keepdims=True)).take(before, axis=0)
-            np.exp(np.clip(z, -_MOST, _MOST, out=z), out=z)
-            z /= z @ np.full((z.shape[1], 1), max(1, len(z)), np.float32)
-            z[np.arange(len(z)), target] -= np.float32(1 / max(1, len(z)))
-            return z
-
-        dz = error(c, before, p["o"], p["t"] + p["b"], target)
+        c *= weight
+        of_class = self.classes.take(w[:, CONTEXT:])
+        before, target = of_class[:, :-1].ravel(), of_class[:, 1:].ravel()
+        most = max(c.max(initial=0), -c.min(initial=0))
+
+        def learn(c, before, o, t, target):
+            """What the mean loss of each row gives c, o and t."""
+            m, wide, back = len(c), o.shape[1], np.ascontiguousarray(o.T)
+            t = t - t.max(axis=1, keepdims=True)
+            cut = most * np.abs(o).sum(axis=0).max() - t.min() > _MOST
+            dc, to_o, to_t = np.empty_like(c), np.zeros_like(o), np.zeros_like(t)
+            for i in range(0, m, _ROWS):
+                some = slice(i, i + _ROWS)
+                near, last = c[some], before[some]
+                z = _apply(near, o)
+                z += t.take(last, axis=0)
+                if cut:
+                    np.clip(z, -_MOST, _MOST, out=z)
+                np.exp(z, out=z)
+                z *= (1 / ((z @ _ONES[:wide]) * np.float32(m)))[:, None]
+                z.ravel()[np.arange(0, z.size, wide) + target[some]] -= np.float32(1 / m)
+                dc[some] = _apply(z, back)
+                to_o += _sum_of(near, z)
+                to_t += _sum_of(_HOT.take(last, axis=0), z)
+            return dc, to_o, to_t
+
+        g = {}
+        dc, g["o"], g["t"] = learn(c, before, p["o"], p["t"] + p["b"], target)
         at = np.flatnonzero(word.ravel() >= 0)
-        cw = c.take(at, axis=0)
-        dw = error(cw, before[at], p["wo"], p["wt"] + p["wb"], word.ravel()[at])
-        hot = np.eye(CLASSES, dtype=np.float32).take(before, axis=0)
-        g = {"o": c.T @ dz, "t": hot.T @ dz, "wo": cw.T @ dw, "wt": hot.take(at, axis=0).T @ dw}
-        g |= {"b": g["t"].sum(0), "wb": g["wt"].sum(0)}
-        dc = dz @ p["o"].T
-        dc[at] += dw @ p["wo"].T
-        held = (dc * c).sum(axis=1).reshape(n, STRIDE, 1)
-        dc = dc.reshape(n, STRIDE, WIDTH)
-        ds = dc @ v.transpose(0, 2, 1)
-        ds -= held
+        more, g["wo"], g["wt"] = learn(c.take(at, axis=0), before.take(at), p["wo"], p["wt"] + p["wb"], word.ravel().take(at))
+        dc[at] += more
+        g["b"], g["wb"] = g["t"].sum(0), g["wt"].sum(0)
+        held = np.empty((n * STRIDE, WIDTH + 1), np.float32)
+        np.multiply(dc, weight, out=held[:, :-1])
+        np.multiply(np.einsum("ij,ij->i", dc, c), -weight[:, 0], out=held[:, -1])
+        held = held.reshape(n, STRIDE, WIDTH + 1)
+        ds = held @ across[:, WIDTH:]
         ds *= a
-        g["r"] = np.bincount(np.abs(_DISTANCE).ravel(), weights=np.where(_CAUSAL, ds.sum(0), 0).ravel(), minlength=_INPUTS).astype(np.float32)
-        ds *= np.float32(1 / math.sqrt(WIDTH))
-        g["q"] = own.T @ flat(ds @ k)
-        both = keys.T @ flat(np.concatenate([ds.transpose(0, 2, 1) @ q, a.transpose(0, 2, 1) @ dc], axis=2))
-        g["k"], g["v"] = both[:, :WIDTH], both[:, WIDTH:]
-        state["n"] = state.get("n", 0) + 1
-        for name, value in self.p.items():
-            m1, m2 = state.setdefault(name, (np.zeros_like(value), np.zeros_like(value)))
-            m1 += 0.1 * (g[name] - m1)
-            m2 += 0.01 * (g[name] ** 2 - m2)
-            value -= rate * min(1.0, state["n"] / 20) * (m1 / (1 - 0.9 ** state["n"])) / (np.sqrt(m2 / (1 - 0.99 ** state["n"])) + 1e-8)
+        g["r"] = (_ONES[:1].repeat(n) @ ds.reshape(n, -1)) @ _BY_DISTANCE
+        back = np.empty((n, _INPUTS, 3 * WIDTH), np.float32)
+        back[:, :CONTEXT, :WIDTH] = 0
+        np.matmul(ds, k, out=back[:, CONTEXT:, :WIDTH])
+        np.matmul(ds.transpose(0, 2, 1), q, out=back[..., WIDTH : 2 * WIDTH])
+        np.matmul(a.transpose(0, 2, 1), held[..., :-1], out=back[..., 2 * WIDTH :])
+        both = _sum_of(x, flat(back))
+        g["q"], g["k"], g["v"] = both[:, :WIDTH] * scale, both[:, WIDTH : 2 * WIDTH], both[:, 2 * WIDTH :]
+        state["n"] += 1
+        slope = np.concatenate([g[name].ravel() for name in p])
+        m1, m2 = state["m1"], state["m2"]
+        m1 += np.float32(0.1) * (slope - m1)
+        m2 += np.float32(0.01) * (slope * slope - m2)
+        pace = np.float32(rate * min(1.0, state["n"] / 20) / (1 - 0.9 ** state["n"]))
+        state["all"] -= pace * m1 / (np.sqrt(m2 * np.float32(1 / (1 - 0.99 ** state["n"]))) + np.float32(1e-8))
 
     def loss(self, windows: np.ndarray) -> float:
         y = self._forward(windows)[-2]
@@ -393,31 +510,34 @@ def log_probabilities(stream: np.ndarray, ends: np.ndarray, m: dict, word: np.nd
     first = np.zeros(size // STRIDE, bool)
     first[fresh] = True
     out, named = np.empty(size, np.float32), np.zeros(size, np.float32)
-    one = np.ones(CLASSES, np.float32), np.ones(WORD_CLASSES, np.float32)
+    kinds, within = m["class"].astype(np.int64), m["within"].ravel()
     for i in range(0, len(first), batch):
         n = min(batch, len(first) - i)
         lo, hi = i * STRIDE, (i + n) * STRIDE
-        ids, own = inputs[lo : hi + CONTEXT], inputs[lo + CONTEXT : hi + CONTEXT]
-        kv = m["kv"][ids]
-        window = np.lib.stride_tricks.as_strided(kv, (n, _INPUTS, kv.shape[1]), (STRIDE * kv.strides[0], *kv.strides))
-        w = m["q"][own].reshape(n, STRIDE, WIDTH) @ window[:, :, :WIDTH].transpose(0, 2, 1)
+        ids = inputs[lo : hi + CONTEXT]
+        own, to = ids[CONTEXT:], target[lo:hi]
+        kv = m["kv"].take(ids, axis=0)
+        across = np.ascontiguousarray(kv[:, :WIDTH].T)
+        windows = lambda x, *shape, by: np.lib.stride_tricks.as_strided(x, (n, *shape), (STRIDE * by, *x.strides))  # noqa: B023, E731
+        w = m["q"].take(own, axis=0).reshape(n, STRIDE, WIDTH) @ windows(across, WIDTH, _INPUTS, by=across.strides[1])
         np.exp(w, out=w)
         w *= m["m"]
-        w[first[i : i + n], :, :CONTEXT] = 0
-        c = (w @ window[:, :, WIDTH:]).reshape(-1, WIDTH + 1)  # the last column sums the weights
+        w[np.flatnonzero(first[i : i + n]), :, :CONTEXT] = 0
+        c = (w @ windows(kv[:, WIDTH:], _INPUTS, WIDTH + 1, by=kv.strides[0])).reshape(-1, WIDTH + 1)  # the last column sums the weights
         c = c[:, :WIDTH] / c[:, WIDTH:]
-        before, to = m["class"][own], target[lo:hi]
-        z = c @ m["o"]
-        z += m["t"][before]
-        got = z[np.arange(len(z)), m["class"][to]]
-        np.exp(z, out=z)
-        out[lo:hi] = got - np.log(z @ one[0]) + m["within"][before, to]
+        before = kinds.take(own)
+
+        def gained(c, o, t, before, k):
+            """Log share of class k of each row."""
+            z = _apply(c, o)
+            z += t.take(before, axis=0)
+            got = z.ravel().take(np.arange(0, z.size, z.shape[1]) + k)
+            np.exp(z, out=z)
+            return got - np.log(z @ _ONES[: z.shape[1]])
+
+        out[lo:hi] = gained(c, m["o"], m["t"], before, kinds.take(to)) + within.take(before * IDS + to)
         at = np.flatnonzero(goal[lo:hi] >= 0)
-        z = c[at] @ m["wo"]
-        z += m["wt"][before[at]]
-        got = z[np.arange(len(z)), goal[lo:hi][at]]
-        np.exp(z, out=z)
-        named[lo + at] = got - np.log(z @ one[1])
+        named[lo + at] = gained(c.take(at, axis=0), m["wo"], m["wt"], before.take(at), goal[lo:hi].take(at))
     tenth = np.float32(1 / math.log(10))
     return out[place] * tenth, named[place] * tenth
 
@@ -450,27 +570,28 @@ def descend(docs: DataFrame, model: Attention, centres: np.ndarray) -> dict:
         own = Attention(own.classes, own.features, p={k: v.copy() for k, v in own.p.items()})
         begins, state = _space_ids(encoder()), {}
         alone = word_classes(np.arange(IDS), np.arange(IDS), own.features, centres)
-        hold, done = np.zeros((0, _INPUTS + 1), np.int64), 0
+        hold, goals, done = np.zeros((0, _INPUTS + 1), np.int64), np.zeros((0, STRIDE), np.int64), 0
 
-        def train(w):
-            targets = word_targets(w, own.features, centres, begins, alone)
+        def train(w, targets):
             if not state:
                 there = targets >= 0
                 seen = np.bincount(own.classes[w[:, CONTEXT:-1]][there] * WORD_CLASSES + targets[there], minlength=CLASSES * WORD_CLASSES)
                 own.p["wt"] = _given(seen.reshape(CLASSES, WORD_CLASSES), own.p["wb"])
-            for i in range(0, len(w), BATCH):
-                own.step(w[i : i + BATCH], targets[i : i + BATCH], RATE, state)
+            size = LATER if state.get("n", 0) >= STEADY else BATCH
+            for i in range(0, len(w), size):
+                own.step(w[i : i + size], targets[i : i + size], RATE, state)
 
         for batch in batches:
-            for part in C.chunks(batch, "ids", CHUNK):
-                windows, n = text_windows(part.column("ids"))
-                hold = np.concatenate([hold, windows])
-                done += n
-                while len(hold) >= WARM * BATCH:
-                    train(hold[: WARM * BATCH])
-                    hold = hold[WARM * BATCH :]
+            for part in C.chunks(batch, "ids", TRAIN_CHUNK):
+                windows, targets = training_windows(part.column("ids"), own.features, centres, begins, alone)
+                hold, goals = np.concatenate([hold, windows]), np.concatenate([goals, targets])
+                done += len(windows)
+                whole = len(hold) // (WARM * BATCH) * (WARM * BATCH)
+                for i in range(0, whole, WARM * BATCH):
+                    train(hold[i : i + WARM * BATCH], goals[i : i + WARM * BATCH])
+                hold, goals = hold[whole:], goals[whole:]
         if len(hold):
-            train(hold)
+            train(hold, goals)
         if done:
             flat = np.concatenate([*(own.p[k].ravel() * float(done) for k in own.p), [float(done)]])
             yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(flat), dtype=np.int32)), pa.array(flat.astype(np.float64))], names=["i", "x"])

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import ast
-import difflib
 import json
 import re
 
@@ -11,11 +10,15 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from corpusflow.functions.ratios import Known, ratio
 from corpusflow.plans import adapters  # noqa: F401  the tables that operators name
 from corpusflow.plans.catalog import apply, engine_table, operator, rows_only
+from corpusflow.plans.durable import written
 
 #: Characters that the similarity compares, as the operator is defined.
 COMPARED = 4000
+#: Notes of one block that a task compares with as many others; how the work is dealt, not what is compared.
+DEALT = 256
 PAIRS = {"(": ")", "[": "]", "{": "}"}
 # What a formula may hold, and which words keep their hyphen.
 NESTED = 5
@@ -39,7 +42,8 @@ COMPOUND_TAILS = frozenset("based free like wise world time scale order level sp
 
 
 def _ratios(a: pd.Series, b: pd.Series) -> pd.Series:
-    return pd.Series([difflib.SequenceMatcher(None, x[:COMPARED], y[:COMPARED]).ratio() if x and y else 0.0 for x, y in zip(a, b)])
+    known = Known()
+    return pd.Series([ratio(known(x[:COMPARED]), known(y[:COMPARED])) if x and y else 0.0 for x, y in zip(a, b)], dtype="float64")
 
 
 def sequence_ratio(a, b):
@@ -146,12 +150,18 @@ FROM bodies
 
 
 def candidate_pairs(notes: DataFrame) -> DataFrame:
-    """Pairs of notes of one type blocked by the start of their title; lengths must allow a ratio of 0.4."""
-    key = F.substring(F.lower("title"), 1, 12)
-    a = notes.select(F.col("note_id").alias("a"), "note_type", key.alias("block"), F.col("body").alias("body_a"))
-    b = notes.select(F.col("note_id").alias("b"), "note_type", key.alias("block"), F.col("body").alias("body_b"))
+    """Pairs of notes of one type blocked by the start of their title; lengths must allow a ratio of 0.4.
+
+    A block is dealt into parts of some DEALT notes, and each pair of its parts is a key, so that no task has all pairs of a large block."""
+    kept = written(notes.select("note_id", "note_type", F.substring(F.lower("title"), 1, 12).alias("block"), "body"), "notes")
+    block = ["note_type", "block"]
+    large = kept.groupBy(*block).agg(F.ceil(F.count("*") / DEALT).cast("int").alias("parts")).where("parts > 1")
+    dealt = kept.join(large, block, "left").withColumn("parts", F.coalesce("parts", F.lit(1))).withColumn("part", F.pmod(F.xxhash64("note_id"), F.col("parts").cast("long")).cast("int"))
+    dealt = dealt.withColumn("other", F.explode(F.expr("sequence(0, parts - 1)")))
+    a = dealt.select(F.col("note_id").alias("a"), *block, F.col("part").alias("p"), F.col("other").alias("q"), F.col("body").alias("body_a"))
+    b = dealt.select(F.col("note_id").alias("b"), *block, F.col("other").alias("p"), F.col("part").alias("q"), F.col("body").alias("body_b"))
     la, lb = F.length("body_a"), F.length("body_b")
-    return a.join(b, ["note_type", "block"]).where("a < b").where(2 * F.least(la, lb) >= 0.4 * (la + lb))
+    return a.join(b, [*block, "p", "q"]).where("a < b").where(2 * F.least(la, lb) >= 0.4 * (la + lb)).drop("p", "q")
 
 
 def _notes(spark, sf_dir):

@@ -10,8 +10,11 @@ A null id is no note; a pair with itself, repeated pairs and pairs of unknown no
 
 from __future__ import annotations
 
+import hashlib
+from collections.abc import Iterator
 from dataclasses import dataclass
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -51,6 +54,8 @@ class Merge:
     notes: DataFrame
     #: merged, section, title, ord, note_id, block_ref, text: sections of one title stand where the first of them stood.
     blocks: DataFrame
+    #: merged, section, note_id, ord, text and what they stand by in the merged note: _first, place, note_id, ord.
+    placed: DataFrame
     #: src, dst, kind, rewritten: each link once.
     links: DataFrame
     #: from_note, target: redirected ids.
@@ -59,6 +64,10 @@ class Merge:
     lost: DataFrame
 
 
+#: Of the blocks in a merged note.
+_ORDER = ("_first", "place", "note_id", "ord")
+
+
 def merge(notes: DataFrame, blocks: DataFrame, links: DataFrame, pairs: DataFrame) -> Merge:
     """notes(note_id, place, title, aliases, tags, related), blocks(note_id, ord, section, text, block_ref), links(src, dst, kind), pairs(a, b)."""
     names = components(notes.select(F.col("note_id").alias("node")), pairs).select(F.col("node").alias("note_id"), F.col("label").alias("merged"))
@@ -74,10 +83,10 @@ def merge(notes: DataFrame, blocks: DataFrame, links: DataFrame, pairs: DataFram
         F.first("n_parts").alias("n_parts"),
     )
     placed = blocks.join(own.select("note_id", "merged", "place"), "note_id")
-    first = F.min(F.struct("place", "note_id", "ord")).over(Window.partitionBy("merged", "section"))
-    body = placed.withColumn("_first", F.when(F.col("section").isNull(), F.struct("place", "note_id", "ord")).otherwise(first))
-    order = Window.partitionBy("merged").orderBy("_first", "place", "note_id", "ord")
-    body = body.select("merged", "section", (F.row_number().over(order) - 1).cast("long").alias("ord"), "note_id", F.col("ord").alias("was"), "block_ref", "text")
+    first = placed.where("section IS NOT NULL").groupBy("merged", "section").agg(F.min(F.struct("place", "note_id", "ord")).alias("_first"))
+    placed = placed.join(first, ["merged", "section"], "left").withColumn("_first", F.coalesce("_first", F.struct("place", "note_id", "ord")))
+    order = Window.partitionBy("merged").orderBy(*_ORDER)
+    body = placed.select("merged", "section", (F.row_number().over(order) - 1).cast("long").alias("ord"), "note_id", F.col("ord").alias("was"), "block_ref", "text")
     to = lambda c: F.coalesce(F.col(f"{c}.merged"), F.col(f"l.{c}"))
     sent = links.alias("l").join(names.alias("src"), F.col("l.src") == F.col("src.note_id"), "left").join(names.alias("dst"), F.col("l.dst") == F.col("dst.note_id"), "left")
     sent = sent.select(to("src").alias("src"), to("dst").alias("dst"), "kind", ((to("src") != F.col("l.src")) | (to("dst") != F.col("l.dst"))).alias("rewritten"))
@@ -87,7 +96,34 @@ def merge(notes: DataFrame, blocks: DataFrame, links: DataFrame, pairs: DataFram
     refs = blocks.where("block_ref IS NOT NULL").select("block_ref").distinct().join(body.select("block_ref"), "block_ref", "left_anti")
     gone = names.where("note_id <> merged").select(F.col("note_id").alias("dst"))
     lost = refs.select(F.lit("reference").alias("what"), F.col("block_ref").alias("key")).union(sent.join(gone, "dst", "left_semi").select(F.lit("link"), F.col("dst")))
-    return Merge(names.select("note_id", "merged"), header, body, sent, debt, lost)
+    return Merge(names.select("note_id", "merged"), header, body, placed, sent, debt, lost)
+
+
+def _digested(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """merged, n_blocks and body, the digest of its texts between bars, of rows (merged, text) that come in order; one digest is held, and no text."""
+
+    def row():
+        return pa.RecordBatch.from_pylist([{"merged": now, "n_blocks": n, "body": digest and digest.hexdigest()}], _DIGESTED)
+
+    now, n, digest = None, 0, None
+    for batch in batches:
+        for merged, text in zip(*(batch.column(c).to_pylist() for c in ("merged", "text"))):
+            if merged != now:
+                if n:
+                    yield row()
+                now, n, digest = merged, 0, None
+            n += 1
+            if text is not None:
+                if digest is None:
+                    digest = hashlib.sha256()
+                else:
+                    digest.update(b"|")
+                digest.update(text.encode())
+    if n:
+        yield row()
+
+
+_DIGESTED = pa.schema([("merged", pa.string()), ("n_blocks", pa.int64()), ("body", pa.string())])
 
 
 table(
@@ -114,6 +150,7 @@ o AS (SELECT *, min(place * 1000000 + ord) OVER (PARTITION BY merged, section) A
 t AS (SELECT merged, count(*)::BIGINT AS n_blocks, count(DISTINCT section)::BIGINT AS n_sections, sha256(string_agg(text, '|' ORDER BY f, place, ord)) AS body FROM o GROUP BY merged)
 SELECT h.merged, h.n_parts, h.title, array_to_string(aliases, ',') AS aliases, array_to_string(tags, ',') AS tags, coalesce(n_blocks, 0) AS n_blocks, coalesce(n_sections, 0) AS n_sections, body, 0::BIGINT AS lost FROM h LEFT JOIN t ON t.merged = h.merged
 """,
+    first=("blocks", "notes"),
     notes="merge_notes",
     blocks="merge_blocks",
     links="note_links",
@@ -122,11 +159,12 @@ SELECT h.merged, h.n_parts, h.title, array_to_string(aliases, ',') AS aliases, a
 def dup_merge(notes, blocks, links, pairs):
     """Merged notes with united headers and sections, and how many references or links the merges lost."""
     done = merge(notes, blocks, links, pairs)
-    sections = F.countDistinct(F.coalesce("section", F.concat("note_id", F.lit(" "), F.col("was").cast("string"))))
-    text = F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("ord", "text"))), lambda x: x.text), "|"), 256)
-    body = done.blocks.groupBy("merged").agg(F.count("*").alias("n_blocks"), sections.alias("n_sections"), text.alias("body"))
+    sections = F.countDistinct(F.coalesce("section", F.concat("note_id", F.lit(" "), F.col("ord").cast("string"))))
+    sections = done.placed.groupBy("merged").agg(sections.alias("n_sections"))
+    # a merged note may hold a share of all texts, so they stream in order into its digest
+    body = done.placed.repartition("merged").sortWithinPartitions("merged", *_ORDER).select("merged", "text").mapInArrow(_digested, "merged string, n_blocks long, body string")
     lost = done.lost.agg(F.count("*").alias("lost"))
-    out = done.notes.join(body, "merged", "left").crossJoin(F.broadcast(lost))
+    out = done.notes.join(body, "merged", "left").join(sections, "merged", "left").crossJoin(F.broadcast(lost))
     return out.select("merged", "n_parts", "title", F.array_join("aliases", ",").alias("aliases"), F.array_join("tags", ",").alias("tags"), F.coalesce("n_blocks", F.lit(0)).cast("long").alias("n_blocks"), F.coalesce("n_sections", F.lit(0)).cast("long").alias("n_sections"), "body", "lost")
 
 

@@ -19,9 +19,7 @@ FROM (SELECT doc_id, lang, source, ls, $explode($range($long(1), $size(ls))) AS
       FROM (SELECT doc_id, lang, source, $split(coalesce(text, ''), r'\\n') AS ls FROM {documents}))
 """,
 )
-table(
-    "blocks",
-    """
+_BLOCKS = """
 WITH kept AS (
   SELECT doc_id, lang, source, pos, line, row_number() OVER (PARTITION BY doc_id ORDER BY pos) - 1 AS block_index
   FROM {lines} WHERE $matches(line, r'[^\\x20\\x09-\\x0D]')
@@ -35,7 +33,23 @@ SELECT substr($sha1($sha256(source) || '/doc-' || $text(doc_id) || $text($long(b
        $double((block_index * 37 + doc_id * 13) % 100) / 100 AS confidence,
        CASE (block_index + doc_id) % 5 WHEN 0 THEN 'ocr' WHEN 1 THEN 'reconstructed' ELSE 'native' END AS origin
 FROM kept LEFT JOIN often ON kept.line = often.line
+"""
+_said = r"split(coalesce(text, ''), r'\n', -1)"
+# Spark's form of the same. A line is often or not wherever it stands, so digests tell what the texts would: the digests of a document's often lines come to the document, and the texts
+# are dealt once, by document. Missing ids share the place of id -1, where a digest too many does no harm.
+_columns = _BLOCKS[_BLOCKS.index("SELECT substr") : _BLOCKS.index("FROM kept")].replace("often.line IS NOT NULL", "often")
+table(
+    "blocks",
+    f"""
+WITH said AS (SELECT coalesce(doc_id, -1) AS k, doc_id, unhex(sha1(line)) AS h FROM (SELECT doc_id, explode({_said}) AS line FROM {{documents}}) WHERE $matches(line, r'[^\\x20\\x09-\\x0D]')),
+often AS (SELECT h FROM said GROUP BY h HAVING count(DISTINCT doc_id) >= 3),
+flags AS (SELECT k, collect_set(said.h) AS hs FROM said JOIN often ON said.h = often.h GROUP BY k),
+cut AS (SELECT d.k, doc_id, lang, source, posexplode(transform({_said}, l -> struct(l AS line, coalesce(array_contains(hs, unhex(sha1(l))), false) AS often))) AS (pos, said)
+        FROM (SELECT coalesce(doc_id, -1) AS k, doc_id, lang, source, text FROM {{documents}}) d LEFT JOIN flags ON d.k = flags.k),
+kept AS (SELECT doc_id, lang, source, said.line, said.often, row_number() OVER (PARTITION BY k, doc_id ORDER BY pos) - 1 AS block_index FROM cut WHERE $matches(said.line, r'[^\\x20\\x09-\\x0D]'))
+{_columns}FROM kept
 """,
+    _BLOCKS,
 )
 _types = "CASE (b.block_index % 14) " + " ".join(f"WHEN {i} THEN '{t}'" for i, t in enumerate(UNIT_TYPES)) + " END"
 table(

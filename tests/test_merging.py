@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import hashlib
 import random
 import re
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -128,3 +130,17 @@ def test_a_correction_that_another_reaches_into_is_not_undone_alone(spark):
     got = {r.rule: r.final for r in E.placed(E.edit_log(df)).collect()}
     assert got == {"R003": None, "R009": 2} and df.first().fixed == "x 1.\n\nAa"
     assert df.where(F.col("text") == F.col("fixed")).count() == 0
+
+
+def test_no_task_holds_the_texts_of_a_merged_note(spark):
+    """Chains join a share of all notes, so texts stream into a digest."""
+    plan = registry.QUERIES["dup_merge"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert "collect_list(struct(ord" not in plan
+
+
+def test_digest_over_batches():
+    rows = [{"merged": m, "text": t} for m, t in (("a", "x"), ("a", None), ("a", "yé"), ("b", None), ("c", ""), ("c", "z"))]
+    for size in (1, 2, 6):
+        batches = [pa.RecordBatch.from_pylist(rows[i : i + size], pa.schema([("merged", pa.string()), ("text", pa.string())])) for i in range(0, 6, size)]
+        got = [tuple(r.values()) for b in M._digested(iter(batches)) for r in b.to_pylist()]
+        assert got == [("a", 3, hashlib.sha256("x|yé".encode()).hexdigest()), ("b", 1, None), ("c", 2, hashlib.sha256(b"|z").hexdigest())]

@@ -31,17 +31,22 @@ def _beginnings(values: str, gap: float) -> str:
 
 
 def cells(words: DataFrame, regions: DataFrame) -> DataFrame:
-    """page, region_id, r, c from 0, header, text and the extent of each cell; words(page, word_id, x, y, w, h, font_size, font_name, text), regions(page, region_id, x, y, w, h). y rises upward."""
-    body = words.where("font_size > 0").groupBy("page", "font_size").agg(F.count("*").alias("n")).groupBy("page").agg(F.min_by("font_size", F.struct(-F.col("n"), "font_size")).alias("body"))
+    """page, region_id, r, c from 0, header, text and the extent of each cell; words(page, word_id, x, y, w, h, font_size, font_name, text), regions(page, region_id, x, y, w, h). y rises upward.
+
+    Words are dealt once, by page: groups of a page are made where it is, and what holds of a region comes to its words in their group, not by a join."""
+    sizes = F.count("*").over(Window.partitionBy("page", "font_size"))
+    body = F.min_by(F.when(F.col("font_size") > 0, F.col("font_size")), F.when(F.col("font_size") > 0, F.struct(-F.col("_n"), "font_size"))).over(Window.partitionBy("page"))
+    words = words.withColumn("_n", sizes).withColumn("body", body)
     w = words.where("x IS NOT NULL AND y IS NOT NULL AND w IS NOT NULL AND h IS NOT NULL AND text IS NOT NULL").alias("w")
     r = regions.alias("r")
     touch = (F.col("w.page") == F.col("r.page")) & (F.least(F.expr("r.x + r.w"), F.expr("w.x + w.w")) >= F.greatest("r.x", "w.x")) & (F.least(F.expr("r.y + r.h"), F.expr("w.y + w.h")) >= F.greatest("r.y", "w.y"))
-    found = w.join(r, touch).select("r.page", "r.region_id", "w.word_id", *(F.col(f"w.{c}").cast("double").alias(c) for c in ("x", "y", "w", "h", "font_size")), "w.font_name", F.trim("w.text").alias("text")).withColumn("mid", F.col("y") + F.col("h") / 2)
-    rows = found.groupBy(*REGION).agg(F.count("*").alias("n"), F.sort_array(F.collect_set("mid")).alias("ys")).where("n >= 4").select(*REGION, F.expr(_beginnings("ys", ROW_GAP)).alias("starts")).where("size(starts) >= 2")
-    placed = found.join(rows, list(REGION)).withColumn("r", F.expr("size(starts) - size(filter(starts, s -> s <= mid))")).drop("starts")
-    columns = placed.groupBy(*REGION, "r").agg(F.sort_array(F.collect_set("x")).alias("xs")).select(*REGION, "r", F.expr(_beginnings("xs", COLUMN_GAP)).alias("starts"))
-    placed = placed.join(columns, [*REGION, "r"]).withColumn("c", F.expr("size(filter(starts, s -> s <= x)) - 1")).drop("starts")
-    placed = placed.join(body, "page", "left").withColumn("strong", F.coalesce(F.col("font_name"), F.lit("")).rlike(BOLD) | F.coalesce(F.col("font_size") >= HEADER_SIZE * F.coalesce("body", F.lit(12.0)), F.lit(False)))
+    strong = F.coalesce(F.col("w.font_name"), F.lit("")).rlike(BOLD) | F.coalesce(F.col("w.font_size").cast("double") >= HEADER_SIZE * F.coalesce("w.body", F.lit(12.0)), F.lit(False))
+    found = w.join(r, touch).select("r.page", "r.region_id", "w.word_id", *(F.col(f"w.{c}").cast("double").alias(c) for c in ("x", "y", "w", "h")), strong.alias("strong"), F.trim("w.text").alias("text")).withColumn("mid", F.col("y") + F.col("h") / 2)
+    held = F.collect_list(F.struct("word_id", "x", "y", "w", "h", "strong", "text", "mid")).alias("held")
+    rows = found.groupBy(*REGION).agg(held, F.sort_array(F.collect_set("mid")).alias("ys")).where("size(held) >= 4").withColumn("starts", F.expr(_beginnings("ys", ROW_GAP))).where("size(starts) >= 2")
+    placed = rows.select(*REGION, "starts", F.inline("held")).withColumn("r", F.expr("size(starts) - size(filter(starts, s -> s <= mid))")).drop("starts")
+    columns = placed.groupBy(*REGION, "r").agg(held, F.sort_array(F.collect_set("x")).alias("xs")).withColumn("starts", F.expr(_beginnings("xs", COLUMN_GAP)))
+    placed = columns.select(*REGION, "r", "starts", F.inline("held")).withColumn("c", F.expr("size(filter(starts, s -> s <= x)) - 1")).drop("starts")
     told = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("x", "word_id", "text"))), lambda t: t.text), " ")
     grid = placed.groupBy(*REGION, "r", "c").agg(F.trim(told).alias("text"), F.max("strong").alias("strong"), F.min("x").alias("x0"), F.max(F.col("x") + F.col("w")).alias("x1"), F.min("y").alias("y0"), F.max(F.col("y") + F.col("h")).alias("y1"), F.avg("w").alias("width"), F.sum("h").alias("heights"), F.count("*").alias("n"), F.collect_list(F.col("x") + F.col("w") / 2).alias("centres"))
     # the head is the unbroken run of strong rows at the top
@@ -77,21 +82,23 @@ def merged_cells(words: DataFrame, regions: DataFrame) -> DataFrame:
 
 # A table for each order: a head, a row for each of its lines, now and then a title over all columns, a cell of several rows, two words in a cell.
 _word = lambda k, x, dy, w, h, text, font, size, where: f"SELECT l_orderkey AS page, n * 16 + {k} AS word_id, {x} AS x, 900 - n * 20 + {dy} AS y, {w} AS w, {h} AS h, {size} AS font_size, '{font}' AS font_name, {text} AS text FROM l WHERE {where}"
+_DRAWN = (
+    (0, "0 + l_partkey % 5", "l_partkey % 4", 30, 10, "'p' || $text(l_partkey)", "Serif", "10.0E0", "true"),
+    (1, "100", "0", 30, 10, "$text($long(l_quantity))", "Serif", "10.0E0", "l_partkey % 6 <> 0"),
+    (2, "200", "1", 25, "CASE WHEN l_orderkey % 7 = 0 AND n = 1 THEN 60 ELSE 10 END", "l_returnflag", "Serif", "10.0E0", "true"),
+    (3, "204", "1", 20, 10, "'x'", "Serif", "10.0E0", "l_partkey % 3 = 0"),
+    (4, "0", "20", 20, 10, "'Part'", "Serif-Bold", "10.0E0", "n = 1 AND l_orderkey % 4 <> 0"),
+    (5, "100", "20", 20, 10, "'Count'", "Serif", "12.0E0", "n = 1 AND l_orderkey % 4 <> 0"),
+    (6, "200", "20", 20, 10, "'Flag'", "Serif", "10.0E0", "n = 1"),
+    (7, "10", "40", 260, 10, "'Order ' || $text(l_orderkey)", "Serif", "10.0E0", "n = 1 AND l_orderkey % 5 = 0"),
+)
+_LINES = "WITH l AS (SELECT l_orderkey, l_partkey, l_quantity, l_returnflag, $long(row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice)) AS n FROM {lineitem})\n"
+# Spark makes all words of a line at once, so that lines are dealt once and not for each kind of word.
+_struct = lambda k, x, dy, w, h, text, font, size, where: f"struct({where} AS drawn, n * 16 + {k} AS word_id, cast({x} AS BIGINT) AS x, cast(900 - n * 20 + {dy} AS BIGINT) AS y, {w} AS w, {h} AS h, {size} AS font_size, '{font}' AS font_name, {text} AS text)"
 table(
     "sheet_words",
-    "WITH l AS (SELECT l_orderkey, l_partkey, l_quantity, l_returnflag, $long(row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice)) AS n FROM {lineitem})\n"
-    + "\nUNION ALL ".join(
-        [
-            _word(0, "0 + l_partkey % 5", "l_partkey % 4", 30, 10, "'p' || $text(l_partkey)", "Serif", "10.0E0", "true"),
-            _word(1, "100", "0", 30, 10, "$text($long(l_quantity))", "Serif", "10.0E0", "l_partkey % 6 <> 0"),
-            _word(2, "200", "1", 25, "CASE WHEN l_orderkey % 7 = 0 AND n = 1 THEN 60 ELSE 10 END", "l_returnflag", "Serif", "10.0E0", "true"),
-            _word(3, "204", "1", 20, 10, "'x'", "Serif", "10.0E0", "l_partkey % 3 = 0"),
-            _word(4, "0", "20", 20, 10, "'Part'", "Serif-Bold", "10.0E0", "n = 1 AND l_orderkey % 4 <> 0"),
-            _word(5, "100", "20", 20, 10, "'Count'", "Serif", "12.0E0", "n = 1 AND l_orderkey % 4 <> 0"),
-            _word(6, "200", "20", 20, 10, "'Flag'", "Serif", "10.0E0", "n = 1"),
-            _word(7, "10", "40", 260, 10, "'Order ' || $text(l_orderkey)", "Serif", "10.0E0", "n = 1 AND l_orderkey % 5 = 0"),
-        ]
-    ),
+    _LINES + f"SELECT page, word_id, x, y, w, h, font_size, font_name, text FROM (SELECT l_orderkey AS page, inline(array({', '.join(_struct(*d) for d in _DRAWN)})) FROM l) WHERE drawn",
+    _LINES + "\nUNION ALL ".join(_word(*d) for d in _DRAWN),
 )
 table("sheet_regions", "SELECT DISTINCT l_orderkey AS page, $long(1) AS region_id, 0 AS x, 700 AS y, 400 AS w, 300 AS h FROM {lineitem} UNION ALL SELECT DISTINCT l_orderkey, $long(2), 500, 0, 10, 10 FROM {lineitem} WHERE l_orderkey % 3 = 0")
 

@@ -160,3 +160,10 @@ def test_spans_of_columns_and_rows(spark):
 @pytest.mark.parametrize("make", [lambda s: G.tables(s.createDataFrame([], WORDS), s.createDataFrame([], REGIONS)), lambda s: K.marks(s.createDataFrame([], "id long, line string")), lambda s: D.violations(s.createDataFrame([], "diagram_id long, src string, alt string, content string"))])
 def test_nothing_from_nothing(spark, make):
     assert make(spark).count() == 0
+
+
+@pytest.mark.parametrize("name", ["tab_extract", "tab_merged_cells"])
+def test_words_of_a_page_are_dealt_once(spark, name):
+    """Lines by page once, and the regions of both kinds; no exchange of words or cells."""
+    done = registry.QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert done.count("Exchange hashpartitioning") <= 5

@@ -69,12 +69,13 @@ def tables(words: DataFrame, regions: DataFrame) -> DataFrame:
 def merged_cells(words: DataFrame, regions: DataFrame) -> DataFrame:
     """page, region_id, r, c, rowspan, colspan and value of cells wider than SPAN columns with nothing else of their row in them, or higher than SPAN rows."""
     grid = cells(words, regions)
-    widths = grid.groupBy(*REGION, "c").agg(F.max("width").alias("width")).where("width > 0").groupBy(*REGION).agg(F.sort_array(F.collect_list("width")).alias("ws"))
-    widths = widths.select(*REGION, F.least(F.expr("ws[size(ws) div 2]"), F.expr("aggregate(ws, 0D, (s, x) -> s + x) / size(ws)") * 1.2).alias("col_w"))
-    heights = grid.groupBy(*REGION, "r").agg((F.sum("heights") / F.sum("n")).alias("row_h")).groupBy(*REGION).agg(F.avg("row_h").alias("row_h"))
-    line = Window.partitionBy(*REGION, "r")
-    df = grid.withColumn("all", F.flatten(F.collect_list("centres").over(line))).withColumn("inside", F.expr("size(filter(all, m -> x0 < m AND m < x1)) - size(filter(centres, m -> x0 < m AND m < x1))"))
-    df = df.join(widths, list(REGION), "left").join(heights, list(REGION)).withColumn("col_w", F.coalesce("col_w", F.lit(1.0)))
+    per, line, column = Window.partitionBy(*REGION), Window.partitionBy(*REGION, "r"), Window.partitionBy(*REGION, "c")
+    # a width for each column, its first row's, and a height for each row, its first column's
+    df = grid.withColumn("_width", F.max("width").over(column)).withColumn("_top", F.col("r") == F.min("r").over(column))
+    df = df.withColumn("_height", F.sum("heights").over(line) / F.sum("n").over(line)).withColumn("_left", F.col("c") == F.min("c").over(line))
+    df = df.withColumn("all", F.flatten(F.collect_list("centres").over(line))).withColumn("inside", F.expr("size(filter(all, m -> x0 < m AND m < x1)) - size(filter(centres, m -> x0 < m AND m < x1))")).drop("all", "centres")
+    df = df.withColumn("ws", F.sort_array(F.collect_list(F.when(F.col("_top") & (F.col("_width") > 0), F.col("_width"))).over(per))).withColumn("row_h", F.avg(F.when(F.col("_left"), F.col("_height"))).over(per))
+    df = df.withColumn("col_w", F.when(F.size("ws") > 0, F.least(F.expr("get(ws, cast(size(ws) div 2 AS INT))"), F.expr("aggregate(ws, 0D, (s, x) -> s + x) / size(ws)") * 1.2)).otherwise(1.0)).drop("ws")
     df = df.withColumn("wide", (F.col("x1") - F.col("x0") > SPAN * F.col("col_w")) & (F.col("inside") == 0)).withColumn("high", F.col("y1") - F.col("y0") > SPAN * F.col("row_h")).where("text <> '' AND (wide OR high)")
     span = lambda size, unit: F.greatest(F.lit(1), F.bround(size / F.greatest(unit, F.lit(1.0)), 0)).cast("long")
     return df.select(*REGION, F.col("r").cast("long").alias("r"), F.col("c").cast("long").alias("c"), F.when(F.col("high"), span(F.col("y1") - F.col("y0"), F.col("row_h"))).otherwise(1).alias("rowspan"), F.when(F.col("wide"), span(F.col("x1") - F.col("x0"), F.col("col_w"))).otherwise(1).alias("colspan"), F.col("text").alias("value"))

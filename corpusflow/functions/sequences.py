@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from corpusflow.functions.ratios import Known, ratio
 from corpusflow.plans import adapters  # noqa: F401  the tables that operators name
 from corpusflow.plans.catalog import apply, engine_table, operator, rows_only
+from corpusflow.plans.dialect import duck_sql
 from corpusflow.plans.durable import written
 
 #: Characters that the similarity compares, as the operator is defined.
@@ -124,9 +125,7 @@ def _listed(words: frozenset) -> str:
 
 
 _HEAD = r"^([a-z](?:[a-z-]*[a-z])?)([.,;:)\]]*)[ \t]+[^ \t]"
-operator(
-    "fn_dehyphenate",
-    f"""
+_DEHYPHENATED = f"""
 WITH pairs AS (
   SELECT doc_id, block_index, text, type = 'paragraph' AND lead(type) OVER w = 'paragraph' AND abs(font_size - lead(font_size) OVER w) <= 0.5 AS joinable,
          lower($extract(text, r'([A-Za-z]+)-[ \t]*$', 1)) AS prefix, $extract(lead(text) OVER w, r'{_HEAD}', 1) AS word, $extract(lead(text) OVER w, r'{_HEAD}', 2) AS punct
@@ -144,8 +143,32 @@ moves AS (
 ), bodies AS (SELECT doc_id, block_index, moved, kept, taken, CASE WHEN taken IS NULL THEN text ELSE $replace_all(substr(text, length(taken) + 1), r'^[ \t]+', '') END AS body FROM marked)
 SELECT doc_id, block_index, CASE WHEN moved IS NULL THEN body WHEN kept THEN $replace_all(body, r'[ \t]+$', '') || moved ELSE $replace_all(body, r'-[ \t]*$', '') || moved END AS text, moved, kept
 FROM bodies
+"""
+# Spark's form of the same: fragments are dealt once, by document, and no word is. The words that the cuts of a document ask for come to its fragments, and those that a
+# fragment has come back. A row without a document or a place is joined with nothing.
+_WORDS = r"[a-z]+(?:-[a-z]+)*"
+operator(
+    "fn_dehyphenate",
+    f"""
+WITH pairs AS (
+  SELECT doc_id, block_index, text, doc_id IS NOT NULL AND block_index IS NOT NULL AND type = 'paragraph' AND lead(type) OVER w = 'paragraph' AND abs(font_size - lead(font_size) OVER w) <= 0.5 AS joinable,
+         lower($extract(text, r'([A-Za-z]+)-[ \t]*$', 1)) AS prefix, $extract(lead(text) OVER w, r'{_HEAD}', 1) AS word, $extract(lead(text) OVER w, r'{_HEAD}', 2) AS punct
+  FROM {{fragments}} WINDOW w AS (PARTITION BY doc_id ORDER BY block_index)
+), cuts AS (SELECT doc_id, block_index, text, prefix, word, punct, coalesce(joinable AND length(prefix) >= 2 AND length(word) >= 1, false) AS cut FROM pairs),
+asked AS (SELECT doc_id, block_index, text, prefix, word, punct, cut, flatten(collect_set(CASE WHEN cut THEN array(prefix || '-' || word, prefix || word) END) OVER (PARTITION BY doc_id)) AS asked FROM cuts),
+had AS (SELECT doc_id, block_index, text, prefix, word, punct, cut, CASE WHEN size(asked) = 0 THEN array() ELSE array_intersect($all_matches(lower(text), r'{_WORDS}'), asked) END AS had FROM asked),
+known AS (SELECT doc_id, block_index, text, prefix, word, punct, cut, flatten(collect_set(CASE WHEN size(had) > 0 THEN had END) OVER (PARTITION BY doc_id)) AS known FROM had),
+moves AS (
+  SELECT doc_id, block_index, text, CASE WHEN cut THEN word || punct END AS moved,
+         CASE WHEN NOT cut THEN NULL WHEN array_contains(known, prefix || '-' || word) THEN TRUE WHEN array_contains(known, prefix || word) THEN FALSE ELSE prefix IN ({_listed(COMPOUND_PREFIXES)}) OR word IN ({_listed(COMPOUND_TAILS)}) OR $matches(word, r'-') END AS kept
+  FROM known
+), marked AS (SELECT doc_id, block_index, text, moved, kept, lag(moved) OVER (PARTITION BY doc_id ORDER BY block_index) AS taken FROM moves),
+bodies AS (SELECT doc_id, block_index, moved, kept, taken, CASE WHEN taken IS NULL THEN text ELSE $replace_all(substr(text, length(taken) + 1), r'^[ \t]+', '') END AS body FROM marked)
+SELECT doc_id, block_index, CASE WHEN moved IS NULL THEN body WHEN kept THEN $replace_all(body, r'[ \t]+$', '') || moved ELSE $replace_all(body, r'-[ \t]*$', '') || moved END AS text, moved, kept
+FROM bodies
 """,
     "Words cut at the end of a fragment joined with the first word of the next one of the same size, which keeps a word; the hyphen stays where the document's other words or fixed lists say so.",
+    oracle=duck_sql(_DEHYPHENATED),
 )
 
 

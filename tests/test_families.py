@@ -163,6 +163,15 @@ def test_words_cut_at_line_ends(spark):
     assert [got[6, i] for i in range(2)] == ["undo", "it"]
 
 
+def test_fragments_are_dealt_once_and_rows_without_a_document_stay(spark):
+    rows = [(None, 0, "un-", "paragraph", 10.0), (None, 1, "do it", "paragraph", 10.0), (1, 0, "re-", "paragraph", 10.0), (1, 1, "do it", "paragraph", 10.0), (1, 2, None, "paragraph", 10.0), (2, 0, "redo re-do", "paragraph", 10.0)]
+    out = apply("fn_dehyphenate", fragments=spark.createDataFrame(rows, "doc_id long, block_index long, text string, type string, font_size double"))
+    assert sorted(((r.doc_id or 0, r.block_index), r.text, r.moved, r.kept) for r in out.collect()) == [
+        ((0, 0), "un-", None, None), ((0, 1), "do it", None, None), ((1, 0), "re-do", "do", True), ((1, 1), "it", None, None), ((1, 2), None, None, None), ((2, 0), "redo re-do", None, None)
+    ]
+    assert out._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") == 1
+
+
 def test_slugs_keep_no_edge_hyphens(spark):
     rows = [(1, 0, "-- Intro!", "heading"), (1, 1, "Intro", "heading"), (1, 2, "text", "paragraph"), (1, 3, "(intro)", "heading")]
     blocks = spark.createDataFrame(rows, "doc_id long, block_index long, content string, type string")

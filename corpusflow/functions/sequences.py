@@ -172,6 +172,13 @@ FROM bodies
 )
 
 
+@rows_only("fn_dehyphenate")
+def fn_dehyphenate(spark, sf_dir):
+    made: dict[str, DataFrame] = {}
+    made["blocks"] = engine_table(spark, sf_dir, "dealt_blocks", made)
+    return apply("fn_dehyphenate", fragments=engine_table(spark, sf_dir, "fragments", made))
+
+
 def candidate_pairs(notes: DataFrame) -> DataFrame:
     """Pairs of notes of one type blocked by the start of their title; lengths must allow a ratio of 0.4.
 

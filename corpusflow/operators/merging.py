@@ -150,7 +150,7 @@ o AS (SELECT *, min(place * 1000000 + ord) OVER (PARTITION BY merged, section) A
 t AS (SELECT merged, count(*)::BIGINT AS n_blocks, count(DISTINCT section)::BIGINT AS n_sections, sha256(string_agg(text, '|' ORDER BY f, place, ord)) AS body FROM o GROUP BY merged)
 SELECT h.merged, h.n_parts, h.title, array_to_string(aliases, ',') AS aliases, array_to_string(tags, ',') AS tags, coalesce(n_blocks, 0) AS n_blocks, coalesce(n_sections, 0) AS n_sections, body, 0::BIGINT AS lost FROM h LEFT JOIN t ON t.merged = h.merged
 """,
-    first=("blocks", "notes"),
+    first={"blocks": "dealt_blocks", "notes": "notes"},
     notes="merge_notes",
     blocks="merge_blocks",
     links="note_links",

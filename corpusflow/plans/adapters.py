@@ -34,12 +34,14 @@ SELECT substr($sha1($sha256(source) || '/doc-' || $text(doc_id) || $text($long(b
        CASE (block_index + doc_id) % 5 WHEN 0 THEN 'ocr' WHEN 1 THEN 'reconstructed' ELSE 'native' END AS origin
 FROM kept LEFT JOIN often ON kept.line = often.line
 """
+table("blocks", _BLOCKS)
 _said = r"split(coalesce(text, ''), r'\n', -1)"
-# Spark's form of the same. A line is often or not wherever it stands, so digests tell what the texts would: the digests of a document's often lines come to the document, and the texts
+# Blocks for programs that need all their columns: a line is often or not wherever it stands, so digests tell what the texts would: the digests of a document's often lines come to the document, and the texts
 # are dealt once, by document. Missing ids share the place of id -1, where a digest too many does no harm.
+# Catalyst can't leave out the types here, so what needs none reads `blocks`.
 _columns = _BLOCKS[_BLOCKS.index("SELECT substr") : _BLOCKS.index("FROM kept")].replace("often.line IS NOT NULL", "often")
 table(
-    "blocks",
+    "dealt_blocks",
     f"""
 WITH said AS (SELECT coalesce(doc_id, -1) AS k, doc_id, unhex(sha1(line)) AS h FROM (SELECT doc_id, explode({_said}) AS line FROM {{documents}}) WHERE $matches(line, r'[^\\x20\\x09-\\x0D]')),
 often AS (SELECT h FROM said GROUP BY h HAVING count(DISTINCT doc_id) >= 3),
@@ -49,7 +51,6 @@ cut AS (SELECT d.k, doc_id, lang, source, posexplode(transform({_said}, l -> str
 kept AS (SELECT doc_id, lang, source, said.line, said.often, row_number() OVER (PARTITION BY k, doc_id ORDER BY pos) - 1 AS block_index FROM cut WHERE $matches(said.line, r'[^\\x20\\x09-\\x0D]'))
 {_columns}FROM kept
 """,
-    _BLOCKS,
 )
 _types = "CASE (b.block_index % 14) " + " ".join(f"WHEN {i} THEN '{t}'" for i, t in enumerate(UNIT_TYPES)) + " END"
 table(
